@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no later step reads, and let Spark drop the shuffle files of finished
+    steps (it does so when the driver collects its garbage): both would else stay until the end."""
+    jvm = staged[0].sparkSession._jvm
+    conf = staged[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for df in staged:
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(conf).delete(path, True)
+    release(staged[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fold(id_col: str, k: int) -> Column:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import Words, mix64, small_batches, stage
+from memloom.llm.common import Words, discard, mix64, small_batches, stage
 
 
 @dataclass(frozen=True)
@@ -121,23 +121,27 @@ def shingle_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
                     fresh = len(u) >= least and node not in seen
                     if fresh:
                         seen.add(node)
-                    rows.append((None if pd.isna(i) else int(i), len(u), node, block_keys(u, cfg) if fresh else None))
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "node", "keys"]).astype({"doc_id": "Int64", "node": "Int64"})
+                    rows.append((None if pd.isna(i) else int(i), len(u), node, point(u, cfg), block_keys(u, cfg) if fresh else None))
+                yield pd.DataFrame(rows, columns=["doc_id", "n", "node", "point", "keys"]).astype({"doc_id": "Int64", "node": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, node long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, node long, point binary, keys array<long>")
+
+
+def point(u: np.ndarray, cfg: JaccardConfig) -> bytes:
+    return np.bincount((u >> np.uint64(40)).astype(np.int64) % cfg.groups, minlength=cfg.groups).astype(np.int32).tobytes()
 
 
 def node_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """node, n, set (its sorted hashes) and point (its group counts) of the given documents."""
+    """node and set (its sorted hashes) of the given documents."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for ids, texts in small_batches(list(pdf["node"]), list(pdf["text"])):
+            for want, texts in small_batches(list(pdf["node"]), list(pdf["text"])):
                 us = shingles(texts, cfg.words)
-                pts = [np.bincount((u >> np.uint64(40)).astype(np.int64) % cfg.groups, minlength=cfg.groups).astype(np.int32) for u in us]
-                yield pd.DataFrame({"node": ids, "n": [len(u) for u in us], "set": [u.tobytes() for u in us], "point": [p.tobytes() for p in pts]})
+                rows = [(i, u.tobytes()) for i, u in zip(want, us, strict=True) if len(u) and _node(u) == i]
+                yield pd.DataFrame(rows, columns=["node", "set"])
 
-    return docs.select("node", "text").mapInPandas(run, "node long, n long, set binary, point binary")
+    return docs.select("node", "text").mapInPandas(run, "node long, set binary")
 
 
 def _linked(cfg: JaccardConfig):
@@ -162,13 +166,29 @@ def bound_allows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, p
     return (100 + percent) * most >= percent * (na + nb)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link, checked on the whole sets."""
-    p = cfg.percent
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    sized = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p)
-    return sized.select("a", "b").join(left, "a").join(right, "b").where(_linked(cfg)("sa", "sb")).select("a", "b")
+def _may(cfg: JaccardConfig):
+    p, g = cfg.percent, cfg.groups
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), np.int32).reshape(-1, g) for s in (a, b))
+        return pd.Series(bound_allows(x, y, na.to_numpy(), nb.to_numpy(), p))
+
+    return may
+
+
+def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Those of the distinct node pairs (a, b) that link, checked on whole sets made from the texts.
+    heads: node and the id of one document that has it."""
+    pairs = stage(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(heads, "node")
+    sets = stage(node_sets(docs.join(wanted, "doc_id"), cfg).dropDuplicates(["node"]), "sets")
+    by_node = sets.repartition("node")  # one exchange for both sides
+    left = by_node.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    right = by_node.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    got = stage(pairs.join(left, "a").join(right, "b").where(_linked(cfg)("sa", "sb")).select("a", "b"), "links")
+    discard(pairs, sets)
+    return got
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,35 +230,38 @@ def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig) -> DataFrame:
 
     boxes = packed.where("leaf > 0").select("key").distinct().join(packed, "key").groupBy("key", "leaf").applyInPandas(box, "key long, leaf long, low long, high long, top binary")
 
-    @F.pandas_udf("boolean")
-    def may(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.int32).reshape(-1, g) for s in (a, b))
-        return pd.Series(bound_allows(x, y, na.to_numpy(), nb.to_numpy(), p))
-
     one = boxes.select("key", F.col("leaf").alias("i"), F.col("low").alias("li"), F.col("high").alias("hi"), F.col("top").alias("ti"))
     two = boxes.select("key", F.col("leaf").alias("j"), F.col("low").alias("lj"), F.col("high").alias("hj"), F.col("top").alias("tj"))
-    meet = one.join(two, "key").where((F.col("i") < F.col("j")) & (F.col("hi") * 100 >= F.col("lj") * p)).where(may("ti", "tj", "li", "lj")).select("key", "i", "j")
+    meet = one.join(two, "key").where((F.col("i") < F.col("j")) & (F.col("hi") * 100 >= F.col("lj") * p)).where(_may(cfg)("ti", "tj", "li", "lj")).select("key", "i", "j")
     within = packed.select("key", F.col("leaf").alias("i"), F.col("leaf").alias("j"), F.lit(0).alias("side"), "node", "label", "n", "point")
     rest = ["node", "label", "n", "point"]
     first = meet.join(packed.withColumnRenamed("leaf", "i"), ["key", "i"]).select("key", "i", "j", F.lit(0).alias("side"), *rest)
     second = meet.join(packed.withColumnRenamed("leaf", "j"), ["key", "j"]).select("key", "i", "j", F.lit(1).alias("side"), *rest)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All units of a bucket at once: rows of a unit stand together, and row x meets x + d for d = 1, 2, ..."""
+        pdf = pdf.sort_values(["key", "i", "j"], kind="stable", ignore_index=True)
         pts = np.frombuffer(b"".join(pdf["point"]), np.int32).reshape(-1, g)
         n, node, label, side = (pdf[c].to_numpy() for c in ("n", "node", "label", "side"))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = len(right) == 0
-        right = left if same else right
-        out = []
-        for x in left:  # one point against the other leaf
-            ok = right[(label[right] != label[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * p)]
-            if same:
-                ok = ok[ok > x]
-            ok = ok[bound_allows(pts[ok], pts[x], n[ok], n[x], p)]
-            out += [(min(node[x], y), max(node[x], y)) for y in node[ok]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return within.union(first).union(second).groupBy("key", "i", "j").applyInPandas(search, "a long, b long").distinct()
+        unit = pdf.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
+        cross = (pdf["i"] != pdf["j"]).to_numpy()
+        out, x, d = [], np.arange(len(pdf)), 0
+        while len(x):
+            d += 1
+            x = x[x + d < len(pdf)]
+            x = x[unit[x] == unit[x + d]]
+            y = x + d
+            ok = (label[x] != label[y]) & (~cross[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p)
+            a, b = x[ok], y[ok]
+            hit = bound_allows(pts[a], pts[b], n[a], n[b], p)
+            a, b = node[a[hit]], node[b[hit]]
+            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+
+    units = within.union(first).union(second)
+    buckets = max(1, packed.count() // 20000)
+    return units.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
 
 
 def pending(blocks: DataFrame, lab: DataFrame | None) -> DataFrame:
@@ -251,48 +274,50 @@ def pending(blocks: DataFrame, lab: DataFrame | None) -> DataFrame:
 def classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     """doc_id, n, component_id for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(shingle_sets(docs, cfg), "shingles")
+    full = stage(shingle_sets(docs, cfg), "shingles")
+    sets = stage(full.drop("keys"), "nodes")
     w = Window.partitionBy("key")
-    keyed = sets.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    blocks = stage(
-        keyed.withColumn("_lo", F.min("node").over(w)).withColumn("_hi", F.max("node").over(w)).where("_lo < _hi").select("key", "node").distinct(), "blocks"
-    )
+    keyed = full.where("keys is not null").select(F.explode("keys").alias("key"), "node")
+    met = keyed.withColumn("_lo", F.min("node").over(w)).withColumn("_hi", F.max("node").over(w)).where("_lo < _hi")
+    blocks = stage(met.select("key", "node").distinct(), "blocks")
+    discard(full)
     lab, links = None, None
+    heads = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     if not blocks.isEmpty():
-        wanted = blocks.select("node").distinct().join(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-        repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1")
-        texts = docs.join(wanted, "doc_id")
-        vectors = node_sets(texts, cfg)
-        if not repeated.isEmpty():  # a doc_id with several texts: keep the text whose set is the node's
-            vectors = vectors.join(sets.select("node", F.col("n").alias("_n")).distinct(), "node").where("n = _n").drop("_n").dropDuplicates(["node", "set"])
-        vectors = stage(vectors, "vectors")
-        open_blocks, left = blocks, None
+        nodes = stage(sets.join(blocks.select("node").distinct(), "node").dropDuplicates(["node"]).select("node", "n", "point"), "points")
+        open_blocks = blocks
         for r in range(cfg.star_rounds):
             marked = stage(pending(open_blocks, lab), "pending")
-            rows = marked.count()
-            if not rows or left is not None and rows > 0.7 * left:
+            largest = marked.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+            if largest <= (0 if r == 0 else 4 * cfg.leaf):
                 break
-            left = rows
-            pick = _order("label", r)
-            lead = F.min(F.struct(pick.alias("o"), F.col("label"), F.col("node"))).over(Window.partitionBy("key"))
+            lead = F.min(F.struct(_order("label", r).alias("o"), F.col("label"), F.col("node"))).over(Window.partitionBy("key"))
             star = (
                 marked.withColumn("_p", lead).where("_p.label <> label")
                 .groupBy("node").agg(F.min("_p").alias("_p"))
                 .select(F.col("_p.node").alias("a"), F.col("node").alias("b"))
             )
-            got = stage(verify(star, vectors, cfg), "links")
+            got = verify(within_bound(star, nodes, cfg), docs, heads, cfg)
             links = got if links is None else links.union(got)
             lab = components(links)
             open_blocks = marked.select("key", "node")
         last = stage(pending(open_blocks, lab), "pending")
         if not last.isEmpty():
-            cand = rtree_pairs(last.join(vectors.select("node", "n", "point"), "node"), cfg)
-            got = stage(verify(cand, vectors, cfg), "links")
+            cand = rtree_pairs(last.join(nodes, "node"), cfg)
+            got = verify(cand, docs, heads, cfg)
             links = got if links is None else links.union(got)
             lab = components(links)
     rows = with_label(sets.select("doc_id", "n", "node"), "node", lab, "label")
-    heads = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
-    return rows.join(heads, "label", "left").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"))
+    named = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
+    return rows.join(named, "label", "left").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"))
+
+
+def within_bound(pairs: DataFrame, nodes: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Pairs (a, b) whose sizes and points allow a link."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
+    return both.where(_may(cfg)("pa", "pb", "na", "nb")).select("a", "b")
 
 
 def _order(col: str, r: int) -> Column:
