@@ -12,8 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, by the path Spark's own reader opens."""
+    """One of the input tables, by the path Spark's own reader opens. Arrow batches are held to 8 MB, so
+    that a Python worker's memory does not follow the length of texts."""
+    if int(spark.conf.get(BATCH).removesuffix("b")) > 8 << 20:
+        spark.conf.set(BATCH, str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -130,7 +136,7 @@ class Words:
         return span_hash(prefix_hash(self.buf if buf is None else buf), self.start, self.end)
 
 
-def small_batches(ids: list, texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[list, list[bytes]]]:
+def small_batches(ids: list, texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
     """Runs of whole texts of about `most` bytes together; a longer text makes a run of its own."""
     a, b, size = [], [], 0
     for i, t in zip(ids, texts, strict=True):

@@ -21,7 +21,7 @@ components are exact. Pairs inside a component are never expanded.
 Defined cases: null text, or a text without words: n_shingles 0, linked with nothing; under four words:
 one shingle, the whole sequence; rows that repeat a doc_id are documents of their own; a row with a null
 doc_id is linked with equal sets only; empty table: empty result. Shingle identity is a
-64-bit hash (two different shingles of a pair agree with chance below 1e-12).
+64-bit hash, of which verification reads 48 bits (for two sets of 1,000 a chance of 4e-9 to miscount).
 """
 
 from __future__ import annotations
@@ -132,18 +132,24 @@ def point(u: np.ndarray, cfg: JaccardConfig) -> bytes:
 
 
 def node_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """node and set (its sorted hashes) of the given documents."""
+    """node and set (48 bits of each of its hashes) of the given documents."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for want, texts in small_batches(list(pdf["node"]), list(pdf["text"])):
                 us = shingles(texts, cfg.words)
-                rows = [(i, u.tobytes()) for i, u in zip(want, us, strict=True) if len(u) and _node(u) == i]
+                rows = [(i, u.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for i, u in zip(want, us, strict=True) if len(u) and _node(u) == i]
                 yield pd.DataFrame(rows, columns=["node", "set"])
 
     return docs.select("node", "text").mapInPandas(run, "node long, set binary")
 
 
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _linked(cfg: JaccardConfig):
     p = cfg.percent
 
@@ -151,7 +157,7 @@ def _linked(cfg: JaccardConfig):
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = _wide(x), _wide(y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * both >= p * (len(x) + len(y) - both))
         return pd.Series(out)
@@ -182,12 +188,11 @@ def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, cfg: JaccardConf
     heads: node and the id of one document that has it."""
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(heads, "node")
-    sets = stage(node_sets(docs.join(wanted, "doc_id"), cfg).dropDuplicates(["node"]), "sets")
-    by_node = sets.repartition("node")  # one exchange for both sides
+    by_node = node_sets(docs.join(wanted, "doc_id"), cfg).repartition("node")  # one exchange for both sides
     left = by_node.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     right = by_node.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     got = stage(pairs.join(left, "a").join(right, "b").where(_linked(cfg)("sa", "sb")).select("a", "b"), "links")
-    discard(pairs, sets)
+    discard(pairs)
     return got
 
 

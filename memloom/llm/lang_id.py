@@ -146,7 +146,7 @@ def predict(docs: DataFrame, model: ByteConv | None) -> DataFrame:
         for pdf in it:
             lang, score, at = ["und"] * len(pdf), np.zeros(len(pdf)), 0
             texts = pdf["text"].where(pdf["letters"], "")
-            for _, raws in small_batches(range(len(pdf)), list(texts), 1 << 20) if net else ():
+            for _, raws in small_batches(range(len(pdf)), list(texts)) if net else ():
                 wins = [to_windows(r, net.cfg.window) for r in raws]
                 count = [len(w) for w in wins]
                 x = np.concatenate(wins)
