@@ -8,9 +8,10 @@ a set's group counts are its point, and for two sets the summed coordinate minim
    symmetric difference a linked pair of that size can have plus a slack e, a linked pair agrees
    exactly on more than e groups. A key is the hash of one group's tokens, so linked pairs share keys.
    Groups that are empty give no key, unless the set has more than e of them.
-2. Star rounds: each node is verified against the smallest node it shares a key with, links are
-   contracted to components, and only blocks still holding several components go on. A large group of
-   near copies collapses here with one pair for each copy.
+2. Star rounds: each block has a lead (the first of its nodes in an order that changes by round), and
+   each node is verified against the lead it shares most keys with. Links are contracted to components,
+   and only blocks still holding several components go on. A large group of near copies collapses here
+   with one pair for each copy and round.
 3. In the blocks that are left, an R-tree join: points are packed into leaves by size and counts,
    leaves meet where the bound of their boxes allows a link, points meet where their own bound does,
    and pairs of different components that survive are verified on the sets themselves.
@@ -35,17 +36,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import Words, discard, mix64, small_batches, stage
+from memloom.llm.common import Words, discard, mix64, release, small_batches, stage
 
 
 @dataclass(frozen=True)
 class JaccardConfig:
     words: int = 4
     percent: int = 85  # link when 100 * intersection >= percent * union
-    groups: int = 32  # coordinates of a point
+    groups: int = 64  # coordinates of a point
     class_ratio: float = 1.6  # sizes of one block class lie within this ratio
     leaf: int = 512  # points of an R-tree leaf
-    star_rounds: int = 4
+    star_rounds: int = 6  # at most
+    worth: float = 0.8  # a further star round must leave less than this share of the block rows
 
 
 _C = mix64(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
@@ -259,14 +261,14 @@ def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig) -> DataFrame:
             ok = (label[x] != label[y]) & (~cross[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p)
             a, b = x[ok], y[ok]
             hit = bound_allows(pts[a], pts[b], n[a], n[b], p)
-            a, b = node[a[hit]], node[b[hit]]
-            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
-        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+            a, b = a[hit], b[hit]
+            fit = np.minimum(pts[a], pts[b]).sum(1) / (n[a] + n[b])
+            out.append(pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "fit": fit}))
+        return pd.concat(out, ignore_index=True).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "fit": []})
 
     units = within.union(first).union(second)
     buckets = max(1, packed.count() // 20000)
-    return units.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
+    return units.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long, fit double").groupBy("a", "b").agg(F.max("fit").alias("fit"))
 
 
 def pending(blocks: DataFrame, lab: DataFrame | None) -> DataFrame:
@@ -290,28 +292,34 @@ def classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     heads = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     if not blocks.isEmpty():
         nodes = stage(sets.join(blocks.select("node").distinct(), "node").dropDuplicates(["node"]).select("node", "n", "point"), "points")
-        open_blocks = blocks
+        open_blocks, left = blocks, None
         for r in range(cfg.star_rounds):
             marked = stage(pending(open_blocks, lab), "pending")
-            largest = marked.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-            if largest <= (0 if r == 0 else 4 * cfg.leaf):
-                break
+            rows = marked.count()
+            if not rows or left is not None and rows > cfg.worth * left:
+                break  # what is left are blocks of sets that do not link
+            left = rows
             lead = F.min(F.struct(_order("label", r).alias("o"), F.col("label"), F.col("node"))).over(Window.partitionBy("key"))
-            star = (
-                marked.withColumn("_p", lead).where("_p.label <> label")
-                .groupBy("node").agg(F.min("_p").alias("_p"))
-                .select(F.col("_p.node").alias("a"), F.col("node").alias("b"))
-            )
-            got = verify(within_bound(star, nodes, cfg), docs, heads, cfg)
+            met = marked.withColumn("_p", lead).where("_p.label <> label").groupBy(F.col("_p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+            star = within_bound(met, nodes, cfg).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+            got = verify(star, docs, heads, cfg)
+            release(docs.sparkSession)
             links = got if links is None else links.union(got)
             lab = components(links)
             open_blocks = marked.select("key", "node")
         last = stage(pending(open_blocks, lab), "pending")
         if not last.isEmpty():
-            cand = rtree_pairs(last.join(nodes, "node"), cfg)
-            got = verify(cand, docs, heads, cfg)
-            links = got if links is None else links.union(got)
-            lab = components(links)
+            # the best-bounded partners of each node first: most other pairs then lie within a component
+            cand = stage(rtree_pairs(last.join(nodes, "node"), cfg), "candidates")
+            ends = cand.select("a", "b", "fit", F.explode(F.array("a", "b")).alias("end"))
+            top = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("fit"), "a", "b"))
+            best = ends.withColumn("r", top).where("r <= 2").select("a", "b").distinct()
+            for part in (best, cand.select("a", "b")):
+                open_pairs = with_label(with_label(part, "a", lab, "la"), "b", lab, "lb").where("la <> lb").select("a", "b")
+                got = verify(open_pairs, docs, heads, cfg)
+                release(docs.sparkSession)
+                links = got if links is None else links.union(got)
+                lab = components(links)
     rows = with_label(sets.select("doc_id", "n", "node"), "node", lab, "label")
     named = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
     return rows.join(named, "label", "left").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"))
@@ -322,7 +330,7 @@ def within_bound(pairs: DataFrame, nodes: DataFrame, cfg: JaccardConfig) -> Data
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
     both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
-    return both.where(_may(cfg)("pa", "pb", "na", "nb")).select("a", "b")
+    return both.where(_may(cfg)("pa", "pb", "na", "nb")).drop("na", "nb", "pa", "pb")
 
 
 def _order(col: str, r: int) -> Column:
