@@ -1,4 +1,17 @@
 """Registered queries of the memory engine and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from memloom.plans import dataframes
+from memloom.plans.catalog import CATALOG
+from memloom.sources.adapters import DUCK, SPARK, oracle, run
+
+
+def _query(key: str):
+    def query(spark, sf_dir):
+        return run(spark, sf_dir, CATALOG[key](SPARK))
+
+    query.__name__ = key
+    return query
+
+
+QUERIES: dict = {k: _query(k) for k in CATALOG} | dataframes.QUERIES
+ORACLE: dict = {k: oracle(f(DUCK)) for k, f in CATALOG.items()} | dataframes.ORACLE
