@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,11 @@ def discard(*staged: DataFrame) -> None:
     release(staged[0].sparkSession)
 
 
+def ints(values: list) -> pd.arrays.IntegerArray:
+    """A nullable 64-bit column; a plain list with nulls would go through doubles and lose digits."""
+    return pd.array([None if pd.isna(v) else int(v) for v in values], dtype="Int64")
+
+
 def release(spark: SparkSession) -> None:
     gc.collect()
     spark._jvm.System.gc()

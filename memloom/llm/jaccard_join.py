@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import Words, discard, mix64, release, small_batches, stage
+from memloom.llm.common import Words, discard, ints, mix64, release, small_batches, stage
 
 
 @dataclass(frozen=True)
@@ -123,8 +123,9 @@ def shingle_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
                     fresh = len(u) >= least and node not in seen
                     if fresh:
                         seen.add(node)
-                    rows.append((None if pd.isna(i) else int(i), len(u), node, point(u, cfg), block_keys(u, cfg) if fresh else None))
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "node", "point", "keys"]).astype({"doc_id": "Int64", "node": "Int64"})
+                    rows.append((i, len(u), node, point(u, cfg), block_keys(u, cfg) if fresh else None))
+                i, n, node, pt, keys = zip(*rows, strict=True)
+                yield pd.DataFrame({"doc_id": ints(i), "n": n, "node": ints(node), "point": pt, "keys": keys})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, node long, point binary, keys array<long>")
 

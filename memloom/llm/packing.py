@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import discard, stage
+from memloom.llm.common import ints, stage
 from memloom.llm.tokens import byte_bpe
 
 
@@ -64,7 +64,8 @@ def pieces(docs: DataFrame, cfg: PackConfig) -> DataFrame:
                 ids = memoryview(bpe.encode(text) + end)
                 n = len(ids) // 4
                 rows += [(i, a, k, zlib.crc32(ids[4 * a : 4 * (a + k)]), n) for a, k in cuts(n, cfg)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield out.assign(doc_id=ints([r[0] for r in rows]))
 
     text = F.coalesce("text", F.lit("")).alias("text")
     return docs.select(F.col("doc_id").cast("long"), text).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.common import ints
+
 MARK = "▁"
 
 
@@ -146,6 +148,7 @@ def op7(docs: DataFrame, cfg: PieceConfig = PieceConfig()) -> DataFrame:
                 texts = list(part["text"])
                 for i, t, ids in zip(part["doc_id"], texts, m.encode_batch(texts, cfg.most_words), strict=True):
                     rows.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), m.decode(ids) == t))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "round_trip"]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+            yield out.assign(doc_id=ints([r[0] for r in rows]))
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
