@@ -66,7 +66,7 @@ class PieceModel:
         got = self.alone.get(key)
         if got is None:
             got = self.merge(p + t) == [p, t]
-            if len(self.alone) < 1_000_000:
+            if len(self.alone) < 300_000:
                 self.alone[key] = got
         return got
 
