@@ -46,7 +46,8 @@ class PieceModel:
         self.ids = {self.pieces[i]: i for i in plain}
         self.rank = {self.pieces[i]: -sp.get_score(i) for i in plain}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.bytes.items()}
+        of_byte = {i: b for b, i in self.bytes.items()}
+        self.raw = [bytes([of_byte[i]]) if i in of_byte else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
         self.alone: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -113,15 +114,7 @@ class PieceModel:
         return [[i for w in s for i in (known.get(w) or look[w])] for s in split]
 
     def decode(self, ids: list[int]) -> str:
-        out, of_byte, pieces = bytearray(), self.of_byte, self.pieces
-        for i in ids:
-            b = of_byte.get(i)
-            if b is None:
-                out += pieces[i].encode()
-            else:
-                out.append(b)
-        text = out.decode("utf-8", "surrogatepass").replace(MARK, " ")
-        return text[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 _MODELS: dict[str, PieceModel] = {}
