@@ -160,7 +160,7 @@ register("st11_stale_pending", lambda d: f"SELECT count(CASE WHEN created_at < {
 register("st16_alerts", "SELECT status, count(*) AS n, CASE WHEN status = 'dlq' AND count(*) > 100 THEN 'critical' WHEN status = 'failed' AND count(*) > 100 THEN 'warning' ELSE 'none' END AS alert FROM outbox_events GROUP BY status")
 register("st18_declining", lambda d: f"SELECT id, CASE WHEN popularity_score < 60 AND {d.days(d.ts(), 'first_seen_at')} >= 7 THEN 'declining' ELSE status END AS status FROM memes WHERE status = 'approved'")
 register("st19_consistency", "SELECT count(*) AS checked, count(CASE WHEN e.vec_id IS NULL THEN 1 END) AS missing, round(CAST(count(CASE WHEN e.vec_id IS NULL THEN 1 END) AS DOUBLE) / count(*), 6) AS mismatch FROM memories m LEFT JOIN embeddings e ON e.vec_id = m.id WHERE m.status = 'committed'")
-register("v1_entity_critic", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN confidence < 0.5 THEN 'low_confidence' WHEN entity_id % 11 = 0 THEN 'bad_type' WHEN row_number() OVER (PARTITION BY memory_id, entity_id ORDER BY seq) > 1 THEN 'duplicate' ELSE 'kept' END AS reason FROM memory_entities WHERE confidence IS NOT NULL) z GROUP BY reason")
+register("v1_entity_critic", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN confidence < 0.5 THEN 'low_confidence' WHEN entity_id % 11 = 0 THEN 'bad_type' WHEN row_number() OVER (PARTITION BY memory_id, entity_id, confidence >= 0.5 AND entity_id % 11 <> 0 ORDER BY seq, confidence, created_at) > 1 THEN 'duplicate' ELSE 'kept' END AS reason FROM memory_entities WHERE confidence IS NOT NULL) z GROUP BY reason")
 register("v2_relation_critic", "SELECT CASE WHEN src = dst THEN 'self_loop' WHEN weight < 0.5 THEN 'low_confidence' WHEN rel_type NOT IN ('LIVES_IN', 'FROM', 'RELATED_TO') THEN 'bad_type' ELSE 'kept' END AS reason, count(*) AS n FROM edges GROUP BY 1")
 register("v5_resolve_by_time", lambda d: f"SELECT a.id AS first_id, b.id AS second_id, CASE WHEN abs({d.seconds('a.created_at', 'b.created_at')}) < 86400 THEN 'clarify' WHEN a.created_at > b.created_at THEN 'first' ELSE 'second' END AS verdict FROM memories a JOIN memories b ON b.id = a.id + 15")
 register("c1_graph_as_of", lambda d: f"SELECT count(*) AS edges, round(sum(w), 3) AS weight FROM (SELECT weight * exp(-decay_rate * {d.days(d.ts('2024-01-15 00:00:00'), 'updated_at')}) AS w FROM edges WHERE updated_at <= {d.ts('2024-01-15 00:00:00')}) z WHERE w > 0.1")
