@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from memloom.llm.common import ints
 
 MARK = "▁"
+_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
 @dataclass(frozen=True)
@@ -48,9 +50,11 @@ class PieceModel:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         of_byte = {i: b for b, i in self.bytes.items()}
         self.raw = [bytes([of_byte[i]]) if i in of_byte else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
-        self.longest = max(map(len, self.ids))
+        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.alone: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.steps: dict[str, tuple[str, tuple[tuple[str, int], ...]]] = {}
+        self.packed: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """The merges themselves, on a short string: the best-ranked neighbouring pair first, leftmost on a tie."""
@@ -66,55 +70,75 @@ class PieceModel:
         key = (p, t)
         got = self.alone.get(key)
         if got is None:
-            got = self.merge(p + t) == [p, t]
+            got = self.merge(p + t) == ([p, t] if p else [t])
             if len(self.alone) < 300_000:
                 self.alone[key] = got
         return got
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """ids of each distinct word, by depth-first traversal of their trie."""
-        out, ends, before = {}, [""], ""
+    def _step(self, read: str) -> tuple[str, tuple[tuple[str, int], ...]]:
+        """The longest end of `read` that starts a piece, and the pieces that `read` ends with, longest first."""
+        rest = read
+        while rest and rest not in self.starts:
+            rest = rest[1:]
+        ends = tuple((rest[i:], len(rest) - i) for i in range(len(rest)) if rest[i:] in self.ids)
+        if not ends or ends[-1][1] > 1:
+            ends += ((read[-1], 1),)
+        if len(self.steps) < 300_000:
+            self.steps[read] = rest, ends
+        return rest, ends
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """ids (little-endian, 32 bits) of each distinct word, by depth-first traversal of their trie."""
+        out, last, states, before = {}, [""], [""], ""
+        steps, alone, packed = self.steps.get, self.alone.get, self.packed
         for word in sorted(words):
             depth = 0
             for a, b in zip(word, before, strict=False):
                 if a != b:
                     break
                 depth += 1
-            del ends[depth + 1 :]
+            del last[depth + 1 :], states[depth + 1 :]
+            state = states[-1]
             for d in range(depth + 1, len(word) + 1):
-                ends.append(self._last(word, d, ends))
+                read = state + word[d - 1]
+                state, ends = steps(read) or self._step(read)
+                for piece, n in ends:
+                    p = last[d - n]
+                    left = alone((p, piece))
+                    if self.apart(p, piece) if left is None else left:
+                        break
+                else:
+                    piece = word[d - 1]
+                last.append(piece)
+                states.append(state)
             parts, d = [], len(word)
             while d:
-                parts.append(ends[d])
-                d -= len(ends[d])
-            out[word] = tuple(i for p in reversed(parts) for i in self._ids(p))
+                piece = last[d]
+                parts.append(packed.get(piece) or self._pack(piece))
+                d -= len(piece)
+            parts.reverse()
+            out[word] = b"".join(parts)
             before = word
         return out
 
-    def _last(self, word: str, d: int, ends: list[str]) -> str:
-        for n in range(min(self.longest, d), 0, -1):
-            t = word[d - n : d]
-            if (t in self.ids or n == 1) and (d == n and self.merge(t) == [t] or d > n and self.apart(ends[d - n], t)):
-                return t
-        return word[d - 1]
-
-    def _ids(self, piece: str) -> list[int]:
+    def _pack(self, piece: str) -> bytes:
         i = self.ids.get(piece)
-        return [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-
-    def encode_batch(self, texts: list[str], most: int) -> list[list[int]]:
-        split = [re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = self.encode_words(list({w for s in split for w in s if w not in self.known}))
-        if len(self.known) + len(fresh) <= most:
-            self.known |= fresh
-            look = self.known
-        else:
-            look = self.known | fresh if len(fresh) > len(self.known) else fresh
+        ids = [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+        got = np.array(ids, "<u4").tobytes()
+        if len(self.packed) < 300_000:
+            self.packed[piece] = got
+        return got
+
+    def encode_batch(self, texts: list[str], most: int) -> list[bytes]:
+        """Packed ids of each text; words are kept for later batches until there are `most` of them."""
         known = self.known
-        return [[i for w in s for i in (known.get(w) or look[w])] for s in split]
+        split = [_WORDS(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        fresh = self.encode_words([w for w in set(chain.from_iterable(split)) if w not in known])
+        known.update(islice(fresh.items(), max(0, most - len(known))))
+        return [b"".join([known.get(w) or fresh[w] for w in s]) for s in split]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -140,7 +164,7 @@ def op7(docs: DataFrame, cfg: PieceConfig = PieceConfig()) -> DataFrame:
                 part = pdf.iloc[a : a + 1000]
                 texts = list(part["text"])
                 for i, t, ids in zip(part["doc_id"], texts, m.encode_batch(texts, cfg.most_words), strict=True):
-                    rows.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), m.decode(ids) == t))
+                    rows.append((i, len(ids) // 4, zlib.crc32(ids), m.decode(ids) == t))
             out = pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
             yield out.assign(doc_id=ints([r[0] for r in rows]))
 
