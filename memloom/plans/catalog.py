@@ -20,7 +20,7 @@ def register(key: str, sql: str | Callable[[Dialect], str]) -> None:
 register("p1_projection", "SELECT memory_id AS id, entity_id AS entity, coalesce(confidence, 0.8) AS confidence FROM memory_entities WHERE seq <= 3")
 register("p2_tenant_filter", "SELECT id, status FROM memories WHERE user_id = 3")
 register("p3_equality_conjunction", "SELECT id, popularity_score FROM memes WHERE status = 'approved' AND source_platform = 'Brand#13'")
-register("p4_inequality", "SELECT id, user_id FROM affinity_history WHERE trigger_event <> 'silence_decay' AND user_id % 7 = 0")
+register("p4_inequality", "SELECT id, user_id FROM affinity_history WHERE trigger_event <> 'silence_decay'")
 register("p5_in_list", "SELECT event_id, status FROM outbox_events WHERE status IN ('failed', 'dlq')")
 register("p6_any_array", lambda d: f"SELECT id, source FROM content_library WHERE {'array_contains(array(' if d.spark else 'list_contains(['}'src1','src5'{')' if d.spark else ']'}, source)")
 register("p7_not_null", "SELECT id, user_reaction FROM meme_usage_history WHERE user_reaction IS NOT NULL AND meme_id < 50")
@@ -30,14 +30,14 @@ register("p10_calendar_day", "SELECT id FROM affinity_history WHERE created_at >
 register("p11_closed_range", lambda d: f"SELECT session_id, turn FROM conversation_turns WHERE created_at BETWEEN {d.ts('2024-01-02 00:00:00')} AND {d.ts('2024-01-05 12:00:00')}")
 register("p13_bidirectional_contains", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND (contains(a.n_name, left(b.n_name, 2)) OR contains(b.n_name, left(a.n_name, 2)))")
 register("p15_relation_alternation", "SELECT rel_type, count(*) AS n FROM edges WHERE rel_type IN ('LIVES_IN', 'RELATED_TO') GROUP BY rel_type")
-register("p16_coalesce_default", "SELECT memory_id, entity_id, seq, round(coalesce(confidence, CAST(0.8 AS DOUBLE)), 6) AS confidence FROM memory_entities WHERE memory_id % 50 = 1")
+register("p16_coalesce_default", "SELECT memory_id, entity_id, seq, round(coalesce(confidence, CAST(0.8 AS DOUBLE)), 6) AS confidence FROM memory_entities")
 register("p17_searched_case", "SELECT src, dst, rel_type, CASE WHEN rel_type = 'FROM' THEN greatest(weight, CAST(0.5 AS DOUBLE)) ELSE weight END AS kept_weight FROM edges WHERE rel_type <> 'RELATED_TO'")
 register("p19_state_v1", "SELECT id, CASE WHEN new_score / 100 < 0.2 THEN 'stranger' WHEN new_score / 100 < 0.4 THEN 'acquaintance' WHEN new_score / 100 < 0.6 THEN 'friend' WHEN new_score / 100 < 0.8 THEN 'close_friend' ELSE 'best_friend' END AS state FROM affinity_history")
 register("p20_state_v2", "SELECT id, CASE WHEN new_score <= 20 THEN 'stranger' WHEN new_score <= 50 THEN 'acquaintance' WHEN new_score <= 80 THEN 'friend' ELSE 'close_friend' END AS state FROM affinity_history")
 register("p21_trend_level", "SELECT id, CASE WHEN popularity_score < 30 THEN 'emerging' WHEN popularity_score < 60 THEN 'rising' WHEN popularity_score < 85 THEN 'hot' ELSE 'peak' END AS trend_level FROM memes")
 register("p22_tone", "SELECT user_id, CASE WHEN new_score / 100 >= 0.7 THEN 'warm' WHEN new_score / 100 >= 0.5 THEN 'friendly' WHEN new_score / 100 >= 0.3 THEN 'polite' ELSE 'formal' END AS tone FROM latest_affinity")
 register("p24_quiet_hours", "SELECT id, CASE WHEN hour(created_at) * 60 + minute(created_at) >= 1320 OR hour(created_at) * 60 + minute(created_at) <= 480 THEN 1 ELSE 0 END AS quiet FROM affinity_history")
-register("p26_casts", lambda d: f"SELECT id, CAST({d.json('signals', 'k')} AS INT) AS k FROM affinity_history WHERE id % 10 = 0")
+register("p26_casts", lambda d: f"SELECT id, CAST({d.json('signals', 'k')} AS INT) AS k FROM affinity_history")
 register("p29_ilike", "SELECT p_partkey FROM part WHERE p_name ILIKE '%RED%'")
 register("p30_transitions", "SELECT status, next, CASE WHEN (status = 'candidate' AND next IN ('approved', 'rejected')) OR (status = 'approved' AND next = 'archived') THEN 1 ELSE 0 END AS allowed, count(*) AS n FROM (SELECT status, CASE WHEN id % 3 = 0 THEN 'approved' WHEN id % 3 = 1 THEN 'archived' ELSE 'rejected' END AS next FROM memes) z GROUP BY 1, 2, 3")
 register("p31_domain_check", "SELECT count(*) AS n, CAST(sum(CASE WHEN new_score BETWEEN 0 AND 100 AND emotion_valence BETWEEN -1 AND 1 THEN 0 ELSE 1 END) AS BIGINT) AS violations FROM affinity_history")
@@ -54,7 +54,7 @@ register("j13_not_in_vectors", "SELECT doc_id AS id FROM documents d WHERE NOT E
 register("j15_one_hop", "SELECT src AS entity, rel_type, dst AS other, 'out' AS dir, weight FROM edges WHERE src IN ('n1', 'c7', 's3', 'p11') UNION ALL SELECT dst, rel_type, src, 'in', weight FROM edges WHERE dst IN ('n1', 'c7', 's3', 'p11')")
 register("j16_two_hop", lambda d: "SELECT a.src, a.dst AS via, b.dst, concat(a.src, ' -[', a.rel_type, ']-> ', a.dst, ' -[', b.rel_type, ']-> ', b.dst) AS path, round(a.weight * b.weight, 6) AS weight FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel_type = 'LIVES_IN'")
 register("j17_three_hop", "SELECT a.src, c.dst, count(*) AS paths, round(max(a.weight * b.weight * c.weight), 6) AS weight FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.rel_type = 'RELATED_TO' GROUP BY a.src, c.dst")
-register("j21_full_outer_fusion", "SELECT coalesce(v.id, g.id) AS id, round(0.6 * coalesce(v.s, 0) + 0.4 * coalesce(g.s, 0), 6) AS score FROM (SELECT id, emotion_valence AS s FROM affinity_history WHERE id % 3 = 0) v FULL OUTER JOIN (SELECT id, new_score / 100 AS s FROM affinity_history WHERE id % 5 = 0) g ON v.id = g.id")
+register("j21_full_outer_fusion", "SELECT coalesce(v.id, g.id) AS id, round(0.6 * coalesce(v.s, 0) + 0.4 * coalesce(g.s, 0), 6) AS score FROM (SELECT id, emotion_valence AS s FROM affinity_history WHERE trigger_event = 'conversation') v FULL OUTER JOIN (SELECT id, new_score / 100 AS s FROM affinity_history WHERE new_score > 50) g ON v.id = g.id")
 register("j22_endpoint_semi", "SELECT src, dst FROM edges WHERE src IN (SELECT concat('s', s_suppkey) FROM supplier) AND dst IN (SELECT concat('n', n_nationkey) FROM nation)")
 register("j24_band", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id BETWEEN b.item_id * 10 - 2 AND b.item_id * 10 + 2")
 register("j25_date_prefix", "SELECT id FROM affinity_history WHERE CAST(created_at AS DATE) = CAST('2024-01-09' AS DATE)")
@@ -119,18 +119,18 @@ register("u8_difference", "SELECT doc_id AS id FROM documents EXCEPT SELECT doc_
 register("f1_lexicon_count", "SELECT id, CASE WHEN contains(content, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(content, 'que') THEN 1 ELSE 0 END + CASE WHEN contains(content, 'und') THEN 1 ELSE 0 END AS hits FROM memories")
 register("f3_char_counts", lambda d: f"SELECT id, {d.count('content', '[!?.]')} AS marks FROM memories")
 register("f4_html_clean", lambda d: f"SELECT page_id, md5(trim({d.sub(d.sub('html', '<[^>]+>', ''), '[ ]+', ' ')})) AS h FROM pages")
-register("f6_summary", "SELECT id, CASE WHEN length(content) <= 200 THEN content ELSE concat(left(content, 200), '...') END AS summary FROM memories WHERE id % 20 = 0")
+register("f6_summary", "SELECT id, CASE WHEN length(content) <= 200 THEN content ELSE concat(left(content, 200), '...') END AS summary FROM memories")
 register("f7_url_normalise", "SELECT page_id, lower(trim(split_part(split_part(url, '?', 1), '#', 1))) AS url FROM pages")
 register("f8_hashes", lambda d: f"SELECT id, left(md5(title), 16) AS short, {d.sha256('title')} AS long FROM content_library")
 register("f16_normalise", lambda d: f"SELECT item_id, trim({d.sub(d.sub('lower(text)', '[^a-z0-9]', ' '), ' +', ' ')}) AS norm FROM benchmark")
-register("f17_iso_date", lambda d: f"SELECT id, {d.grab('CAST(created_at AS VARCHAR(30))' if not d.spark else 'CAST(created_at AS STRING)', '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1)} AS iso FROM affinity_history WHERE id % 25 = 0")
+register("f17_iso_date", lambda d: f"SELECT id, {d.grab('CAST(created_at AS VARCHAR(30))' if not d.spark else 'CAST(created_at AS STRING)', '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1)} AS iso FROM affinity_history")
 register("f25_question", lambda d: f"SELECT session_id, turn, CASE WHEN {d.like('content', '[?]')} THEN 1 ELSE 0 END AS asks FROM conversation_turns")
 register("f28_slug", "SELECT p_partkey, concat(p_name, '_', left(md5(p_name), 8)) AS slug FROM part")
 register("f33_reason", "SELECT id, CASE WHEN correct THEN 'ok' WHEN task_type = 'adversarial' THEN 'adversarial' WHEN category IN (1, 2) THEN 'recall' ELSE 'other' END AS reason FROM scored_items")
 register("f36_row_line", "SELECT s_suppkey, concat_ws(' | ', s_name, CAST(s_nationkey AS VARCHAR(10))) AS line FROM supplier")
 register("d1_elapsed_days", lambda d: f"SELECT id, {d.days(d.ts(), 'created_at')} AS days FROM affinity_history")
 register("d3_fractional", lambda d: f"SELECT id, round({d.seconds(d.ts(), 'first_seen_at')} / 3600, 6) AS hours FROM memes")
-register("d4_extract", "SELECT id, hour(created_at) AS h, day(created_at) AS d, month(created_at) AS m FROM affinity_history WHERE id % 5 = 0")
+register("d4_extract", "SELECT id, hour(created_at) AS h, day(created_at) AS d, month(created_at) AS m FROM affinity_history")
 register("d6_late_night", "SELECT user_id, count(*) AS n, count(CASE WHEN hour(created_at) >= 22 OR hour(created_at) < 5 THEN 1 END) AS late FROM affinity_history GROUP BY user_id")
 register("m1_decay", "SELECT src, dst, rel_type, round(current_weight, 6) AS current_weight FROM decayed_edges")
 register("m2_recency", lambda d: f"SELECT id, round(exp(-CAST({d.days(d.ts(), 'created_at')} AS DOUBLE) / 30), 6) AS recency FROM memories")

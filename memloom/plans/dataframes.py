@@ -10,7 +10,7 @@ from memloom.sources.adapters import oracle, run
 
 
 def w5_clipped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run(spark, sf_dir, "SELECT user_id, id, created_at, emotion_valence AS delta FROM affinity_history WHERE user_id % 10 = 0")
+    rows = run(spark, sf_dir, "SELECT user_id, id, created_at, emotion_valence AS delta FROM affinity_history")
     return clipped_scores(rows, low=0.0, high=1.0, start=0.5).select("user_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -30,7 +30,7 @@ QUERIES = {"w5_clipped_scores": w5_clipped_scores, "k9_diversify": k9_diversify,
 ORACLE = {
     "w5_clipped_scores": oracle(
         """WITH RECURSIVE numbered AS (SELECT user_id, id, emotion_valence AS delta, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS rn
- FROM affinity_history WHERE user_id % 10 = 0),
+ FROM affinity_history),
  walk AS (SELECT user_id, id, rn, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 + delta)) AS score FROM numbered WHERE rn = 1
  UNION ALL SELECT n.user_id, n.id, n.rn, greatest(0.0::DOUBLE, least(1.0::DOUBLE, w.score + n.delta)) FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.rn = w.rn + 1)
  SELECT user_id, id, round(score, 6) AS score FROM walk"""

@@ -109,6 +109,11 @@ def views(d: Dialect) -> dict[str, str]:
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST(conv_id * 60 + turn AS INT) AS created_at FROM conversations""".replace(
             "TIMESTAMP '2024", "TIMESTAMP_NTZ '2024" if d.spark else "TIMESTAMP '2024"
         ),
+        "conflicts": f"""SELECT doc_id AS id, doc_id % 15 AS user_id, doc_id AS first_id, doc_id + 15 AS second_id, CAST(7 + doc_id % 3 AS DOUBLE) / 10 AS confidence,
+  CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'asked' ELSE 'resolved' END AS status, {now} - INTERVAL '1' HOUR * CAST(doc_id % 50 AS INT) AS created_at
+  FROM documents WHERE doc_id % 7 = 0""",
+        "recommendations": """SELECT event_id AS id, user_id, event_id % 1000 AS content_id, ts AS recommended_at,
+  CASE event_type WHEN 'click' THEN 'click' WHEN 'purchase' THEN 'like' WHEN 'error' THEN 'dislike' END AS feedback FROM events""",
         "scored_items": """SELECT doc_id AS id, doc_id % 5 + 1 AS category, CASE WHEN toxic = 1 THEN 'adversarial' ELSE 'factual' END AS task_type,
   quality = 1 AS correct, quality = 1 AND doc_id % 3 = 0 AS exact_match FROM labels""",
         "decayed_edges": f"""SELECT src, dst, rel_type, weight, decay_rate, updated_at, {d.days(now, 'updated_at')} AS days,
