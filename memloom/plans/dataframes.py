@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.operators.folds import clipped_scores, diversify
+from memloom.operators.folds import clipped_scores, cooled_down, diversify, moving_average
+from memloom.operators.ranking import global_rank
 from memloom.sources.adapters import oracle, run
 
 
@@ -25,9 +28,64 @@ def st9_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
-QUERIES = {"w5_clipped_scores": w5_clipped_scores, "k9_diversify": k9_diversify, "st9_sessions": st9_sessions}
+def w6_result_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run(spark, sf_dir, "SELECT id, -popularity_score AS worse FROM memes")
+    return global_rank(rows, ["worse", "id"], "rank_position").select("id", "rank_position")
+
+
+def k12_stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run(spark, sf_dir, "SELECT id, -quality_score AS worse FROM content_library")
+    return global_rank(rows, ["worse", "id"], "pos").select("id", "pos")
+
+
+def _lag_at(spark: SparkSession, sf_dir: str, name: str, index: Callable[[Column], Column]) -> DataFrame:
+    """The lag at a position (from 1, computed from the number of rows) of the sorted lags."""
+    ranked = global_rank(run(spark, sf_dir, "SELECT lag_ms, event_id FROM lags"), ["lag_ms", "event_id"], "rn")
+    total = run(spark, sf_dir, "SELECT count(*) AS n FROM lags").scalar()
+    return ranked.where(F.col("rn") == index(total)).select(F.col("lag_ms").alias(name))
+
+
+def a21_lag_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lag_at(spark, sf_dir, "p95", lambda n: F.least(F.floor(n * 0.95) + 1, n))
+
+
+def a22_p50_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lag_at(spark, sf_dir, "p50", lambda n: F.floor(n / 2) + 1)
+
+
+def m20_message_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moving average of a person's message lengths after each message (weight 0.1, first state 0)."""
+    rows = run(spark, sf_dir, "SELECT session_id, turn, length(content) AS n FROM conversation_turns WHERE role = 'user'")
+    out = moving_average(rows, "session_id", ["turn"], F.floor(F.col("turn") / 64), F.col("n"), alpha=0.1, start=0.0)
+    return out.select("session_id", "turn", F.round("state", 4).alias("average"))
+
+
+def st7_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triggers that go out under a cooldown of 24 hours per user and trigger."""
+    rows = run(spark, sf_dir, "SELECT user_id, trigger_event, created_at AS sent_at, id FROM affinity_history")
+    return cooled_down(rows, ["user_id", "trigger_event"], 24 * 3600).select("user_id", "trigger_event", "id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (w5_clipped_scores, k9_diversify, st9_sessions, w6_result_rank, k12_stable_order, a21_lag_p95, a22_p50_index, m20_message_average, st7_cooldown)
+}
 
 ORACLE = {
+    "m20_message_average": oracle(
+        """WITH RECURSIVE numbered AS (SELECT session_id, turn, length(content) AS n, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS rn
+ FROM conversation_turns WHERE role = 'user'),
+ walk AS (SELECT session_id, turn, rn, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE n * 0.1::DOUBLE END AS s FROM numbered WHERE rn = 1
+ UNION ALL SELECT m.session_id, m.turn, m.rn, CASE WHEN m.n IS NULL THEN w.s ELSE w.s * 0.9::DOUBLE + m.n * 0.1::DOUBLE END FROM walk w JOIN numbered m ON m.session_id = w.session_id AND m.rn = w.rn + 1)
+ SELECT session_id, turn, round(s, 4) AS average FROM walk"""
+    ),
+    "st7_cooldown": oracle(
+        """WITH RECURSIVE numbered AS (SELECT user_id, trigger_event, created_at, id, row_number() OVER (PARTITION BY user_id, trigger_event ORDER BY created_at, id) AS rn FROM affinity_history),
+ walk AS (SELECT user_id, trigger_event, id, rn, created_at AS last_sent, true AS sent FROM numbered WHERE rn = 1
+ UNION ALL SELECT m.user_id, m.trigger_event, m.id, m.rn, CASE WHEN m.created_at >= w.last_sent + INTERVAL 24 HOUR THEN m.created_at ELSE w.last_sent END, m.created_at >= w.last_sent + INTERVAL 24 HOUR
+ FROM walk w JOIN numbered m ON m.user_id = w.user_id AND m.trigger_event = w.trigger_event AND m.rn = w.rn + 1)
+ SELECT user_id, trigger_event, id FROM walk WHERE sent"""
+    ),
     "w5_clipped_scores": oracle(
         """WITH RECURSIVE numbered AS (SELECT user_id, id, emotion_valence AS delta, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS rn
  FROM affinity_history),

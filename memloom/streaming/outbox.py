@@ -6,8 +6,14 @@ UTC session. All queries run with `availableNow` over files or continuously over
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from memloom.operators.folds import walk
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -46,3 +52,17 @@ def apply_batch(state: DataFrame, batch: DataFrame, retries: int = 5) -> DataFra
         .when(F.col("outcome") == "ok", "done").when(tries >= retries, "dlq").otherwise("pending")
     )
     return j.select("event_id", status.alias("status"), F.when(F.col("status") == "pending", tries).otherwise(F.col("retry_count")).alias("retry_count"))
+
+
+def running_state(events: DataFrame, mult: Column, add: Column, low: float, high: float, start: float) -> DataFrame:
+    """user_id, event_id and `state` after each event as a stream: x goes to clip(mult * x + add). One
+    double is kept for each user; events of a micro-batch are taken in (ts, event_id) order."""
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(chunks)).sort_values(["ts", "event_id"], ignore_index=True)
+        after = walk(pdf, kept.get[0] if kept.exists else start)
+        kept.update((after[-1],))
+        yield pdf[["user_id", "event_id"]].assign(state=after)
+
+    given = events.select("user_id", "event_id", "ts", mult.cast("double").alias("_m"), add.cast("double").alias("_c"), F.lit(low).alias("_a"), F.lit(high).alias("_b"))
+    return given.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, state double", "x double", "append", GroupStateTimeout.NoTimeout)
