@@ -3,8 +3,10 @@
 Centroids are fitted on a bounded sample, with a penalty on full clusters. Inner-product search becomes
 distance search by one more coordinate, sqrt(max norm^2 - norm^2), which is 0 for queries. Every vector
 goes to its nearest centroid and, if it lies near a boundary, to each further one within
-`boundary` times that distance. A query walks a neighbour graph over the centroids in memory, keeps the
-lists within `prune` times the nearest centroid's distance, and is scored exactly against their members.
+`boundary` times that distance. A query walks a neighbour graph over the centroids in memory and takes lists
+in distance order: first, whatever their distance, until their sizes sum to `floor` (at least `copies * (k + 1)`,
+so that they hold k other rows if there are so many), then those within `prune` times the distance reached, up
+to a number that grows with the root of the number of centroids. Members are scored exactly.
 
 Equal vectors are one entry with their smallest `k + 1` ids, which are all that can be among a query's
 k nearest, and one search serves all queries with that vector. Lists longer than `part` are read in
@@ -17,6 +19,7 @@ another vector are candidates of their own; fewer than k candidates: all found;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +39,10 @@ class AnnConfig:
     most_centroids: int = 8192  # bound of what each task holds in memory
     boundary: float = 1.15  # distance ratio up to which a vector joins further lists
     copies: int = 4
-    lists: int = 48  # most lists of a query
-    prune: float = 1.6  # distance ratio beyond which a list is skipped
+    lists: int = 48  # lists of a query beyond the floor: at most this, or
+    lists_root: float = 6.0  # this times the root of the number of centroids, if that is more
+    floor: int = 2000  # summed list sizes that a query reads whatever the distance
+    prune: float = 1.6  # ratio to the distance at the floor beyond which a list is skipped
     degree: int = 24  # of the centroid graph
     part: int = 2000  # members of a list that one unit of work reads
     every: int = 20  # queries: ids divisible by this
@@ -64,15 +69,31 @@ def fit_centroids(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndar
 @dataclass
 class CentroidGraph:
     c: np.ndarray
-    near: np.ndarray  # for each centroid the numbers of its nearest others
+    near: list[np.ndarray]  # for each centroid the numbers of its nearest others, and of those it is nearest to
     starts: np.ndarray
 
     @staticmethod
     def build(c: np.ndarray, cfg: AnnConfig) -> CentroidGraph:
         d = (c * c).sum(1) - 2 * c @ c.T
-        near = np.argsort(d, axis=1)[:, 1 : cfg.degree + 1]
+        out = np.argsort(d, axis=1)[:, 1 : cfg.degree + 1]
+        a, b = np.repeat(np.arange(len(c)), out.shape[1]), out.ravel()
+        edges = np.unique(np.concatenate([np.stack([a, b], 1), np.stack([b, a], 1)]), axis=0)  # one-way edges lose regions
+        near = np.split(edges[:, 1], np.searchsorted(edges[:, 0], np.arange(1, len(c))))
         rng = np.random.default_rng(cfg.seed)
-        return CentroidGraph(c, near, rng.choice(len(c), min(len(c), 32), replace=False))
+        return CentroidGraph(c, near, rng.choice(len(c), min(len(c), max(32, len(c) // 8)), replace=False))
+
+    def lists(self, q: np.ndarray, size: np.ndarray, cfg: AnnConfig) -> np.ndarray:
+        """The lists a query reads, of which `size` has the members."""
+        most = max(cfg.lists, math.ceil(cfg.lists_root * math.sqrt(len(self.c))))
+        floor = min(max(cfg.floor, cfg.copies * (cfg.k + 1)), size.sum())
+        at, dist = self.search(q, most)
+        if size[at].sum() < floor:
+            dist = np.sqrt(((self.c - q) ** 2).sum(1))
+            at = np.argsort(dist, kind="stable")
+            dist = dist[at]
+        least = int(np.searchsorted(np.cumsum(size[at]), floor)) + 1
+        within = int((dist <= cfg.prune * dist[least - 1] + 1e-12).sum())
+        return at[: max(least, min(within, most))]
 
     def search(self, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """The `want` nearest centroids and their distances: best-first over the graph, with a pool of
@@ -86,7 +107,7 @@ class CentroidGraph:
         while not done.all():
             open_ = np.flatnonzero(~done)[:8]
             done[open_] = True
-            new = np.unique(self.near[pool[open_]])
+            new = np.unique(np.concatenate([self.near[i] for i in pool[open_]]))
             new = new[~seen[new]]
             if len(new):
                 seen[new] = True
@@ -140,19 +161,18 @@ def search(vectors: DataFrame, cfg: AnnConfig = AnnConfig()) -> DataFrame:
 
     def ask(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = []
-            for h, v in zip(pdf["h"], pdf["v"], strict=True):
-                at, dist = graph.value.search(np.append(v, 0.0), cfg.lists)
-                # distances carry the same offset for all lists; ratios are taken on what differs
-                use = at[dist <= cfg.prune * dist[0] + 1e-12]
-                rows.append((h, v, use))
-            yield pd.DataFrame(rows, columns=["qh", "q", "list"])
+            rows = [(h, low, v, graph.value.lists(np.append(v, 0.0), sizes.value, cfg)) for h, low, v in zip(pdf["h"], pdf["low"], pdf["v"], strict=True)]
+            yield pd.DataFrame(rows, columns=["qh", "low", "q", "list"])
 
     posted = stage(few.select("h", "v", "ids").mapInPandas(post, "list long, h long, v array<double>, ids array<long>"), "postings")
-    size = posted.groupBy("list").agg(F.count("*").alias("members"))
+    size = stage(posted.groupBy("list").agg(F.count("*").alias("members")), "sizes")
+    filled = np.zeros(n, np.int64)
+    for row in size.collect():  # one row per centroid
+        filled[row["list"]] = row["members"]
+    sizes = spark.sparkContext.broadcast(filled)
     parts = F.greatest(F.lit(1), F.ceil(F.col("members") / cfg.part))
     posted = posted.join(F.broadcast(size), "list").withColumn("part", F.pmod("h", parts)).drop("members")  # one row per centroid
-    asks = few.where("ask").select("h", "v").mapInPandas(ask, "qh long, q array<double>, list array<long>").withColumn("list", F.explode("list"))
+    asks = few.where("ask").select("h", F.col("ids")[0].alias("low"), "v").mapInPandas(ask, "qh long, low long, q array<double>, list array<long>").withColumn("list", F.explode("list"))
     asks = asks.join(F.broadcast(size), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
     chunk = F.pmod(F.col("qh"), F.lit(16))  # queries of a popular list are spread too
 
@@ -160,20 +180,21 @@ def search(vectors: DataFrame, cfg: AnnConfig = AnnConfig()) -> DataFrame:
         rows = []
         if len(left) and len(right):
             right = right.drop_duplicates(["h"], ignore_index=True) if right["h"].duplicated().any() else right
-            y, low = np.stack(right["v"].to_numpy()), np.array([z[0] for z in right["ids"]])
-            for qh, q in zip(left["qh"], left["q"], strict=True):
+            y, first = np.stack(right["v"].to_numpy()), np.array([z[0] for z in right["ids"]])
+            for qh, low, q in zip(left["qh"], left["low"], left["q"], strict=True):
                 s = np.einsum("nd,d->n", y, np.asarray(q))  # one order of summing for every row
-                for j in np.lexsort((low, -s))[: k + 1]:
-                    rows.append((qh, q, right["ids"].iloc[j], float(s[j])))
-        return pd.DataFrame(rows, columns=["qh", "q", "ids", "score"])
+                for j in np.lexsort((first, -s))[: k + 1]:
+                    rows.append((qh, low, right["ids"].iloc[j], float(s[j])))
+        return pd.DataFrame(rows, columns=["qh", "low", "ids", "score"])
 
-    units = asks.select("qh", "q", "list", "part", (chunk if total > 500_000 else F.lit(0)).alias("chunk"))
+    units = asks.select("qh", "low", "q", "list", "part", (chunk if total > 500_000 else F.lit(0)).alias("chunk"))
     data = posted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(15)) if total > 500_000 else F.array(F.lit(0))))
-    got = units.groupBy("list", "part", "chunk").cogroup(data.groupBy("list", "part", "chunk")).applyInPandas(score, "qh long, q array<double>, ids array<long>, score double")
-    flat = got.select("qh", "q", "score", F.explode("ids").alias("vec_id")).distinct()
-    best = F.row_number().over(Window.partitionBy("qh", "q").orderBy(F.desc("score"), "vec_id"))
+    got = units.groupBy("list", "part", "chunk").cogroup(data.groupBy("list", "part", "chunk")).applyInPandas(score, "qh long, low long, ids array<long>, score double")
+    flat = got.select("qh", "low", "score", F.explode("ids").alias("vec_id")).distinct()
+    best = F.row_number().over(Window.partitionBy("qh", "low").orderBy(F.desc("score"), "vec_id"))
     flat = flat.withColumn("r", best).where(F.col("r") <= k + 1)
-    near = flat.groupBy("qh", "q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+    near = flat.groupBy("qh", "low").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+    near = near.join(few.where("ask").select(F.col("h").alias("qh"), F.col("ids")[0].alias("low"), F.col("v").alias("q")), ["qh", "low"])
     who = vec.where(F.col("vec_id") % cfg.every == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("qh"), F.col("v").alias("q"))
     mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return who.join(near, ["qh", "q"]).select("query_id", F.posexplode(mine).alias("pos", "x")).select(

@@ -160,6 +160,24 @@ def test_ann_recall_and_ties(spark):
     assert [by[100][k][0] for k in (1, 2, 3)] == [7, 101, 102]
 
 
+def test_ann_dense_clusters(spark):
+    """Many lists, and groups of near copies smaller than k: each query still gets k rows, and the right ones."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(250, 16)), 8, axis=0) + 1e-4 * rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = collections.defaultdict(set)
+    for r in ann.op5(spark.createDataFrame(data, "vec_id long, embedding array<double>"), ann.AnnConfig(list_size=8, floor=300)).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 2000, 20):
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+        assert len(got[q]) == 20
+    assert hit / (100 * 20) >= 0.95
+
+
 def test_pieces_equal_library(docs):
     import public_tokenizers
     import sentencepiece
