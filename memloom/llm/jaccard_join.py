@@ -109,25 +109,25 @@ def _node(u: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """doc_id, n, node, keys. Copies within a task give their keys once; sets of fewer than six
+    """doc_id, h (hash of the text), n, node, point, keys. Copies within a task give their keys once; sets of fewer than six
     tokens link only with equal sets and give none."""
     least = math.ceil(cfg.percent / (100 - cfg.percent))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in it:
-            for ids, texts in small_batches(list(pdf["doc_id"]), list(pdf["text"])):
+            for ids, texts in small_batches(list(zip(pdf["doc_id"], pdf["h"], strict=True)), list(pdf["text"])):
                 rows = []
-                for i, u in zip(ids, shingles(texts, cfg.words), strict=True):
+                for (i, h), u in zip(ids, shingles(texts, cfg.words), strict=True):
                     node = _node(u) if len(u) else None
                     fresh = len(u) >= least and node not in seen
                     if fresh:
                         seen.add(node)
-                    rows.append((i, len(u), node, point(u, cfg), block_keys(u, cfg) if fresh else None))
-                i, n, node, pt, keys = zip(*rows, strict=True)
-                yield pd.DataFrame({"doc_id": ints(i), "n": n, "node": ints(node), "point": pt, "keys": keys})
+                    rows.append((i, h, len(u), node, point(u, cfg), block_keys(u, cfg) if fresh else None))
+                i, h, n, node, pt, keys = zip(*rows, strict=True)
+                yield pd.DataFrame({"doc_id": ints(i), "h": h, "n": n, "node": ints(node), "point": pt, "keys": keys})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, node long, point binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInPandas(run, "doc_id long, h long, n long, node long, point binary, keys array<long>")
 
 
 def point(u: np.ndarray, cfg: JaccardConfig) -> bytes:
@@ -279,8 +279,8 @@ def pending(blocks: DataFrame, lab: DataFrame | None) -> DataFrame:
     return x.withColumn("_lo", F.min("label").over(w)).withColumn("_hi", F.max("label").over(w)).where("_lo < _hi").drop("_lo", "_hi")
 
 
-def classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """doc_id, n, component_id for every row of docs (doc_id, text)."""
+def labelled(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """doc_id, h (hash of the text), n and label, null for n = 0, of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = stage(shingle_sets(docs, cfg), "shingles")
     sets = stage(full.drop("keys"), "nodes")
@@ -321,7 +321,12 @@ def classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
                 release(docs.sparkSession)
                 links = got if links is None else links.union(got)
                 lab = components(links)
-    rows = with_label(sets.select("doc_id", "n", "node"), "node", lab, "label")
+    return with_label(sets.select("doc_id", "h", "n", "node"), "node", lab, "label").drop("node")
+
+
+def classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """doc_id, n, component_id for every row of docs (doc_id, text)."""
+    rows = labelled(docs, cfg)
     named = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("head"))
     return rows.join(named, "label", "left").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"))
 
@@ -344,6 +349,13 @@ def op9(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """docs with one document of each component: the one its component is named after."""
-    heads = classes(docs, cfg).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """docs with one row of each component: the one of smallest id, null ids last, then of smallest
+    hash of the text, then of smallest hash of the row. Rows without words all stay."""
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("m")
+    keys = labelled(docs, cfg).where("label is not null").groupBy("label").agg(pick)
+    keys = keys.select(F.coalesce("m.doc_id", F.lit(0)).alias("_i"), F.col("m.h").alias("_h"))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(words).withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_h", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.col("doc_id").isNull(), F.xxhash64(*docs.columns), *docs.columns))
+    rows = rows.join(keys.distinct(), ["_i", "_h"], "left_semi").withColumn("_r", first).where("_r = 1")
+    return rows.select(docs.columns).union(docs.where(~words))

@@ -90,6 +90,17 @@ def test_jaccard_brute(docs):
         assert sorted(tuple(r) for r in jaccard_join.op9(docs, cfg).collect()) == want
 
 
+def test_keep_one_rows(spark):
+    """One row of each component, by row and not by doc_id: shared ids, null ids, texts without words."""
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    a, b, c, d, e = (text() for _ in range(5))
+    data = [(5, a), (5, b), (6, a), (1, c), (2, c + " tail"), (2, d), (None, d), (None, e), (None, e), (None, None), (None, ""), (3, None), (3, None)]
+    out = jaccard_join.keep_one(spark.createDataFrame(data, "doc_id long, text string").repartition(5))
+    want = [(5, a), (5, b), (1, c), (2, d), (None, e), (None, None), (None, ""), (3, None), (3, None)]
+    assert collections.Counter(tuple(r) for r in out.collect()) == collections.Counter(want)
+
+
 def test_secrets_brute(docs):
     rx = [re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
     want = []
