@@ -20,8 +20,8 @@ Every linked pair of different components is verified or has both ends already c
 components are exact. Pairs inside a component are never expanded.
 
 Defined cases: null text, or a text without words: n_shingles 0, linked with nothing; under four words:
-one shingle, the whole sequence; rows that repeat a doc_id are documents of their own; a row with a null
-doc_id is linked with equal sets only; empty table: empty result. Shingle identity is a
+one shingle, the whole sequence; rows that repeat a doc_id are documents of their own, and so are rows with
+a null doc_id, which only give no component_id; empty table: empty result. Shingle identity is a
 64-bit hash, of which verification reads 48 bits (for two sets of 1,000 a chance of 4e-9 to miscount).
 """
 
@@ -135,10 +135,13 @@ def point(u: np.ndarray, cfg: JaccardConfig) -> bytes:
 
 
 def node_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """node and set (48 bits of each of its hashes) of the given documents."""
+    """node and set (48 bits of each of its hashes) of the given documents; copies within a task once."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for pdf in it:
+            pdf = pdf[~(pdf["node"].isin(seen) | pdf["node"].duplicated())]
+            seen.update(pdf["node"])
             for want, texts in small_batches(list(pdf["node"]), list(pdf["text"])):
                 us = shingles(texts, cfg.words)
                 rows = [(i, u.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for i, u in zip(want, us, strict=True) if len(u) and _node(u) == i]
@@ -188,10 +191,11 @@ def _may(cfg: JaccardConfig):
 
 def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """Those of the distinct node pairs (a, b) that link, checked on whole sets made from the texts.
-    heads: node and the id of one document that has it."""
+    heads: node, and id (0 for null) and text hash of one row that has it."""
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(heads, "node")
-    by_node = node_sets(docs.join(wanted, "doc_id"), cfg).repartition("node")  # one exchange for both sides
+    rows = docs.withColumn("_i", F.coalesce("doc_id", F.lit(0))).withColumn("_h", F.xxhash64("text")).join(wanted, ["_i", "_h"])
+    by_node = node_sets(rows, cfg).repartition("node").dropDuplicates(["node"])  # one exchange for both sides
     left = by_node.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     right = by_node.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     got = stage(pairs.join(left, "a").join(right, "b").where(_linked(cfg)("sa", "sb")).select("a", "b"), "links")
@@ -290,7 +294,8 @@ def labelled(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame
     blocks = stage(met.select("key", "node").distinct(), "blocks")
     discard(full)
     lab, links = None, None
-    heads = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("m")
+    heads = sets.where("n > 0").groupBy("node").agg(one).select("node", F.coalesce("m.doc_id", F.lit(0)).alias("_i"), F.col("m.h").alias("_h"))
     if not blocks.isEmpty():
         nodes = stage(sets.join(blocks.select("node").distinct(), "node").dropDuplicates(["node"]).select("node", "n", "point"), "points")
         open_blocks, left = blocks, None

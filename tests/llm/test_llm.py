@@ -101,6 +101,19 @@ def test_keep_one_rows(spark):
     assert collections.Counter(tuple(r) for r in out.collect()) == collections.Counter(want)
 
 
+def test_jaccard_null_ids(spark):
+    """A null-id text bridges two documents that do not link directly; near copies among null ids link."""
+    w = [f"w{k}" for k in range(130)]
+    far = [f"v{k}" for k in range(100)]
+    data = [(1, w[:110]), (None, w[8:118]), (2, w[16:126]), (None, far), (None, [*far, "end"]), (3, [f"u{k}" for k in range(60)])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in data], "doc_id long, text string").repartition(3)
+    for cfg in (jaccard_join.JaccardConfig(), jaccard_join.JaccardConfig(leaf=2, star_rounds=0)):
+        got = collections.Counter((r.doc_id, r.component_id) for r in jaccard_join.op9(docs, cfg).collect())
+        assert got == collections.Counter([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (3, 3)])
+        kept = collections.Counter(r.doc_id for r in jaccard_join.keep_one(docs, cfg).collect())
+        assert kept == collections.Counter([1, None, 3])
+
+
 def test_secrets_brute(docs):
     rx = [re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
     want = []
