@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a fresh one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. A session on this machine alone may leave it unset and gets
+    a temporary one; on a cluster that is an error, as executors would not see each other's files."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_memloom_dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='memloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = spark.sparkContext._memloom_dir = f"file://{tempfile.mkdtemp(prefix='memloom-')}"
     return path.rstrip("/")
 
 
@@ -47,6 +49,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables that no later step reads, and let Spark drop the shuffle files of finished
     steps (it does so when the driver collects its garbage): both would else stay until the end."""
+    if not staged:
+        return
     jvm = staged[0].sparkSession._jvm
     conf = staged[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
     for df in staged:

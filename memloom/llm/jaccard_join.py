@@ -12,9 +12,11 @@ a set's group counts are its point, and for two sets the summed coordinate minim
    each node is verified against the lead it shares most keys with. Links are contracted to components,
    and only blocks still holding several components go on. A large group of near copies collapses here
    with one pair for each copy and round.
-3. In the blocks that are left, an R-tree join: points are packed into leaves by size and counts,
-   leaves meet where the bound of their boxes allows a link, points meet where their own bound does,
-   and pairs of different components that survive are verified on the sets themselves.
+3. In the blocks that are left, an R-tree join: points are packed into leaves by size and counts, leaves
+   into boxes of as many levels as the block needs; boxes meet where their bound allows a link, points
+   meet where their own bound does.
+4. Before a pair's sets are made, the same bound is taken on finer counts (about four tokens a group), which
+   leaves hardly a pair that does not link. Pairs of different components are verified on whole sets.
 
 Every linked pair of different components is verified or has both ends already connected, so the
 components are exact. Pairs inside a component are never expanded.
@@ -27,6 +29,7 @@ a null doc_id, which only give no component_id; empty table: empty result. Shing
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import Words, discard, ints, mix64, release, small_batches, stage
+from memloom.llm.common import Words, discard, ints, mix64, small_batches, stage
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,8 @@ class JaccardConfig:
     groups: int = 64  # coordinates of a point
     class_ratio: float = 1.6  # sizes of one block class lie within this ratio
     leaf: int = 512  # points of an R-tree leaf
+    fan: int = 16  # boxes under a box of the next level
+    sent: int = 100_000  # wanted nodes (24 bytes each) up to which they are sent to the texts
     star_rounds: int = 6  # at most
     worth: float = 0.8  # a further star round must leave less than this share of the block rows
 
@@ -109,8 +114,8 @@ def _node(u: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """doc_id, h (hash of the text), n, node, point, keys. Copies within a task give their keys once; sets of fewer than six
-    tokens link only with equal sets and give none."""
+    """doc_id, h (hash of the text), n, node, fine (counts), keys. Copies within a task give their keys once; sets of
+    fewer than six tokens link only with equal sets and give none."""
     least = math.ceil(cfg.percent / (100 - cfg.percent))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,15 +128,22 @@ def shingle_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
                     fresh = len(u) >= least and node not in seen
                     if fresh:
                         seen.add(node)
-                    rows.append((i, h, len(u), node, point(u, cfg), block_keys(u, cfg) if fresh else None))
-                i, h, n, node, pt, keys = zip(*rows, strict=True)
-                yield pd.DataFrame({"doc_id": ints(i), "h": h, "n": n, "node": ints(node), "point": pt, "keys": keys})
+                    rows.append((i, h, len(u), node, fine_counts(u, cfg) if fresh else None, block_keys(u, cfg) if fresh else None))
+                i, h, n, node, fine, keys = zip(*rows, strict=True)
+                yield pd.DataFrame({"doc_id": ints(i), "h": h, "n": n, "node": ints(node), "fine": fine, "keys": keys})
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInPandas(run, "doc_id long, h long, n long, node long, point binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInPandas(run, "doc_id long, h long, n long, node long, fine binary, keys array<long>")
 
 
-def point(u: np.ndarray, cfg: JaccardConfig) -> bytes:
-    return np.bincount((u >> np.uint64(40)).astype(np.int64) % cfg.groups, minlength=cfg.groups).astype(np.int32).tobytes()
+def fine_counts(u: np.ndarray, cfg: JaccardConfig) -> bytes:
+    """Tokens counted in a power of two of groups, about four tokens to one; group g of fewer groups is the sum
+    of the groups that are g modulo their number, so counts of two sizes compare in the coarser one."""
+    groups = max(cfg.groups, 1 << max(0, (len(u) // 4 - 1).bit_length()))
+    return np.bincount((u >> np.uint64(20)).astype(np.int64) % groups, minlength=groups).astype(np.uint16).tobytes()
+
+
+def folded(fine: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(fine, np.uint16).reshape(-1, groups).sum(0, dtype=np.int32)
 
 
 def node_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
@@ -189,34 +201,69 @@ def _may(cfg: JaccardConfig):
     return may
 
 
-def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Those of the distinct node pairs (a, b) that link, checked on whole sets made from the texts.
-    heads: node, and id (0 for null) and text hash of one row that has it."""
-    pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(heads, "node")
-    rows = docs.withColumn("_i", F.coalesce("doc_id", F.lit(0))).withColumn("_h", F.xxhash64("text")).join(wanted, ["_i", "_h"])
+def _point(cfg: JaccardConfig):
+    g = cfg.groups
+
+    @F.pandas_udf("binary")
+    def point(fine: pd.Series) -> pd.Series:
+        return pd.Series([folded(x, g).tobytes() for x in fine])
+
+    return point
+
+
+def _finely(cfg: JaccardConfig):
+    p = cfg.percent
+
+    @F.pandas_udf("boolean")
+    def finely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        out = []
+        for x, y, n in zip(a, b, na + nb, strict=True):
+            g = min(len(x), len(y)) // 2
+            out.append((100 + p) * int(np.minimum(folded(x, g), folded(y, g)).sum()) >= p * n)
+        return pd.Series(out, dtype=bool)
+
+    return finely
+
+
+def within_bound(pairs: DataFrame, nodes: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Pairs (a, b) whose sizes and fine counts allow a link."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
+    return both.where(_finely(cfg)("fa", "fb", "na", "nb")).drop("na", "nb", "fa", "fb")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Those of the distinct node pairs (a, b), a staged table, that link: checked on whole sets made from the
+    texts. nodes: node, and the id (0 for null) and text hash of one row that has it. Texts stay where they are
+    while the wanted nodes are few enough to be sent to them (`cfg.sent`, counted), else both are shuffled."""
+    few = 2 * pairs.count() <= cfg.sent
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "_i", "_h"), "node")
+    rows = docs.withColumn("_i", F.coalesce("doc_id", F.lit(0))).withColumn("_h", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, ["_i", "_h"])
     by_node = node_sets(rows, cfg).repartition("node").dropDuplicates(["node"])  # one exchange for both sides
     left = by_node.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     right = by_node.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    got = stage(pairs.join(left, "a").join(right, "b").where(_linked(cfg)("sa", "sb")).select("a", "b"), "links")
-    discard(pairs)
-    return got
+    return stage(pairs.join(left, "a").join(right, "b").where(_linked(cfg)("sa", "sb")).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label for every node of links (a, b): label is the component's smallest node. Rounds of
     taking the smallest neighbouring label and then the label's own label, until nothing changes."""
     both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    tasks = 8 + both.count() // 200_000  # tables of few rows are handled by few tasks
     lab = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    lab = stage(lab, "labels")
+    lab = stage(lab.coalesce(tasks), "labels")
     while True:
-        near = both.join(lab.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = lab.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(lab.select(F.col("node").alias("b"), "label"), "b").coalesce(tasks).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = lab.join(near, "node").coalesce(tasks).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = lab.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = stage(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        if new.where("old <> label").isEmpty():
-            return new.select("node", "label")
+        new = stage(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")).coalesce(tasks), "labels")
+        done = new.where("old <> label").isEmpty()
+        discard(lab, *([both] if done else []))
         lab = new.select("node", "label")
+        lab._staged_at = new._staged_at
+        if done:
+            return lab
 
 
 def with_label(df: DataFrame, col: str, lab: DataFrame | None, name: str) -> DataFrame:
@@ -226,25 +273,50 @@ def with_label(df: DataFrame, col: str, lab: DataFrame | None, name: str) -> Dat
     return df.join(lab.select(F.col("node").alias(col), F.col("label").alias("_l")), col, "left").withColumn(name, F.coalesce("_l", col)).drop("_l")
 
 
-def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Pairs (a, b) of one block and different labels whose points allow a link.
+def _box(cfg: JaccardConfig):
+    """The box of a group of boxes or points: least and greatest size, upper corner."""
+    g = cfg.groups
 
-    blocks: key, node, label, n, point. Leaves of a block hold about cfg.leaf points near in size and
-    counts; boxes of leaves are joined on the block, and each pair of leaves that may hold a link is
-    one unit of work with its own members only."""
-    p, g, leaf = cfg.percent, cfg.groups, cfg.leaf
-    w = Window.partitionBy("key").orderBy("n", "point", "node")
-    packed = stage(blocks.withColumn("leaf", F.floor((F.row_number().over(w) - 1) / leaf)), "leaves")
+    def box(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        top = np.frombuffer(b"".join(pdf["top"]), np.int32).reshape(-1, g).max(0)
+        return pd.DataFrame({"key": [key[0]], "no": [key[1]], "low": [pdf["low"].min()], "high": [pdf["high"].max()], "top": [top.tobytes()]})
+
+    return box
 
-    def box(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = np.frombuffer(b"".join(pdf["point"]), np.int32).reshape(-1, g).max(0)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "leaf": [pdf["leaf"].iloc[0]], "low": [pdf["n"].min()], "high": [pdf["n"].max()], "top": [top.tobytes()]})
 
-    boxes = packed.where("leaf > 0").select("key").distinct().join(packed, "key").groupBy("key", "leaf").applyInPandas(box, "key long, leaf long, low long, high long, top binary")
+def meeting(boxes: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """key, i, j (i <= j) of the boxes (key, no, low, high, top) of one block whose bound allows a link. Where a block has
+    more than `cfg.fan` squared boxes, `cfg.fan` of them in a row get a box of the next level, and only children of
+    meeting parents are compared."""
+    one = boxes.select("key", F.col("no").alias("i"), F.col("low").alias("li"), F.col("high").alias("hi"), F.col("top").alias("ti"))
+    two = boxes.select("key", F.col("no").alias("j"), F.col("low").alias("lj"), F.col("high").alias("hj"), F.col("top").alias("tj"))
+    p = cfg.percent
+    sizes = (F.col("hi") * 100 >= F.col("lj") * p) & (F.col("hj") * 100 >= F.col("li") * p) & (F.col("i") <= F.col("j"))
+    if boxes.groupBy("key").count().where(F.col("count") > cfg.fan**2).isEmpty():
+        pairs = one.join(two, "key")
+    else:
+        up = F.floor(F.col("no") / cfg.fan)
+        higher = stage(boxes.withColumn("up", up).groupBy("key", "up").applyInPandas(_box(cfg), "key long, no long, low long, high long, top binary"), "boxes")
+        over = meeting(higher, cfg).select("key", F.col("i").alias("ui"), F.col("j").alias("uj"))
+        pairs = over.join(one.withColumn("ui", F.floor(F.col("i") / cfg.fan)), ["key", "ui"]).join(two.withColumn("uj", F.floor(F.col("j") / cfg.fan)), ["key", "uj"])
+    return pairs.where(sizes).where(_may(cfg)("ti", "tj", "li", "lj")).select("key", "i", "j")
+
+
+def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Pairs (a, b) of one block and different labels whose points allow a link, and fit, the bound's share of both sizes.
 
-    one = boxes.select("key", F.col("leaf").alias("i"), F.col("low").alias("li"), F.col("high").alias("hi"), F.col("top").alias("ti"))
-    two = boxes.select("key", F.col("leaf").alias("j"), F.col("low").alias("lj"), F.col("high").alias("hj"), F.col("top").alias("tj"))
-    meet = one.join(two, "key").where((F.col("i") < F.col("j")) & (F.col("hi") * 100 >= F.col("lj") * p)).where(_may(cfg)("ti", "tj", "li", "lj")).select("key", "i", "j")
+    blocks: key, members (rows of the block), node, label, n, point. Leaves of a block hold about cfg.leaf points near in
+    size and counts (a block of many rows is first dealt into slices, each packed on its own); each pair of leaves that
+    may hold a link is one unit of work with its own members only."""
+    p, g, leaf = cfg.percent, cfg.groups, cfg.leaf
+    slices = F.ceil(F.col("members") / (leaf * 200))
+    blocks = blocks.withColumn("slice", F.pmod(F.xxhash64("node"), slices))
+    w = Window.partitionBy("key", "slice").orderBy("n", "point", "node")
+    packed = stage(blocks.withColumn("leaf", F.col("slice") * (1 << 20) + F.floor((F.row_number().over(w) - 1) / leaf)).drop("slice", "members"), "leaves")
+    many = packed.where("leaf > 0").select("key").distinct()
+    points = many.join(packed, "key").select("key", F.col("leaf").alias("no"), F.col("n").alias("low"), F.col("n").alias("high"), F.col("point").alias("top"))
+    boxes = stage(points.groupBy("key", "no").applyInPandas(_box(cfg), "key long, no long, low long, high long, top binary"), "boxes")
+    meet = stage(meeting(boxes, cfg).where("i < j"), "meet")
     within = packed.select("key", F.col("leaf").alias("i"), F.col("leaf").alias("j"), F.lit(0).alias("side"), "node", "label", "n", "point")
     rest = ["node", "label", "n", "point"]
     first = meet.join(packed.withColumnRenamed("leaf", "i"), ["key", "i"]).select("key", "i", "j", F.lit(0).alias("side"), *rest)
@@ -272,60 +344,75 @@ def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig) -> DataFrame:
         return pd.concat(out, ignore_index=True).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "fit": []})
 
     units = within.union(first).union(second)
-    buckets = max(1, packed.count() // 20000)
+    buckets = 1 + (packed.count() + 2 * leaf * meet.count()) // 20000
     return units.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long, fit double").groupBy("a", "b").agg(F.max("fit").alias("fit"))
 
 
-def pending(blocks: DataFrame, lab: DataFrame | None) -> DataFrame:
-    """Rows of the blocks that hold more than one component, labelled."""
-    w = Window.partitionBy("key")
+def pending(blocks: DataFrame, lab: DataFrame | None, r: int) -> DataFrame:
+    """Rows of the blocks that hold more than one component: key, node, label, members (rows of the block) and the block's
+    lead in round r. What a block is judged by is aggregated before it meets its rows, so a hot block can be split."""
     x = with_label(blocks, "node", lab, "label")
-    return x.withColumn("_lo", F.min("label").over(w)).withColumn("_hi", F.max("label").over(w)).where("_lo < _hi").drop("_lo", "_hi")
+    lead = F.min(F.struct(_order("label", r).alias("o"), F.col("label"), F.col("node"))).alias("_p")
+    per = x.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("members"), lead).where("_lo < _hi")
+    return x.join(per.select("key", "members", F.col("_p.label").alias("lead_label"), F.col("_p.node").alias("lead")), "key")
 
 
 def labelled(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     """doc_id, h (hash of the text), n and label, null for n = 0, of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = stage(shingle_sets(docs, cfg), "shingles")
-    sets = stage(full.drop("keys"), "nodes")
-    w = Window.partitionBy("key")
     keyed = full.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    met = keyed.withColumn("_lo", F.min("node").over(w)).withColumn("_hi", F.max("node").over(w)).where("_lo < _hi")
-    blocks = stage(met.select("key", "node").distinct(), "blocks")
-    discard(full)
-    lab, links = None, None
+    shared = keyed.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("key")
+    blocks = stage(keyed.join(shared, "key").distinct(), "blocks")
+    inside = blocks.select("node").distinct()
     one = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("m")
-    heads = sets.where("n > 0").groupBy("node").agg(one).select("node", F.coalesce("m.doc_id", F.lit(0)).alias("_i"), F.col("m.h").alias("_h"))
-    if not blocks.isEmpty():
-        nodes = stage(sets.join(blocks.select("node").distinct(), "node").dropDuplicates(["node"]).select("node", "n", "point"), "points")
-        open_blocks, left = blocks, None
-        for r in range(cfg.star_rounds):
-            marked = stage(pending(open_blocks, lab), "pending")
-            rows = marked.count()
-            if not rows or left is not None and rows > cfg.worth * left:
-                break  # what is left are blocks of sets that do not link
-            left = rows
-            lead = F.min(F.struct(_order("label", r).alias("o"), F.col("label"), F.col("node"))).over(Window.partitionBy("key"))
-            met = marked.withColumn("_p", lead).where("_p.label <> label").groupBy(F.col("_p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-            star = within_bound(met, nodes, cfg).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-            got = verify(star, docs, heads, cfg)
-            release(docs.sparkSession)
-            links = got if links is None else links.union(got)
-            lab = components(links)
-            open_blocks = marked.select("key", "node")
-        last = stage(pending(open_blocks, lab), "pending")
-        if not last.isEmpty():
-            # the best-bounded partners of each node first: most other pairs then lie within a component
-            cand = stage(rtree_pairs(last.join(nodes, "node"), cfg), "candidates")
-            ends = cand.select("a", "b", "fit", F.explode(F.array("a", "b")).alias("end"))
-            top = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("fit"), "a", "b"))
-            best = ends.withColumn("r", top).where("r <= 2").select("a", "b").distinct()
-            for part in (best, cand.select("a", "b")):
-                open_pairs = with_label(with_label(part, "a", lab, "la"), "b", lab, "lb").where("la <> lb").select("a", "b")
-                got = verify(open_pairs, docs, heads, cfg)
-                release(docs.sparkSession)
-                links = got if links is None else links.union(got)
-                lab = components(links)
+    heads = full.where("n > 0").join(inside, "node").groupBy("node").agg(F.first("n").alias("n"), F.max("fine").alias("fine"), one)
+    nodes = stage(heads.select("node", "n", "fine", F.coalesce("m.doc_id", F.lit(0)).alias("_i"), F.col("m.h").alias("_h")), "points")
+    sets = stage(full.drop("keys", "fine"), "nodes")
+    discard(full)
+    lab, links = None, []
+
+    def join_up(pairs: DataFrame) -> None:
+        """Verify pairs of a staged table and let the labels follow the links found."""
+        nonlocal lab
+        got = verify(pairs, docs, nodes, cfg)
+        discard(pairs)
+        if got.isEmpty():
+            discard(got)
+            return
+        links.append(got)
+        new = components(functools.reduce(DataFrame.union, links))
+        discard(*([] if lab is None else [lab]))
+        lab = new
+
+    open_blocks, left = blocks, None
+    for r in range(cfg.star_rounds + 1):
+        marked = stage(pending(open_blocks, lab, r), "pending")
+        discard(open_blocks)
+        open_blocks = marked.select("key", "node")
+        open_blocks._staged_at = marked._staged_at
+        rows = marked.count()
+        if not rows or r == cfg.star_rounds or left is not None and rows > cfg.worth * left:
+            break  # what is left are blocks of sets that do not link
+        left = rows
+        met = marked.where("lead_label <> label").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+        star = met.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+        join_up(stage(within_bound(star, nodes, cfg), "pairs"))
+    if rows:
+        points = nodes.select("node", "n", _point(cfg)("fine").alias("point"))
+        near = rtree_pairs(marked.select("key", "members", "node", "label").join(points, "node"), cfg)
+        cand = stage(within_bound(near, nodes, cfg), "candidates")
+        # the best-bounded partners of each node first: most other pairs then lie within a component
+        ends = cand.select("a", "b", "fit", F.explode(F.array("a", "b")).alias("end"))
+        top = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("fit"), "a", "b"))
+        best = stage(ends.withColumn("r", top).where("r <= 2").select("a", "b").distinct(), "pairs")
+        some = best.count() < cand.count()
+        join_up(best)
+        if some:
+            rest = cand.select("a", "b")
+            join_up(stage(with_label(with_label(rest, "a", lab, "la"), "b", lab, "lb").where("la <> lb").select("a", "b"), "pairs"))
+        discard(cand)
+    discard(open_blocks, nodes, *links)
     return with_label(sets.select("doc_id", "h", "n", "node"), "node", lab, "label").drop("node")
 
 
@@ -336,14 +423,6 @@ def classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     return rows.join(named, "label", "left").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("head")).alias("component_id"))
 
 
-def within_bound(pairs: DataFrame, nodes: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Pairs (a, b) whose sizes and points allow a link."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
-    return both.where(_may(cfg)("pa", "pb", "na", "nb")).drop("na", "nb", "pa", "pb")
-
-
 def _order(col: str, r: int) -> Column:
     return F.col(col) if r == 0 else F.xxhash64(col, F.lit(r))
 
