@@ -1,6 +1,6 @@
 """Registered queries of the memory engine and the SQL they are held against."""
 
-from memloom.plans import dataframes, memory_state, scores, text_rules  # noqa: F401  (they register their queries)
+from memloom.plans import dataframes, memory_state, scores, services, text_rules  # noqa: F401  (they register their queries)
 from memloom.plans.catalog import CATALOG
 from memloom.sources.adapters import DUCK, SPARK, oracle, run
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators.folds import clipped_scores, cooled_down, diversify, moving_average
-from memloom.operators.ranking import global_rank
+from memloom.operators.ranking import global_rank, value_at
 from memloom.sources.adapters import oracle, run
 
 
@@ -38,19 +38,34 @@ def k12_stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return global_rank(rows, ["worse", "id"], "pos").select("id", "pos")
 
 
-def _lag_at(spark: SparkSession, sf_dir: str, name: str, index: Callable[[Column], Column]) -> DataFrame:
-    """The lag at a position (from 1, computed from the number of rows) of the sorted lags."""
-    ranked = global_rank(run(spark, sf_dir, "SELECT lag_ms, event_id FROM lags"), ["lag_ms", "event_id"], "rn")
-    total = run(spark, sf_dir, "SELECT count(*) AS n FROM lags").scalar()
-    return ranked.where(F.col("rn") == index(total)).select(F.col("lag_ms").alias(name))
-
-
 def a21_lag_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lag_at(spark, sf_dir, "p95", lambda n: F.least(F.floor(n * 0.95) + 1, n))
+    return value_at(run(spark, sf_dir, "SELECT lag_ms FROM lags"), "lag_ms", "p95", lambda n: min(int(n * 0.95) + 1, n))
 
 
 def a22_p50_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lag_at(spark, sf_dir, "p50", lambda n: F.floor(n / 2) + 1)
+    return value_at(run(spark, sf_dir, "SELECT lag_ms FROM lags"), "lag_ms", "p50", lambda n: n // 2 + 1)
+
+
+def io3_named_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with named parameters: values are bound, never spliced into the text."""
+    sql = "SELECT id, new_score FROM affinity_history WHERE user_id = :person AND created_at >= :since"
+    return run(spark, sf_dir, sql, {"person": 7, "since": datetime.datetime(2024, 1, 10)})
+
+
+def c3_replay_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log day by day: each user's score after the day (deltas added in order, clipped to -1 .. 1), each entity's
+    mentions up to the day, and the day on which an edge from a user to an entity is appended with weight 1."""
+    events = run(spark, sf_dir, "SELECT user_id, id, created_at, emotion_valence AS delta FROM affinity_history")
+    states = clipped_scores(events, low=-1.0, high=1.0, start=0.0).join(events.select("user_id", "id", "created_at"), ["user_id", "id"])
+    last = states.groupBy("user_id", F.to_date("created_at").alias("day")).agg(F.max_by("score", F.struct("created_at", "id")).alias("v"))
+    score = last.select(F.lit("score").alias("kind"), "day", F.concat(F.lit("u"), "user_id").alias("name"), F.round("v", 6).alias("value"))
+    rest = run(spark, sf_dir, _REPLAY)
+    return score.unionByName(rest)
+
+
+_REPLAY = """SELECT 'mentions' AS kind, day, concat('p', entity_id) AS name, CAST(sum(n) OVER (PARTITION BY entity_id ORDER BY day) AS DOUBLE) AS value
+ FROM (SELECT entity_id, CAST(created_at AS DATE) AS day, count(*) AS n FROM memory_entities GROUP BY entity_id, CAST(created_at AS DATE)) m
+ UNION ALL SELECT 'edge', min(CAST(created_at AS DATE)), concat('u', user_id, '|p', entity_id), 1e0 FROM memory_entities GROUP BY user_id, entity_id"""
 
 
 def m20_message_average(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +83,29 @@ def st7_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (w5_clipped_scores, k9_diversify, st9_sessions, w6_result_rank, k12_stable_order, a21_lag_p95, a22_p50_index, m20_message_average, st7_cooldown)
+    for f in (io3_named_parameters, c3_replay_day, w5_clipped_scores, k9_diversify, st9_sessions, w6_result_rank, k12_stable_order, a21_lag_p95, a22_p50_index, m20_message_average, st7_cooldown)
 }
 
 ORACLE = {
+    "a21_lag_p95": oracle("SELECT lag_ms AS p95 FROM (SELECT lag_ms, row_number() OVER (ORDER BY lag_ms) AS rn, count(*) OVER () AS n FROM lags) z WHERE rn = least(CAST(floor(n * 0.95) AS BIGINT) + 1, n)"),
+    "a22_p50_index": oracle("SELECT lag_ms AS p50 FROM (SELECT lag_ms, row_number() OVER (ORDER BY lag_ms) AS rn, count(*) OVER () AS n FROM lags) z WHERE rn = n // 2 + 1"),
+    "io3_named_parameters": oracle("SELECT id, new_score FROM affinity_history WHERE user_id = 7 AND created_at >= TIMESTAMP '2024-01-10 00:00:00'"),
+    "c3_replay_day": oracle(
+        """WITH RECURSIVE numbered AS (SELECT user_id, id, created_at, emotion_valence AS delta, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS rn FROM affinity_history),
+ walk AS (SELECT user_id, rn, created_at, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, delta)) AS score FROM numbered WHERE rn = 1
+ UNION ALL SELECT n.user_id, n.rn, n.created_at, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, w.score + n.delta)) FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.rn = w.rn + 1)
+ SELECT 'score' AS kind, day, concat('u', user_id) AS name, round(score, 6) AS value FROM (SELECT user_id, CAST(created_at AS DATE) AS day, score, row_number() OVER (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY rn DESC) AS k FROM walk) y WHERE k = 1
+ UNION ALL """ + _REPLAY
+    ),
+    "k9_diversify": oracle(
+        """WITH RECURSIVE best AS (SELECT * FROM (SELECT id % 15 AS user_id, id, source, main_tag AS tag, row_number() OVER (PARTITION BY id % 15 ORDER BY quality_score DESC, id) AS r FROM content_library) y WHERE r <= 100),
+ tried AS (SELECT user_id, r, source IS NULL OR true AS goes, [source] AS sources, [tag] AS tags, id FROM best WHERE r = 1
+ UNION ALL SELECT user_id, r, goes, CASE WHEN goes THEN list_append(sources, source) ELSE sources END, CASE WHEN goes THEN list_append(tags, tag) ELSE tags END, id
+ FROM (SELECT b.user_id, b.r, b.id, b.source, b.tag, t.sources, t.tags,
+  len(t.sources) < 3 AND len(list_filter(t.sources, lambda s: s = b.source)) < 1 AND len(list_filter(t.tags, lambda s: s = b.tag)) < 2 AS goes
+  FROM tried t JOIN best b ON b.user_id = t.user_id AND b.r = t.r + 1) step)
+ SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY r) AS INT) AS rank, id FROM tried WHERE goes"""
+    ),
     "m20_message_average": oracle(
         """WITH RECURSIVE numbered AS (SELECT session_id, turn, length(content) AS n, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS rn
  FROM conversation_turns WHERE role = 'user'),

@@ -38,7 +38,7 @@ register("j2_double_join", "SELECT c.id, a.status AS first_status, b.status AS s
 register("j3_join_latest", "SELECT l.user_id, c.id FROM latest_affinity l JOIN (" + ranked("SELECT user_id, id, created_at FROM conflicts", "user_id, id", "user_id", "created_at DESC, id", 1) + ") c ON c.user_id = l.user_id")
 register("j5_three_way_distinct", "SELECT DISTINCT l.user_id FROM latest_affinity l JOIN recommendations r ON r.user_id = l.user_id JOIN memories m ON m.user_id = l.user_id WHERE l.new_score > 20")
 register("j6_silent_users", lambda d: f"WITH quiet AS (SELECT user_id, max(created_at) AS last_at FROM affinity_history GROUP BY user_id) SELECT q.user_id, {d.days(d.ts(), 'q.last_at')} AS days FROM quiet q JOIN (SELECT DISTINCT user_id FROM recommendations) p ON p.user_id = q.user_id WHERE q.last_at < {d.ts()} - INTERVAL '12' HOUR")
-register("j11_optional_collect", lambda d: f"SELECT m.id, {collected(d, 'CAST(e.entity_id AS VARCHAR(12))')} AS participants, count(DISTINCT g.dst) AS places FROM memories m LEFT JOIN memory_entities e ON e.memory_id = m.id LEFT JOIN edges g ON g.src = concat('c', m.id) AND g.rel_type = 'LIVES_IN' GROUP BY m.id")
+register("j11_optional_collect", lambda d: f"SELECT m.id, coalesce({collected(d, 'CAST(e.entity_id AS VARCHAR(12))')}, '') AS participants, count(DISTINCT g.dst) AS places FROM memories m LEFT JOIN memory_entities e ON e.memory_id = m.id LEFT JOIN edges g ON g.src = concat('c', m.id) AND g.rel_type = 'LIVES_IN' GROUP BY m.id")
 _TOPICS = lambda d: "SELECT id, source_platform AS owner, status, t.topic AS topic FROM memes LATERAL VIEW explode(array_distinct(split(text_description, ' '))) t AS topic" if d.spark else "SELECT id, source_platform AS owner, status, unnest(list_distinct(string_split(text_description, ' '))) AS topic FROM memes"
 _OPPOSED = lambda d: f"SELECT DISTINCT a.id AS first_id, b.id AS second_id, a.owner FROM ({_TOPICS(d)}) a JOIN ({_TOPICS(d)}) b ON a.owner = b.owner AND a.topic = b.topic AND a.id < b.id AND ((a.status = 'approved' AND b.status = 'rejected') OR (a.status = 'rejected' AND b.status = 'approved'))"
 register("j14_conflict_pairs", lambda d: f"SELECT first_id, second_id FROM ({_OPPOSED(d)}) z")
@@ -67,7 +67,6 @@ register("dm3_scalar_subquery", "SELECT m.id, coalesce((SELECT max(l.new_score)
 register("dm6_dynamic_update", "SELECT c.id, coalesce(n.source, c.source) AS source, coalesce(n.main_tag, c.main_tag) AS main_tag FROM content_library c LEFT JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN 'manual' END AS source, CAST(NULL AS VARCHAR(10)) AS main_tag FROM conflicts) n ON n.id = c.id")
 register("dm8_delete_with_audit", "SELECT id, 'deleted' AS status, 'memory' AS kind FROM memories WHERE user_id = 3 UNION ALL SELECT user_id, CAST(count(*) AS VARCHAR(12)), 'audit' FROM memories WHERE user_id = 3 GROUP BY user_id")
 register("dm9_physical_delete", lambda d: ranked(f"SELECT id, created_at FROM memories WHERE status = 'deleted' AND created_at < {d.ts()} - INTERVAL '72' HOUR", "id", "", "created_at, id", 1000))
-register("dm10_verify_deletion", "SELECT m.id, CASE WHEN e.vec_id IS NULL THEN 'clean' ELSE 'left over' END AS verdict FROM memories m LEFT JOIN embeddings e ON e.vec_id = m.id WHERE m.status = 'deleted'")
 register("dm12_feedback", "SELECT id, content_id, CASE WHEN feedback = 'click' THEN 1 ELSE 0 END AS clicked, CASE WHEN feedback IN ('like', 'dislike') THEN feedback END AS reaction FROM recommendations")
 
 register("st2_event_states", "SELECT status, next, count(*) AS n FROM (SELECT status, CASE WHEN status = 'pending' THEN 'processing' WHEN status = 'failed' AND retry_count >= 5 THEN 'dlq' WHEN status = 'failed' THEN 'pending' ELSE status END AS next FROM outbox_events) z GROUP BY status, next")
@@ -91,7 +90,7 @@ _FACTS = f"""WITH links AS ({_BOTH}), seed AS (SELECT concat('c', c_custkey) AS
  facts AS (SELECT root, node, w, hop FROM hop1 UNION ALL SELECT root, node, w, hop FROM hop2)"""
 register("r5_entity_facts", _FACTS + " SELECT root, node, min(hop) AS hop, round(max(w), 6) AS weight FROM facts GROUP BY root, node")
 register("r6_fallback_expand", _FACTS + ", missing AS (SELECT concat('s', s_suppkey) AS id FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.root = concat('s', s_suppkey))) " + ranked("SELECT m.id AS root, e.dst AS node, e.rel_type, e.weight FROM missing m JOIN edges e ON e.src = m.id", "root, node, rel_type", "root", "weight DESC, node", 20))
-register("r7_context_retrieval", lambda d: ranked(f"SELECT q.vec_id AS query_id, m.id, round({d.cosine('q.embedding', 'm.embedding')}, 6) AS sim, m.created_at FROM embeddings q JOIN memories m ON m.embedding IS NOT NULL AND m.id >= 10 WHERE q.vec_id < 10", "query_id, id, sim, 1 AS access_count", "query_id", "sim DESC, created_at DESC, id", 3))
+register("r7_context_retrieval", lambda d: ranked(f"SELECT q.vec_id AS query_id, m.id, round({d.dot('q.embedding', 'v.embedding')} / (q.norm * v.norm), 6) AS sim, m.created_at FROM vectors q CROSS JOIN vectors v JOIN memories m ON m.id = v.vec_id WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id", "query_id, id, sim, 1 AS access_count", "query_id", "sim DESC, created_at DESC, id", 3))
 register("r8_unified_context", "SELECT source, count(*) AS n FROM (SELECT 'memories' AS source FROM memories WHERE status = 'committed' UNION ALL SELECT 'facts' FROM edges UNION ALL SELECT 'history' FROM conversation_turns UNION ALL SELECT 'profile' FROM latest_affinity UNION ALL SELECT 'content' FROM content_library WHERE is_active UNION ALL SELECT 'memes' FROM memes WHERE status = 'approved') z GROUP BY source")
 register("r10_interests", lambda d: ranked(f"SELECT src, dst AS interest, current_weight AS w FROM decayed_edges WHERE rel_type IN ('RELATED_TO', 'LIVES_IN') AND weight > 0.5 AND updated_at > {d.ts()} - INTERVAL '30' DAY UNION ALL SELECT DISTINCT src, x.interest, x.w FROM edges JOIN (SELECT 'news' AS interest, -1e0 AS w UNION ALL SELECT 'music', -2e0 UNION ALL SELECT 'travel', -3e0) x ON rel_type = 'LIVES_IN'", "src, interest", "src", "w DESC, interest", 10))
 register("r11_likes", "SELECT src, dst, CASE WHEN weight >= 0.6 THEN 'like' ELSE 'dislike' END AS tag FROM edges WHERE rel_type = 'RELATED_TO'")
@@ -99,7 +98,6 @@ register("r12_resolve_reference", ranked("SELECT user_id, entity_id, max(created
 
 _WORDS = lambda d: "SELECT b.item_id, t.w FROM benchmark b LATERAL VIEW explode(array_distinct(split(lower(b.text), '[^a-z]+'))) t AS w" if d.spark else "SELECT item_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS w FROM benchmark"
 register("c2_keyword_retrieval", lambda d: ranked(f"SELECT k.item_id, p.p_partkey, sum(0.5e0) AS score FROM ({_WORDS(d)}) k JOIN part p ON k.w <> '' AND contains(lower(p.p_name), k.w) GROUP BY k.item_id, p.p_partkey", "item_id, p_partkey, score", "item_id", "score DESC, p_partkey", 5))
-register("c3_replay_day", "SELECT e.src, e.dst, round(greatest(e.weight, CASE WHEN m.n > 0 THEN 1e0 ELSE 0e0 END), 6) AS weight, coalesce(m.n, 0) AS mentions FROM edges e LEFT JOIN (SELECT concat('p', entity_id) AS node, count(*) AS n FROM memory_entities GROUP BY entity_id) m ON m.node = e.src")
 register("c5_ui_state", "SELECT id, CASE WHEN new_score < 20 THEN 'stranger' WHEN new_score < 50 THEN 'acquaintance' WHEN new_score < 80 THEN 'friend' ELSE 'close_friend' END AS state FROM affinity_history")
 register("c6_cutoff_last", lambda d: ranked(f"SELECT user_id, new_score, id, CAST({d.grab('day_label', 'Day ([0-9]+)', 1)} AS INT) AS day_no FROM (SELECT user_id, new_score, id, concat('Day ', CAST(day(created_at) AS VARCHAR(3))) AS day_label FROM affinity_history) x WHERE CAST({d.grab('day_label', 'Day ([0-9]+)', 1)} AS INT) <= 15", "user_id, new_score, day_no", "user_id", "day_no DESC, id DESC", 1))
 register("c7_facts_split", lambda d: _FACTS + f", capped AS ({ranked('SELECT root, node, w, hop FROM facts', 'root, node, hop, rn', 'root', 'hop, w DESC, node', 20)}) SELECT root, CASE WHEN hop = 1 THEN 'direct' ELSE 'indirect' END AS kind, {d.joined('node', 'rn', ', ')} AS nodes FROM capped GROUP BY root, hop")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.plans.catalog import register
+from memloom.plans.catalog import near, register
 from memloom.plans.text_rules import NEGATIVE, POSITIVE, hits
 
-_SIM = lambda d: d.cosine("q.embedding", "m.embedding")
-_PAIRS = lambda d: f"SELECT q.vec_id AS query_id, m.id, {_SIM(d)} AS sim, m.valence, {d.days(d.ts(), 'm.created_at')} AS days FROM embeddings q JOIN memories m ON m.embedding IS NOT NULL AND m.id >= 10 AND m.status <> 'deleted' WHERE q.vec_id < 10"
+_PAIRS = lambda d: near(d, 50)  # noqa: E731  the candidates of each query
 
 register("m4_factor_breakdown", lambda d: f"SELECT query_id, id, round(0.4e0 * sim, 6) AS cosine_part, round(0.3e0 * 0.5e0, 6) AS edge_part, round(0.2e0 * CASE WHEN valence > 0 THEN 0.6e0 ELSE 0e0 END, 6) AS affinity_part, round(0.1e0 * exp(-CAST(days AS DOUBLE) / 30), 6) AS recency_part FROM ({_PAIRS(d)}) z")
 register("m5_recency_boost", lambda d: f"SELECT id, round(valence * CASE WHEN {d.days(d.ts(), 'created_at')} <= 7 THEN 1.15e0 ELSE 1e0 END, 6) AS boosted FROM memories")

@@ -51,6 +51,14 @@ class Dialect:
             return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
         return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
+    def norm(self, a: str) -> str:
+        return f"sqrt({self.dot(a, a)})"
+
+    def dot(self, a: str, b: str) -> str:
+        if self.spark:
+            return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0.0D, (s, x) -> s + x)"
+        return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
     def sha256(self, x: str) -> str:
         return f"sha2({x}, 256)" if self.spark else f"sha256({x})"
 
@@ -72,6 +80,10 @@ class Dialect:
 SPARK, DUCK = Dialect(True), Dialect(False)
 
 
+#: Views a query reads more than once, as a rule.
+SHARED = ("edges", "decayed_edges")
+
+
 def views(d: Dialect) -> dict[str, str]:
     now = d.ts()
     return {
@@ -110,8 +122,7 @@ def views(d: Dialect) -> dict[str, str]:
             "TIMESTAMP '2024", "TIMESTAMP_NTZ '2024" if d.spark else "TIMESTAMP '2024"
         ),
         "conflicts": f"""SELECT doc_id AS id, doc_id % 15 AS user_id, doc_id AS first_id, doc_id + 15 AS second_id, CAST(7 + doc_id % 3 AS DOUBLE) / 10 AS confidence,
-  CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'asked' ELSE 'resolved' END AS status, {now} - INTERVAL '1' HOUR * CAST(doc_id % 50 AS INT) AS created_at
-  FROM documents WHERE doc_id % 7 = 0""",
+  CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'asked' ELSE 'resolved' END AS status, {now} - INTERVAL '1' HOUR * CAST(doc_id % 50 AS INT) AS created_at FROM documents""",
         "recommendations": """SELECT event_id AS id, user_id, event_id % 1000 AS content_id, ts AS recommended_at,
   CASE event_type WHEN 'click' THEN 'click' WHEN 'purchase' THEN 'like' WHEN 'error' THEN 'dislike' END AS feedback FROM events""",
         "scored_items": """SELECT doc_id AS id, doc_id % 5 + 1 AS category, CASE WHEN toxic = 1 THEN 'adversarial' ELSE 'factual' END AS task_type,
@@ -120,6 +131,7 @@ def views(d: Dialect) -> dict[str, str]:
   weight * exp(-decay_rate * {d.days(now, 'updated_at')}) AS current_weight FROM edges""",
         "latest_affinity": """SELECT user_id, new_score, created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM affinity_history) z WHERE rn = 1""",
+        "vectors": f"SELECT vec_id, label, embedding, {d.norm('embedding')} AS norm FROM embeddings",
         "lags": f"""SELECT event_id, {d.seconds('processed_at', 'created_at')} * 1000 AS lag_ms FROM outbox_events WHERE status = 'done' AND processed_at IS NOT NULL""",
     }
 
@@ -139,17 +151,23 @@ def used(sql: str, all_views: dict[str, str]) -> list[str]:
     return out
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """sql over the driver's tables and the views, in Spark."""
+def run(spark: SparkSession, sf_dir: str, sql: str, args: dict | None = None) -> DataFrame:
+    """sql over the driver's tables and the views, in Spark; args: its named parameters (`:name`). Views are common table
+    expressions and tables frames handed over by name, so the session's catalog stays as the caller left it."""
     all_views = views(SPARK)
     need = used(sql, all_views)
     text = " ".join([sql, *(all_views[v] for v in need)])
-    for t in TABLES:
-        if re.search(rf"\b{t}\b", text):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for v in need:
-        spark.sql(all_views[v]).createOrReplaceTempView(v)
-    return spark.sql(sql)
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", text)}
+    ctes = [f"{t} AS (SELECT * FROM {{{t}}})" for t in frames] + [f"{v} AS ({braced(all_views[v])})" for v in need]
+    recursive, rest = re.match(r"(?s)^(?:WITH (RECURSIVE )?)?(.*)$", braced(sql)).groups() if sql.startswith("WITH ") else (None, braced(sql))
+    join = ", " if sql.startswith("WITH ") else " "
+    whole = f"WITH {recursive or ''}{', '.join(ctes)}{join}{rest}" if ctes else rest
+    return spark.sql(whole, args=args, **frames) if frames else spark.sql(whole, args=args)
+
+
+def braced(sql: str) -> str:
+    """sql for a formatter that takes braces as its own."""
+    return sql.replace("{", "{{").replace("}", "}}")
 
 
 def oracle(sql: str) -> str:
@@ -158,5 +176,5 @@ def oracle(sql: str) -> str:
     need = used(sql, all_views)
     if not need:
         return sql
-    ctes = ", ".join(f"{v} AS ({all_views[v]})" for v in need)
+    ctes = ", ".join(f"{v} AS {'MATERIALIZED ' if v in SHARED else ''}({all_views[v]})" for v in need)
     return f"WITH {'RECURSIVE ' if sql.startswith('WITH RECURSIVE') else ''}{ctes}, {re.sub(r'^WITH (RECURSIVE )?', '', sql)}" if sql.startswith("WITH ") else f"WITH {ctes} {sql}"

@@ -21,7 +21,7 @@ def duck():
 
 def rows(data, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    show = lambda v: "" if v is None else str(v) if isinstance(v, bool) or not isinstance(v, int | float) else repr(round(float(v), 5) + 0.0)
+    show = lambda v: "<null>" if v is None else str(v) if isinstance(v, bool) or not isinstance(v, int | float) else repr(round(float(v), 5) + 0.0)
     return sorted(tuple(show(r[i]) for i in order) for r in data)
 
 
