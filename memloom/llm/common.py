@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,11 +70,48 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """base, with as many underscores as keep it apart from the names taken."""
+    low = {c.lower() for c in taken}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """A row of docs as one struct, so that columns an operator adds can have any name."""
+    return F.struct(*[docs[c] for c in docs.columns])
+
+
+def row_key() -> list[Column]:
+    """id0 and th: a row's id (0 for null), and the hash of its text and of whether the id is null."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id0"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("th")]
+
+
+def with_text(rows: DataFrame, docs: DataFrame, row: str, changed: Column, text: Column) -> DataFrame:
+    """docs' columns out of the struct `row`; where `changed`, with the new text and, if there is one, n_chars counted anew."""
+    out = []
+    for c in docs.columns:
+        old = F.col(row)[c]
+        if c == "text":
+            old = F.when(changed, text).otherwise(old)
+        elif c == "n_chars":
+            old = F.when(changed, F.length(text)).otherwise(old).cast(docs.schema[c].dataType)
+        out.append(old.alias(c))
+    return rows.select(*out)
+
+
 def fold(id_col: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(k))
 
 
+def share(h: Column, bound: int, rows: int) -> Column:
+    """Rows whose hash lies in the lowest bound / rows of its range: about `bound` of them, whatever `rows` is, chosen
+    where they are and without a sort."""
+    return F.pmod(h, F.lit(1 << 40)) < math.ceil(min(1.0, bound / max(rows, 1)) * (1 << 40))
+
+
 # ---- text batches as numpy arrays -------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -39,16 +39,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import Words, discard, ints, mix64, small_batches, stage
+from memloom.llm.common import Words, discard, ints, mix64, small_batches, stage, whole_row
 
 
 @dataclass(frozen=True)
 class JaccardConfig:
     words: int = 4
     percent: int = 85  # link when 100 * intersection >= percent * union
-    groups: int = 64  # coordinates of a point
+    groups: int = 64  # coordinates of a box, and of a point at least
+    most_groups: int = 512  # coordinates of a point at most
     class_ratio: float = 1.6  # sizes of one block class lie within this ratio
     leaf: int = 512  # points of an R-tree leaf
+    best: int = 2  # partners of a node that are verified before all others
     fan: int = 16  # boxes under a box of the next level
     sent: int = 100_000  # wanted nodes (24 bytes each) up to which they are sent to the texts
     star_rounds: int = 6  # at most
@@ -139,11 +141,20 @@ def fine_counts(u: np.ndarray, cfg: JaccardConfig) -> bytes:
     """Tokens counted in a power of two of groups, about four tokens to one; group g of fewer groups is the sum
     of the groups that are g modulo their number, so counts of two sizes compare in the coarser one."""
     groups = max(cfg.groups, 1 << max(0, (len(u) // 4 - 1).bit_length()))
-    return np.bincount((u >> np.uint64(20)).astype(np.int64) % groups, minlength=groups).astype(np.uint16).tobytes()
+    return packed_counts(np.bincount((u >> np.uint64(20)).astype(np.int64) % groups, minlength=groups))
 
 
-def folded(fine: bytes, groups: int) -> np.ndarray:
-    return np.frombuffer(fine, np.uint16).reshape(-1, groups).sum(0, dtype=np.int32)
+def packed_counts(counts: np.ndarray) -> bytes:
+    """One byte a count, or four where one needs more; the first byte says which."""
+    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\4" + counts.astype(np.int32).tobytes()
+
+
+def groups_of(packed: bytes) -> int:
+    return (len(packed) - 1) // packed[0]
+
+
+def folded(packed: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.int32, offset=1).reshape(-1, groups).sum(0, dtype=np.int32)
 
 
 def node_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
@@ -195,18 +206,19 @@ def _may(cfg: JaccardConfig):
 
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.int32).reshape(-1, g) for s in (a, b))
+        x, y = (np.stack([folded(z, g) for z in s]) if len(s) else np.zeros((0, g), np.int32) for s in (a, b))
         return pd.Series(bound_allows(x, y, na.to_numpy(), nb.to_numpy(), p))
 
     return may
 
 
 def _point(cfg: JaccardConfig):
-    g = cfg.groups
+    """A node's point: its counts with about eight tokens to a group, in at most cfg.most_groups groups."""
+    g, most = cfg.groups, cfg.most_groups
 
     @F.pandas_udf("binary")
     def point(fine: pd.Series) -> pd.Series:
-        return pd.Series([folded(x, g).tobytes() for x in fine])
+        return pd.Series([packed_counts(folded(x, min(most, max(g, groups_of(x) // 2)))) for x in fine])
 
     return point
 
@@ -218,7 +230,7 @@ def _finely(cfg: JaccardConfig):
     def finely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         out = []
         for x, y, n in zip(a, b, na + nb, strict=True):
-            g = min(len(x), len(y)) // 2
+            g = min(groups_of(x), groups_of(y))
             out.append((100 + p) * int(np.minimum(folded(x, g), folded(y, g)).sum()) >= p * n)
         return pd.Series(out, dtype=bool)
 
@@ -278,8 +290,8 @@ def _box(cfg: JaccardConfig):
     g = cfg.groups
 
     def box(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        top = np.frombuffer(b"".join(pdf["top"]), np.int32).reshape(-1, g).max(0)
-        return pd.DataFrame({"key": [key[0]], "no": [key[1]], "low": [pdf["low"].min()], "high": [pdf["high"].max()], "top": [top.tobytes()]})
+        top = np.stack([folded(x, g) for x in pdf["top"]]).max(0)
+        return pd.DataFrame({"key": [key[0]], "no": [key[1]], "low": [pdf["low"].min()], "high": [pdf["high"].max()], "top": [packed_counts(top)]})
 
     return box
 
@@ -302,8 +314,9 @@ def meeting(boxes: DataFrame, cfg: JaccardConfig) -> DataFrame:
     return pairs.where(sizes).where(_may(cfg)("ti", "tj", "li", "lj")).select("key", "i", "j")
 
 
-def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig) -> DataFrame:
+def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig, best: int | None = None) -> DataFrame:
     """Pairs (a, b) of one block and different labels whose points allow a link, and fit, the bound's share of both sizes.
+    With `best`, of the pairs found in one bucket of work only each node's so many of greatest fit.
 
     blocks: key, members (rows of the block), node, label, n, point. Leaves of a block hold about cfg.leaf points near in
     size and counts (a block of many rows is first dealt into slices, each packed on its own); each pair of leaves that
@@ -323,28 +336,39 @@ def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig) -> DataFrame:
     second = meet.join(packed.withColumnRenamed("leaf", "j"), ["key", "j"]).select("key", "i", "j", F.lit(1).alias("side"), *rest)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All units of a bucket at once: rows of a unit stand together, and row x meets x + d for d = 1, 2, ..."""
+        """All units of a bucket, by the coarsest counts in each: rows of a unit stand together, and row x meets x + d
+        for d = 1, 2, ..."""
         pdf = pdf.sort_values(["key", "i", "j"], kind="stable", ignore_index=True)
-        pts = np.frombuffer(b"".join(pdf["point"]), np.int32).reshape(-1, g)
-        n, node, label, side = (pdf[c].to_numpy() for c in ("n", "node", "label", "side"))
         unit = pdf.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
-        cross = (pdf["i"] != pdf["j"]).to_numpy()
-        out, x, d = [], np.arange(len(pdf)), 0
-        while len(x):
-            d += 1
-            x = x[x + d < len(pdf)]
-            x = x[unit[x] == unit[x + d]]
-            y = x + d
-            ok = (label[x] != label[y]) & (~cross[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p)
-            a, b = x[ok], y[ok]
-            hit = bound_allows(pts[a], pts[b], n[a], n[b], p)
-            a, b = a[hit], b[hit]
-            fit = np.minimum(pts[a], pts[b]).sum(1) / (n[a] + n[b])
-            out.append(pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "fit": fit}))
-        return pd.concat(out, ignore_index=True).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "fit": []})
+        groups = pdf["point"].map(groups_of).to_numpy()
+        least = np.minimum.reduceat(groups, np.flatnonzero(np.append(True, unit[1:] != unit[:-1])))[unit]
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "fit": np.zeros(0)})]
+        for g in np.unique(least):
+            rows = np.flatnonzero(least == g)
+            own, pts = unit[rows], np.stack([folded(x, g) for x in pdf["point"].to_numpy()[rows]])
+            n, node, label, side = (pdf[c].to_numpy()[rows] for c in ("n", "node", "label", "side"))
+            cross = (pdf["i"] != pdf["j"]).to_numpy()[rows]
+            x, d = np.arange(len(rows)), 0
+            while len(x):
+                d += 1
+                x = x[x + d < len(rows)]
+                x = x[own[x] == own[x + d]]
+                y = x + d
+                ok = (label[x] != label[y]) & (~cross[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * p)
+                for a, b in zip(*(np.array_split(z[ok], len(x) // 4096 + 1) for z in (x, y)), strict=True):
+                    most = np.minimum(pts[a], pts[b]).sum(1)
+                    hit = (100 + p) * most >= p * (n[a] + n[b])
+                    a, b, most = a[hit], b[hit], most[hit]
+                    if len(a):
+                        out.append(pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "fit": most / (n[a] + n[b])}))
+        found = pd.concat(out, ignore_index=True).drop_duplicates(["a", "b"])
+        if best is None:
+            return found
+        found = found.sort_values("fit", ascending=False, kind="stable")
+        return found[(found.groupby("a").cumcount() < best) | (found.groupby("b").cumcount() < best)]
 
     units = within.union(first).union(second)
-    buckets = 1 + (packed.count() + 2 * leaf * meet.count()) // 20000
+    buckets = 1 + (packed.count() + 2 * leaf * meet.count()) // 10000
     return units.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long, fit double").groupBy("a", "b").agg(F.max("fit").alias("fit"))
 
 
@@ -398,20 +422,17 @@ def labelled(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame
         met = marked.where("lead_label <> label").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
         star = met.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         join_up(stage(within_bound(star, nodes, cfg), "pairs"))
-    if rows:
-        points = nodes.select("node", "n", _point(cfg)("fine").alias("point"))
-        near = rtree_pairs(marked.select("key", "members", "node", "label").join(points, "node"), cfg)
-        cand = stage(within_bound(near, nodes, cfg), "candidates")
-        # the best-bounded partners of each node first: most other pairs then lie within a component
-        ends = cand.select("a", "b", "fit", F.explode(F.array("a", "b")).alias("end"))
-        top = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("fit"), "a", "b"))
-        best = stage(ends.withColumn("r", top).where("r <= 2").select("a", "b").distinct(), "pairs")
-        some = best.count() < cand.count()
-        join_up(best)
-        if some:
-            rest = cand.select("a", "b")
-            join_up(stage(with_label(with_label(rest, "a", lab, "la"), "b", lab, "lb").where("la <> lb").select("a", "b"), "pairs"))
-        discard(cand)
+    points = nodes.select("node", "n", _point(cfg)("fine").alias("point"))
+    for best in (cfg.best, None) if rows else ():
+        # each node's best-bounded partners first: most other pairs then lie within a component and are never made
+        if best is None:
+            marked = stage(pending(open_blocks, lab, cfg.star_rounds), "pending")
+        near = rtree_pairs(marked.select("key", "members", "node", "label").join(points, "node"), cfg, best)
+        if best is not None:
+            ends = near.select("a", "b", "fit", F.explode(F.array("a", "b")).alias("end"))
+            top = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("fit"), "a", "b"))
+            near = ends.withColumn("r", top).where(F.col("r") <= best).select("a", "b").distinct()
+        join_up(stage(within_bound(near.select("a", "b"), nodes, cfg), "pairs"))
     discard(open_blocks, nodes, *links)
     return with_label(sets.select("doc_id", "h", "n", "node"), "node", lab, "label").drop("node")
 
@@ -439,7 +460,8 @@ def keep_one(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame
     keys = labelled(docs, cfg).where("label is not null").groupBy("label").agg(pick)
     keys = keys.select(F.coalesce("m.doc_id", F.lit(0)).alias("_i"), F.col("m.h").alias("_h"))
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(words).withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_h", F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.col("doc_id").isNull(), F.xxhash64(*docs.columns), *docs.columns))
+    rows = docs.where(words).select(whole_row(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_i"), F.xxhash64("text").alias("_h"))
+    order = [F.col("row")[c] for c in docs.columns]
+    first = F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.col("row.doc_id").isNull(), F.xxhash64("row"), *order))
     rows = rows.join(keys.distinct(), ["_i", "_h"], "left_semi").withColumn("_r", first).where("_r = 1")
-    return rows.select(docs.columns).union(docs.where(~words))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns]).union(docs.where(~words))
