@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network (operator 1).
 
 Windows of `window` bytes go through byte embeddings, filters of several widths, max pooling over the
-window and a softmax. The network is trained in numpy on a bounded, hash-ordered sample of windows per
-language; every text is then read whole, window by window, and its windows' probabilities are averaged
+window and a softmax. The network is trained in numpy on windows of a bounded sample of each
+language, the lowest share of a hash; every text is then read whole, window by window, and its windows' probabilities are averaged
 by length. As input bytes are discrete, embedding times filter is one table row per byte.
 
 Defined cases: null text or text without a letter: `und`, score 0; null lang is never learned; a null
@@ -11,15 +11,16 @@ doc_id is not held out and not learned; without any labelled row all texts are `
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import fold, small_batches
+from memloom.llm.common import fold, share, small_batches
 
 
 @dataclass(frozen=True)
@@ -28,8 +29,9 @@ class ByteConvConfig:
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 8  # of each width
     dim: int = 8
-    per_language: int = 400  # bound of the sample: documents of each language
+    per_language: int = 400  # expected bound of the sample: documents of each language
     excerpt: int = 1000  # characters of each, at a hashed place
+    windows: int = 3  # training windows of each excerpt
     epochs: int = 12
     rate: float = 0.01
     seed: int = 1
@@ -114,17 +116,19 @@ def train(docs: DataFrame, cfg: ByteConvConfig = ByteConvConfig()) -> ByteConv |
     """Fitted on text and non-null lang of documents that are not held out (crc32 mod 4 is not 2)."""
     h = F.xxhash64("doc_id", F.lit(cfg.seed))
     place = F.pmod(h, F.greatest(F.length("text") - cfg.excerpt, F.lit(1))).cast("int") + 1
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2)).select(
-        "lang", h.alias("h"), F.substring("text", place, F.lit(cfg.excerpt)).alias("part")
-    )
-    top = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))  # only the first rows of each task are shuffled
-    sample = rows.withColumn("r", top).where(F.col("r") <= cfg.per_language).orderBy("lang", "r").collect()
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return None
+    wanted = functools.reduce(lambda c, x: c.when((F.col("lang") == x[0]) & share(h, cfg.per_language, x[1]), True), counts.items(), F.when(F.lit(False), True))
+    sample = rows.where(wanted).select("lang", h.alias("h"), F.substring("text", place, F.lit(cfg.excerpt)).alias("part")).collect()
+    sample.sort(key=lambda r: (r.lang, r.h, r.part))
     langs = sorted({r.lang for r in sample})
     if not langs:
         return None
     rng, x, y = np.random.default_rng(cfg.seed), [], []
     for r in sample:
-        w = to_windows(r.part.encode("utf-8", "surrogatepass"), cfg.window)[:3]
+        w = to_windows(r.part.encode("utf-8", "surrogatepass"), cfg.window)[: cfg.windows]
         for k, row in enumerate(w):
             row = row.copy()
             if k % 2:  # short texts occur too

@@ -2,8 +2,8 @@
 
 A logistic model over hashed byte trigrams and a few shape statistics is fitted by minimising the
 non-negative unbiased risk: trusted positives, unlabelled web text, and a class prior estimated from
-the labelled training rows. Training rows are a bounded, hash-ordered sample (`PuConfig`); every
-document is scored over its whole text.
+the labelled training rows, all of them. The rows whose texts are trained on are a bounded sample, the lowest
+share of a hash (`PuConfig`); every document is scored over its whole text.
 
 Defined cases: null text scores as the empty text; rows of a repeated doc_id are scored one by one;
 a null doc_id is never held out and never trained on; without any positive training row every score
@@ -19,16 +19,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from memloom.llm.common import Words, fold, small_batches
+from memloom.llm.common import Words, fold, free_name, share, small_batches
 
 
 @dataclass(frozen=True)
 class PuConfig:
     bins: int = 512  # hashed byte trigrams
-    positives: int = 3000  # bound of the trusted sample
-    unlabelled: int = 6000  # bound of the unlabelled sample
-    prior_rows: int = 20000  # bound of the labelled rows the prior is estimated from
+    positives: int = 3000  # expected bound of the trusted sample
+    unlabelled: int = 6000  # expected bound of the unlabelled sample
     epochs: int = 30
     rate: float = 0.02
     decay: float = 1e-4
@@ -128,28 +128,28 @@ def _feature_rows(docs: DataFrame, cfg: PuConfig) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig()) -> tuple | None:
-    """The model, from text and labels alone; held-out ids (crc32 mod 5 = 0) give no label."""
-    known = (
-        labels.where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0))
-        .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
-        .withColumn("h", F.xxhash64("doc_id", F.lit(cfg.seed)))
-    )
-    prior = known.orderBy("h", "doc_id").limit(cfg.prior_rows).agg(F.avg("good")).first()[0]
-    if not prior:
+    """The model, from text and labels alone; held-out ids (crc32 mod 5 = 0) give no label. Texts are read for the rows
+    of the bounded samples only and never shuffled."""
+    known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
+    rows, positive = known.agg(F.count("*"), F.sum("good")).first()
+    if not positive:
         return None
-    chosen = known.where("good = 1").orderBy("h", "doc_id").limit(cfg.positives).select("doc_id")
-    pos = _feature_rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), cfg)  # at most cfg.positives ids
-    unl = _feature_rows(docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(cfg.unlabelled), cfg)
+    good = known.where("good = 1")
+    chosen = good.where(share(F.xxhash64("doc_id", F.lit(cfg.seed)), cfg.positives, positive)).select("doc_id")
+    pos = _feature_rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), cfg)  # about cfg.positives ids
+    unl = _feature_rows(docs.where(share(F.xxhash64("doc_id", F.octet_length("text"), F.lit(cfg.seed + 1)), cfg.unlabelled, docs.count())), cfg)
     if not len(pos) or not len(unl):
         return None
-    return fit_nnpu(pos.astype(np.float64), unl.astype(np.float64), min(float(prior), 0.99), cfg)
+    return fit_nnpu(pos.astype(np.float64), unl.astype(np.float64), min(positive / rows, 0.99), cfg)
 
 
 def score(docs: DataFrame, model: tuple | None, keep: list[str], cfg: PuConfig = PuConfig()) -> DataFrame:
-    """docs' columns `keep` and `score`, from whole texts, batch by batch."""
+    """docs' columns `keep` and `score`, from whole texts, batch by batch. Names of docs are its own: the text and
+    the score travel under names that no column of docs has."""
     spark, bins = docs.sparkSession, cfg.bins
     shared = spark.sparkContext.broadcast(model)  # fixed size: bins + N_SHAPE weights
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    text, out_name = free_name(keep, "text"), free_name(keep, "score")
+    schema = StructType([*docs.select(*keep).schema, StructField(out_name, DoubleType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -157,15 +157,15 @@ def score(docs: DataFrame, model: tuple | None, keep: list[str], cfg: PuConfig =
             if shared.value is not None:
                 w, b, mean, scale = shared.value
                 at = 0
-                for _, texts in small_batches(range(len(pdf)), list(pdf["_text"])):
+                for _, texts in small_batches(range(len(pdf)), list(pdf[text])):
                     z = ((features(texts, bins) - mean) / scale) @ w + b
                     out[at : at + len(texts)] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                     at += len(texts)
             res = pdf[keep].copy()
-            res["score"] = out
+            res[out_name] = out
             yield res
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, f"{fields}, score double")
+    return docs.select(*keep, F.col("text").alias(text)).mapInPandas(run, schema)
 
 
 def op8(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig()) -> DataFrame:
@@ -180,4 +180,5 @@ def op8(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig()) -> DataF
 def keep_good(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig()) -> DataFrame:
     """docs without the rows whose score is below 0.3; columns as they came."""
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), cfg)
-    return score(docs, model, docs.columns, cfg).where("score >= 0.3").drop("score")
+    name = free_name(docs.columns, "score")
+    return score(docs, model, docs.columns, cfg).where(F.col(name) >= 0.3).select(docs.columns)

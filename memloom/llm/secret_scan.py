@@ -3,7 +3,8 @@
 Base spans come from three fixed patterns. The method adds candidates of a further kind, `key`: runs of
 20 or more key characters that mix letters and digits. All candidate values are hashed and counted over
 the corpus by distinct repositories (documents) and owners (sources): a value held by more than
-`most_owners` owners is a widely copied example; one held by fewer is owner-specific and looks live.
+`most_owners` owners, or by more than `most_repos` repositories, is a widely copied example; any other is
+owner-specific and looks live.
 Base spans stay whatever their owners; `key` candidates become spans only if they look live and touch
 no base span.
 
@@ -18,12 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import stage
+from memloom.llm.common import row_key, stage, whole_row, with_text
 
 
 @dataclass(frozen=True)
 class SecretConfig:
     most_owners: int = 2
+    most_repos: int = 25
     placeholder: str = "[SECRET]"
 
 
@@ -64,9 +66,12 @@ def _found(text: Column, pattern: str, group: int, least: int) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """id0, th (hash of text), owner, and found: array of (s, k, e, h): start, kind number, end, hash of the value."""
+    """doc_id, its join key (id0, th), repo, owner, and found: array of (s, k, e, h): start, kind number, end, hash of
+    the value. repo is the document; one without an id is known by its text."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id0"), F.xxhash64(text).alias("th"), F.coalesce("source", F.lit("")).alias("owner"), text.alias("t"))
+    i = F.col("doc_id").cast("long")
+    owner = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    base = docs.select(i.alias("doc_id"), *row_key(), F.xxhash64(i, F.when(i.isNull(), text)).alias("repo"), owner.alias("owner"), text.alias("t"))
     base = base.withColumns(
         {"f0": _found(F.col("t"), ASSIGN, 2, 12), "f1": _found(F.col("t"), ACCESS, 0, 18), "f2": _found(F.col("t"), HEX, 0, 16), "f3": _found(F.col("t"), KEY, 0, 20)}
     )
@@ -74,27 +79,27 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("h"), F.regexp_like(x["v"], F.lit("[0-9]")).alias("d"), F.regexp_like(x["v"], F.lit("[A-Za-z]")).alias("w")))
     sure = F.concat(tagged("f0", 0), tagged("f1", 1), tagged("f2", 2))
     extra = F.filter(tagged("f3", 3), lambda x: x["d"] & x["w"])
-    base = base.select("id0", "th", "owner", sure.alias("sure"), extra.alias("extra"))
+    base = base.select("doc_id", "id0", "th", "repo", "owner", sure.alias("sure"), extra.alias("extra"))
     free = F.filter("extra", lambda x: ~F.exists("sure", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    return base.select("id0", "th", "owner", F.concat("sure", free).alias("found"))
+    return base.select("doc_id", "id0", "th", "repo", "owner", F.concat("sure", free).alias("found"))
 
 
 def ownership(cands: DataFrame) -> DataFrame:
     """h, owners, repos: how many distinct owners and documents hold each candidate value."""
-    each = cands.select("id0", "owner", F.explode("found").alias("x")).select("id0", "owner", "x.h").distinct()
+    each = cands.select("repo", "owner", F.explode("found").alias("x")).select("repo", "owner", "x.h").distinct()
     return each.groupBy("h", "owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
 def scan(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
-    """id0, th and all: the document's spans as array of (s, k, e, live), by start, then kind. One row
+    """doc_id, id0, th and all: the document's spans as array of (s, k, e, live), by start, then kind. One row
     for each row of docs."""
     cands = stage(candidates(docs), "candidates")
     own = ownership(cands)
     flat = cands.where(F.size("found") > 0).select("id0", "th", F.explode("found").alias("x")).select("id0", "th", "x.s", "x.k", "x.e", "x.h").distinct()
-    judged = flat.join(own, "h").withColumn("live", F.col("owners") <= cfg.most_owners).where("k < 3 or live")
+    judged = flat.join(own, "h").withColumn("live", (F.col("owners") <= cfg.most_owners) & (F.col("repos") <= cfg.most_repos)).where("k < 3 or live")
     spans = judged.groupBy("id0", "th").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e", "live"))).alias("all"))
     none = F.lit([]).cast(spans.schema["all"].dataType)
-    return cands.select("id0", "th").join(spans, ["id0", "th"], "left").select("id0", "th", F.coalesce("all", none).alias("all"))
+    return cands.select("doc_id", "id0", "th").join(spans, ["id0", "th"], "left").select("doc_id", "id0", "th", F.coalesce("all", none).alias("all"))
 
 
 def _joined(spans: Column) -> Column:
@@ -107,7 +112,7 @@ def op6(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
     def count(k: int) -> Column:
         return F.size(F.filter("all", lambda x: x["k"] == k)).cast("long")
     return scan(docs, cfg).select(
-        F.nullif("id0", F.lit(-1)).alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_joined(F.filter("all", lambda x: x["k"] < 3)), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"),
         F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"), F.size(F.filter("all", lambda x: ~x["live"])).cast("long").alias("n_copied"),
     )
@@ -115,7 +120,6 @@ def op6(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
 
 def redact(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
     """docs with every span, base or added, replaced by the placeholder (overlapping spans by one)."""
-    cols = docs.columns
     hits = scan(docs, cfg).where(F.size("all") > 0).dropDuplicates(["id0", "th"])
     merged = F.aggregate(
         "all", F.lit([]).cast("array<struct<s:int,e:int>>"),
@@ -125,12 +129,8 @@ def redact(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
         ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
     )
     hits = hits.select("id0", "th", merged.alias("cut"))
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id0"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
-    out = docs.select("*", *key).join(hits, ["id0", "th"], "left")
-    before = F.transform("cut", lambda x, i: F.substring(F.col("text"), F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["e"]) + 1, x["s"] - F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["e"])))
-    last = F.substring(F.col("text"), F.try_element_at("cut", F.lit(-1))["e"] + 1, F.length("text"))
+    rows = docs.select(whole_row(docs).alias("row"), *row_key()).join(hits, ["id0", "th"], "left").withColumn("t", F.col("row.text"))
+    before = F.transform("cut", lambda x, i: F.substring(F.col("t"), F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["e"]) + 1, x["s"] - F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["e"])))
+    last = F.substring(F.col("t"), F.try_element_at("cut", F.lit(-1))["e"] + 1, F.length("t"))
     text = F.concat(F.array_join(before, cfg.placeholder), F.lit(cfg.placeholder), last)
-    out = out.withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(text))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+    return with_text(rows, docs, "row", F.col("cut").isNotNull(), text)

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import mix64, prefix_hash, small_batches, span_hash, stage
+from memloom.llm.common import discard, ints, prefix_hash, row_key, small_batches, span_hash, stage, whole_row, with_text
 
 
 @dataclass(frozen=True)
@@ -90,8 +90,7 @@ def pieces(raw: bytes, cfg: RepeatConfig) -> list[tuple[int, bytes]]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, its join key (id0, th) and text; equal rows share a key and are equal in all results."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id0"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def occurrences(docs: DataFrame, cfg: RepeatConfig) -> DataFrame:
@@ -173,7 +172,9 @@ def repeated_spans(keys: DataFrame, cfg: RepeatConfig) -> DataFrame:
         found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("least"), F.max("ch").alias("most"))
         .where("n > 1").select("ah", (F.col("least") == F.col("most")).alias("uniform"))
     )
+    often = stage(often, "often")  # a table of its own, so that the rows of a hot anchor can be split in the join
     occ = stage(found.join(often, "ah"), "repeated")
+    discard(found, often)
     whole = occ.where("uniform").select("id0", "th", F.col("lo").alias("a"), (F.col("hi") + W).alias("b"))
     mixed = occ.where("not uniform")
     ctx = mixed.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("id0", "th", "pos", "lo", "hi")).alias("rep"))
@@ -251,30 +252,29 @@ def op4(docs: DataFrame, cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     def digest(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
-            for i, text, spans in zip(pdf["id0"], pdf["text"], pdf["spans"], strict=True):
+            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
                 raw, cut = text.encode("utf-8", "surrogatepass"), merged(spans)
                 left = kept(raw, cut)
-                out.append((i, len(raw), len(raw) - len(left), len(cut), hashlib.sha256(left).hexdigest()))
-            yield pd.DataFrame(out, columns=["id0", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(raw), len(raw) - len(left), len(cut), hashlib.sha256(left).hexdigest()))
+            res = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            res.insert(0, "doc_id", ints(pdf["doc_id"]))
+            yield res
 
-    res = rows.select("id0", "text", "spans").mapInPandas(digest, "id0 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return res.select(F.nullif("id0", F.lit(-1)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # 64-bit ids beside nulls keep their digits
+    return rows.select("doc_id", "text", "spans").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """docs with the repeated strings cut out of text, and n_chars (where there is one) counted anew.
     A document with nothing left goes."""
-    cols = docs.columns
     spans = repeated_spans(keyed(docs), cfg).where("spans is not null").select("id0", "th", "spans").dropDuplicates(["id0", "th"])
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([kept(t.encode("utf-8", "surrogatepass"), merged(s)).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])
 
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id0"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
-    out = docs.select("*", *key).join(spans, ["id0", "th"], "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), F.coalesce("spans", F.array())))
-    out = out.withColumn("_new", text).where("spans is null or length(trim(_new)) > 0").withColumn("text", F.col("_new"))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+    rows = docs.select(whole_row(docs).alias("row"), *row_key()).join(spans, ["id0", "th"], "left")
+    hit = F.col("spans").isNotNull()
+    text = F.when(hit, cut(F.coalesce("row.text", F.lit("")), F.coalesce("spans", F.array())))
+    rows = rows.withColumn("new", text).where(~hit | (F.length(F.trim("new")) > 0))
+    return with_text(rows, docs, "row", hit, F.col("new"))
