@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memloom.operators.folds import clipped_scores, cooled_down, diversify, moving_average
 from memloom.operators.ranking import global_rank, value_at
 from memloom.sources.adapters import oracle, run
+from memloom.streaming import outbox
 
 
 def w5_clipped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +82,57 @@ def st7_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooled_down(rows, ["user_id", "trigger_event"], 24 * 3600).select("user_id", "trigger_event", "id")
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outbox.read_events(spark, f"{sf_dir}/events.parquet")
+
+
+def st1_poll_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending events, as a poll of the outbox takes them."""
+    return outbox.drained(_stream(spark, sf_dir).where("event_type = 'click'").select("event_id"), "st1")
+
+
+def st4_live_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user in the state that lives for 1800 seconds."""
+    return outbox.drained(outbox.live_count(_stream(spark, sf_dir), 1800), "st4")
+
+
+def st5_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Idempotency keys consumed, each once."""
+    keyed = _stream(spark, sf_dir).withColumn("idempotency_key", F.concat(F.lit("k"), F.col("event_id") % 5000))
+    return outbox.drained(outbox.idempotent(keyed, "idempotency_key").select("idempotency_key"), "st5")
+
+
+def st12_running_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's moving average of values after each event (weight 0.1, first state 0)."""
+    got = outbox.running_state(_stream(spark, sf_dir), F.lit(0.9), F.col("value") * 0.1, float("-inf"), float("inf"), 0.0)
+    return outbox.drained(got, "st12").select("user_id", "event_id", F.round("state", 4).alias("average"))
+
+
+def st13_running_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's clipped score after each event."""
+    got = outbox.running_state(_stream(spark, sf_dir), F.lit(1.0), (F.col("event_id") % 21 - 10).cast("double") / 10, 0.0, 1.0, 0.5)
+    return outbox.drained(got, "st13").select("user_id", "event_id", F.round("state", 6).alias("score"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (io3_named_parameters, c3_replay_day, w5_clipped_scores, k9_diversify, st9_sessions, w6_result_rank, k12_stable_order, a21_lag_p95, a22_p50_index, m20_message_average, st7_cooldown)
+    for f in (st1_poll_pending, st4_live_count, st5_idempotent, st12_running_average, st13_running_affinity, io3_named_parameters, c3_replay_day, w5_clipped_scores, k9_diversify, st9_sessions, w6_result_rank, k12_stable_order, a21_lag_p95, a22_p50_index, m20_message_average, st7_cooldown)
 }
 
 ORACLE = {
+    "st1_poll_pending": "SELECT event_id FROM events WHERE event_type = 'click'",
+    "st5_idempotent": "SELECT DISTINCT concat('k', event_id % 5000) AS idempotency_key FROM events",
+    "st4_live_count": """WITH marked AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
+ lived AS (SELECT user_id, event_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM marked)
+ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, life ORDER BY ts, event_id) AS n FROM lived""",
+    "st12_running_average": """WITH RECURSIVE numbered AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ walk AS (SELECT user_id, event_id, rn, v * 0.1::DOUBLE AS s FROM numbered WHERE rn = 1
+ UNION ALL SELECT n.user_id, n.event_id, n.rn, 0.9::DOUBLE * w.s + n.v * 0.1::DOUBLE FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.rn = w.rn + 1)
+ SELECT user_id, event_id, round(s, 4) AS average FROM walk""",
+    "st13_running_affinity": """WITH RECURSIVE numbered AS (SELECT user_id, event_id, CAST(event_id % 21 - 10 AS DOUBLE) / 10 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ walk AS (SELECT user_id, event_id, rn, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 + v)) AS s FROM numbered WHERE rn = 1
+ UNION ALL SELECT n.user_id, n.event_id, n.rn, greatest(0.0::DOUBLE, least(1.0::DOUBLE, w.s + n.v)) FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.rn = w.rn + 1)
+ SELECT user_id, event_id, round(s, 6) AS score FROM walk""",
     "a21_lag_p95": oracle("SELECT lag_ms AS p95 FROM (SELECT lag_ms, row_number() OVER (ORDER BY lag_ms) AS rn, count(*) OVER () AS n FROM lags) z WHERE rn = least(CAST(floor(n * 0.95) AS BIGINT) + 1, n)"),
     "a22_p50_index": oracle("SELECT lag_ms AS p50 FROM (SELECT lag_ms, row_number() OVER (ORDER BY lag_ms) AS rn, count(*) OVER () AS n FROM lags) z WHERE rn = n // 2 + 1"),
     "io3_named_parameters": oracle("SELECT id, new_score FROM affinity_history WHERE user_id = 7 AND created_at >= TIMESTAMP '2024-01-10 00:00:00'"),

@@ -6,6 +6,7 @@ UTC session. All queries run with `availableNow` over files or continuously over
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memloom.operators.folds import walk
+from memloom.sources.session import shared_dir
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """The event files of a folder as a stream (poll, at most so many files a trigger)."""
-    raw = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    pattern = f"{folder[:-1]}[{folder[-1]}]"  # a glob also where the path is a single file
+    raw = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -66,3 +69,30 @@ def running_state(events: DataFrame, mult: Column, add: Column, low: float, high
 
     given = events.select("user_id", "event_id", "ts", mult.cast("double").alias("_m"), add.cast("double").alias("_c"), F.lit(low).alias("_a"), F.lit(high).alias("_b"))
     return given.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, state double", "x double", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_count(events: DataFrame, seconds: int) -> DataFrame:
+    """user_id, event_id and `n`: the events of a user since the last pause longer than `seconds`. The state of a user, time
+    and count of the last event, thus lives that long."""
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(chunks)).sort_values(["us", "event_id"], ignore_index=True)
+        last, n = kept.get if kept.exists else (None, 0)
+        out = []
+        for us in pdf["us"]:
+            n = n + 1 if last is not None and us - last <= seconds * 1_000_000 else 1
+            last = us
+            out.append(n)
+        kept.update((int(last), int(n)))
+        yield pdf[["user_id", "event_id"]].assign(n=out)
+
+    given = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
+    return given.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, n long", "last long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What the stream gives for all input there is now (one run with availableNow), as a table."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/memloom/{name}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
