@@ -20,8 +20,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that occur elsewhere too."""
-    return suffix_dedup.remove_repeats(docs)
+    """Documents without the 256-byte strings that occur elsewhere too: 50 words are 400 bytes only if they are long."""
+    return suffix_dedup.remove_repeats(docs, suffix_dedup.RepeatConfig(length=256, gram=48))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ to a number that grows with the root of the number of centroids. Members are sco
 
 Equal vectors are one entry with their smallest `k + 1` ids, which are all that can be among a query's
 k nearest, and one search serves all queries with that vector. Lists longer than `part` are read in
-parts by several tasks, so a crowded region does not meet in one.
+parts by several tasks, and so are the queries of a list, so a crowded region does not meet in one.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite components take no part; ties go to the smaller vec_id; rows that repeat a vec_id with
@@ -172,9 +172,11 @@ def search(vectors: DataFrame, cfg: AnnConfig = AnnConfig()) -> DataFrame:
     sizes = spark.sparkContext.broadcast(filled)
     parts = F.greatest(F.lit(1), F.ceil(F.col("members") / cfg.part))
     posted = posted.join(F.broadcast(size), "list").withColumn("part", F.pmod("h", parts)).drop("members")  # one row per centroid
-    asks = few.where("ask").select("h", F.col("ids")[0].alias("low"), "v").mapInPandas(ask, "qh long, low long, q array<double>, list array<long>").withColumn("list", F.explode("list"))
-    asks = asks.join(F.broadcast(size), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
-    chunk = F.pmod(F.col("qh"), F.lit(16))  # queries of a popular list are spread too
+    asks = few.where("ask").select("h", F.col("ids")[0].alias("low"), "v").mapInPandas(ask, "qh long, low long, q array<double>, list array<long>")
+    asks = stage(asks, "asks").withColumn("list", F.explode("list"))
+    # queries of a popular list are dealt out too, as many to a unit of work as it has members
+    chunks = stage(asks.groupBy("list").agg(F.ceil(F.count("*") / cfg.part).alias("chunks")), "chunks")
+    asks = asks.join(F.broadcast(size), "list").join(F.broadcast(chunks), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
 
     def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -187,8 +189,8 @@ def search(vectors: DataFrame, cfg: AnnConfig = AnnConfig()) -> DataFrame:
                     rows.append((qh, low, right["ids"].iloc[j], float(s[j])))
         return pd.DataFrame(rows, columns=["qh", "low", "ids", "score"])
 
-    units = asks.select("qh", "low", "q", "list", "part", (chunk if total > 500_000 else F.lit(0)).alias("chunk"))
-    data = posted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(15)) if total > 500_000 else F.array(F.lit(0))))
+    units = asks.select("qh", "low", "q", "list", "part", F.pmod("qh", "chunks").alias("chunk"))
+    data = posted.join(F.broadcast(chunks), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
     got = units.groupBy("list", "part", "chunk").cogroup(data.groupBy("list", "part", "chunk")).applyInPandas(score, "qh long, low long, ids array<long>, score double")
     flat = got.select("qh", "low", "score", F.explode("ids").alias("vec_id")).distinct()
     best = F.row_number().over(Window.partitionBy("qh", "low").orderBy(F.desc("score"), "vec_id"))
