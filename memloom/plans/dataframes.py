@@ -105,7 +105,7 @@ def st5_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st12_running_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's moving average of values after each event (weight 0.1, first state 0)."""
     got = outbox.running_state(_stream(spark, sf_dir), F.lit(0.9), F.col("value") * 0.1, float("-inf"), float("inf"), 0.0)
-    return outbox.drained(got, "st12").select("user_id", "event_id", F.round("state", 4).alias("average"))
+    return outbox.drained(got, "st12").select("user_id", "event_id", F.round("state", 7).alias("average"))
 
 
 def st13_running_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ ORACLE = {
     "st12_running_average": """WITH RECURSIVE numbered AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
  walk AS (SELECT user_id, event_id, rn, v * 0.1::DOUBLE AS s FROM numbered WHERE rn = 1
  UNION ALL SELECT n.user_id, n.event_id, n.rn, 0.9::DOUBLE * w.s + n.v * 0.1::DOUBLE FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.rn = w.rn + 1)
- SELECT user_id, event_id, round(s, 4) AS average FROM walk""",
+ SELECT user_id, event_id, round(s, 7) AS average FROM walk""",
     "st13_running_affinity": """WITH RECURSIVE numbered AS (SELECT user_id, event_id, CAST(event_id % 21 - 10 AS DOUBLE) / 10 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
  walk AS (SELECT user_id, event_id, rn, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 + v)) AS s FROM numbered WHERE rn = 1
  UNION ALL SELECT n.user_id, n.event_id, n.rn, greatest(0.0::DOUBLE, least(1.0::DOUBLE, w.s + n.v)) FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.rn = w.rn + 1)
