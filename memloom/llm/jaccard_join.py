@@ -138,9 +138,11 @@ def shingle_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
 
 
 def fine_counts(u: np.ndarray, cfg: JaccardConfig) -> bytes:
-    """Tokens counted in a power of two of groups, about four tokens to one; group g of fewer groups is the sum
-    of the groups that are g modulo their number, so counts of two sizes compare in the coarser one."""
-    groups = max(cfg.groups, 1 << max(0, (len(u) // 4 - 1).bit_length()))
+    """Tokens counted in a power of two of groups: about four groups to a token in small sets, where a few chance
+    meetings weigh much, and four tokens to a group in large ones. Group g of fewer groups is the sum of the groups that
+    are g modulo their number, so counts of two sizes compare in the coarser one."""
+    n = len(u)
+    groups = 1 << max(cfg.groups.bit_length() - 1, min(4 * n, 1024).bit_length() - 1, (n // 4).bit_length())
     return packed_counts(np.bincount((u >> np.uint64(20)).astype(np.int64) % groups, minlength=groups))
 
 
@@ -213,7 +215,7 @@ def _may(cfg: JaccardConfig):
 
 
 def _point(cfg: JaccardConfig):
-    """A node's point: its counts with about eight tokens to a group, in at most cfg.most_groups groups."""
+    """A node's point: its counts in half as many groups, and in at most cfg.most_groups."""
     g, most = cfg.groups, cfg.most_groups
 
     @F.pandas_udf("binary")
@@ -314,11 +316,12 @@ def meeting(boxes: DataFrame, cfg: JaccardConfig) -> DataFrame:
     return pairs.where(sizes).where(_may(cfg)("ti", "tj", "li", "lj")).select("key", "i", "j")
 
 
-def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig, best: int | None = None) -> DataFrame:
+def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig, best: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (a, b) of one block and different labels whose points allow a link, and fit, the bound's share of both sizes.
-    With `best`, of the pairs found in one bucket of work only each node's so many of greatest fit.
+    With `best`, of the pairs found in one bucket of work only each node's so many of greatest fit. Also the staged tables
+    that the pairs are read from.
 
-    blocks: key, members (rows of the block), node, label, n, point. Leaves of a block hold about cfg.leaf points near in
+    blocks: key, lead_label, members (rows of the block), node, label, n, point. Leaves of a block hold about cfg.leaf points near in
     size and counts (a block of many rows is first dealt into slices, each packed on its own); each pair of leaves that
     may hold a link is one unit of work with its own members only."""
     p, g, leaf = cfg.percent, cfg.groups, cfg.leaf
@@ -330,8 +333,8 @@ def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig, best: int | None = None)
     points = many.join(packed, "key").select("key", F.col("leaf").alias("no"), F.col("n").alias("low"), F.col("n").alias("high"), F.col("point").alias("top"))
     boxes = stage(points.groupBy("key", "no").applyInPandas(_box(cfg), "key long, no long, low long, high long, top binary"), "boxes")
     meet = stage(meeting(boxes, cfg).where("i < j"), "meet")
-    within = packed.select("key", F.col("leaf").alias("i"), F.col("leaf").alias("j"), F.lit(0).alias("side"), "node", "label", "n", "point")
-    rest = ["node", "label", "n", "point"]
+    within = packed.select("key", F.col("leaf").alias("i"), F.col("leaf").alias("j"), F.lit(0).alias("side"), "node", "label", "n", "point", "lead_label")
+    rest = ["node", "label", "n", "point", "lead_label"]
     first = meet.join(packed.withColumnRenamed("leaf", "i"), ["key", "i"]).select("key", "i", "j", F.lit(0).alias("side"), *rest)
     second = meet.join(packed.withColumnRenamed("leaf", "j"), ["key", "j"]).select("key", "i", "j", F.lit(1).alias("side"), *rest)
 
@@ -342,7 +345,7 @@ def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig, best: int | None = None)
         unit = pdf.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
         groups = pdf["point"].map(groups_of).to_numpy()
         least = np.minimum.reduceat(groups, np.flatnonzero(np.append(True, unit[1:] != unit[:-1])))[unit]
-        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "fit": np.zeros(0)})]
+        out, held = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "fit": np.zeros(0)})], 0
         for g in np.unique(least):
             rows = np.flatnonzero(least == g)
             own, pts = unit[rows], np.stack([folded(x, g) for x in pdf["point"].to_numpy()[rows]])
@@ -361,15 +364,27 @@ def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig, best: int | None = None)
                     a, b, most = a[hit], b[hit], most[hit]
                     if len(a):
                         out.append(pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "fit": most / (n[a] + n[b])}))
-        found = pd.concat(out, ignore_index=True).drop_duplicates(["a", "b"])
+                        held += len(a)
+                    if held > 300_000:
+                        out = [sifted(out)]
+                        held = len(out[0]) // 2
+        return sifted(out)
+
+    def sifted(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        found = pd.concat(parts, ignore_index=True).drop_duplicates(["a", "b"])
         if best is None:
             return found
         found = found.sort_values("fit", ascending=False, kind="stable")
         return found[(found.groupby("a").cumcount() < best) | (found.groupby("b").cumcount() < best)]
 
     units = within.union(first).union(second)
-    buckets = 1 + (packed.count() + 2 * leaf * meet.count()) // 10000
-    return units.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(search, "a long, b long, fit double").groupBy("a", "b").agg(F.max("fit").alias("fit"))
+    # blocks of one lead mostly share their pairs: they are searched together, as many rows as make a bucket
+    size = 5000
+    buckets = 1 + (packed.count() + 2 * leaf * meet.count()) // size
+    salts = stage(units.groupBy("lead_label").agg(F.ceil(F.count("*") / size).alias("salts")).where("salts > 1"), "salts")
+    dealt = units.join(F.broadcast(salts) if salts.count() < cfg.sent else salts, "lead_label", "left").withColumn("salt", F.pmod(F.xxhash64("key", "i", "j"), F.coalesce("salts", F.lit(1))))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("lead_label", "salt"), F.lit(buckets))).drop("lead_label", "salts", "salt")
+    return dealt.groupBy("bucket").applyInPandas(search, "a long, b long, fit double").groupBy("a", "b").agg(F.max("fit").alias("fit")), [packed, boxes, meet, salts]
 
 
 def pending(blocks: DataFrame, lab: DataFrame | None, r: int) -> DataFrame:
@@ -427,12 +442,16 @@ def labelled(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame
         # each node's best-bounded partners first: most other pairs then lie within a component and are never made
         if best is None:
             marked = stage(pending(open_blocks, lab, cfg.star_rounds), "pending")
-        near = rtree_pairs(marked.select("key", "members", "node", "label").join(points, "node"), cfg, best)
+            discard(open_blocks)
+            open_blocks = marked
+        near, used = rtree_pairs(marked.select("key", "lead_label", "members", "node", "label").join(points, "node"), cfg, best)
         if best is not None:
             ends = near.select("a", "b", "fit", F.explode(F.array("a", "b")).alias("end"))
             top = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("fit"), "a", "b"))
             near = ends.withColumn("r", top).where(F.col("r") <= best).select("a", "b").distinct()
-        join_up(stage(within_bound(near.select("a", "b"), nodes, cfg), "pairs"))
+        pairs = stage(within_bound(near.select("a", "b"), nodes, cfg), "pairs")
+        discard(*used)
+        join_up(pairs)
     discard(open_blocks, nodes, *links)
     return with_label(sets.select("doc_id", "h", "n", "node"), "node", lab, "label").drop("node")
 

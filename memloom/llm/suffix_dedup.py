@@ -165,7 +165,8 @@ def runs(flags: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def repeated_spans(keys: DataFrame, cfg: RepeatConfig) -> DataFrame:
-    """id0, th, spans (array of start, end): the byte ranges to remove, unmerged."""
+    """id0, th, spans (array of start, end) of the texts that lose bytes: the byte ranges to remove, unmerged. A staged
+    table, so that the shuffled texts of the search are gone before the spans meet the rows."""
     W, span = cfg.length, cfg.length - cfg.gram  # an anchor lies at most `span` bytes after a start
     found = stage(occurrences(keys, cfg), "anchors")
     often = (
@@ -192,9 +193,8 @@ def repeated_spans(keys: DataFrame, cfg: RepeatConfig) -> DataFrame:
                 rows += [(x["ah"], x["ch"], x["n"], x["d"], x["lo"] - x["pos"] + span, raw[x["lo"] : x["hi"] + W]) for x in need]
             yield pd.DataFrame(rows, columns=["ah", "ch", "n", "d", "col", "bytes"])
 
-    by_key = keys.repartition("id0", "th")  # read twice below, shuffled once
     # rows with one key are equal: any of them gives the bytes
-    texts = by_key.join(need, ["id0", "th"]).mapInPandas(cut, "ah long, ch binary, n long, d long, col long, bytes binary")
+    texts = keys.select("id0", "th", "text").join(need, ["id0", "th"]).mapInPandas(cut, "ah long, ch binary, n long, d long, col long, bytes binary")
 
     def construct(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["ah", "ch"], ignore_index=True)
@@ -216,15 +216,19 @@ def repeated_spans(keys: DataFrame, cfg: RepeatConfig) -> DataFrame:
                 )
 
     few = texts.where(F.col("d") <= cfg.most_contexts).withColumn("bucket", F.pmod("ah", F.lit(buckets)))
+    rest: list[DataFrame] = []
     starts = few.groupBy("bucket").applyInPandas(construct, "ah long, ch binary, s long, e long")
     if not ctx.where(F.col("d") > cfg.most_contexts).isEmpty():
-        win = stage(texts.where(F.col("d") > cfg.most_contexts).mapInPandas(windows, "ah long, ch binary, n long, s long, t binary"), "windows").dropDuplicates(["ah", "ch", "s"])
+        rest = [stage(texts.where(F.col("d") > cfg.most_contexts).mapInPandas(windows, "ah long, ch binary, n long, s long, t binary"), "windows")]
+        win = rest[0].dropDuplicates(["ah", "ch", "s"])
         more = win.groupBy("t").agg(F.sum("n").alias("n")).where("n > 1").select("t")
         starts = starts.union(win.join(more, "t").select("ah", "ch", "s", F.col("s").alias("e")))
     at = F.col("pos") - span
     part = mixed.join(starts, ["ah", "ch"]).select("id0", "th", (at + F.col("s")).alias("a"), (at + F.col("e") + W).alias("b"))
     spans = whole.union(part).groupBy("id0", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return by_key.join(spans, ["id0", "th"], "left")
+    spans = stage(spans, "spans")
+    discard(occ, ctx, *rest)
+    return spans
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
@@ -247,7 +251,8 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def op4(docs: DataFrame, cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    rows = repeated_spans(keyed(docs), cfg)
+    keys = keyed(docs)
+    rows = keys.join(repeated_spans(keys, cfg), ["id0", "th"], "left")
 
     def digest(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -267,7 +272,7 @@ def op4(docs: DataFrame, cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
 def remove_repeats(docs: DataFrame, cfg: RepeatConfig = RepeatConfig()) -> DataFrame:
     """docs with the repeated strings cut out of text, and n_chars (where there is one) counted anew.
     A document with nothing left goes."""
-    spans = repeated_spans(keyed(docs), cfg).where("spans is not null").select("id0", "th", "spans").dropDuplicates(["id0", "th"])
+    spans = repeated_spans(keyed(docs), cfg)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
