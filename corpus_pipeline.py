@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality classifier, n-gram Jaccard join, suffix-array dedup, secret scan, packing."""
+"""The corpus pipeline: quality classifier, n-gram Jaccard join, suffix-array dedup, secret scan, packing.
+
+Defined cases, for every stage: null text counts as empty; a null doc_id is a document like others; rows that repeat a
+doc_id are documents of their own; other columns, whatever their names, pass through unchanged; an empty table gives an
+empty table. Without labels the classifier keeps everything. Of equal rows the Jaccard stage keeps one (texts without
+words all stay), and the suffix stage drops a document of which nothing is left.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from memloom.sources.session import ship
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier accepts."""
+    """Documents the quality classifier accepts (score of 0.3 or more); a null text is scored as the empty one."""
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 

@@ -37,9 +37,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*staged: DataFrame) -> None:
-    """Delete staged tables that no later step reads, and let Spark drop the shuffle files of finished
-    steps (it does so when the driver collects its garbage): both would else stay until the end."""
+def discard(*staged: DataFrame, free: bool = True) -> None:
+    """Delete staged tables that no later step reads, and (unless little was shuffled) let Spark drop the shuffle files of
+    finished steps (it does so when the driver collects its garbage): both would else stay until the end."""
     if not staged:
         return
     jvm = staged[0].sparkSession._jvm
@@ -47,7 +47,8 @@ def discard(*staged: DataFrame) -> None:
     for df in staged:
         path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
         path.getFileSystem(conf).delete(path, True)
-    release(staged[0].sparkSession)
+    if free:
+        release(staged[0].sparkSession)
 
 
 def ints(values: list) -> pd.arrays.IntegerArray:

@@ -273,7 +273,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = lab.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = stage(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")).coalesce(tasks), "labels")
         done = new.where("old <> label").isEmpty()
-        discard(lab, *([both] if done else []))
+        discard(lab, *([both] if done else []), free=done)
         lab = new.select("node", "label")
         lab._staged_at = new._staged_at
         if done:
@@ -421,7 +421,7 @@ def labelled(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame
             return
         links.append(got)
         new = components(functools.reduce(DataFrame.union, links))
-        discard(*([] if lab is None else [lab]))
+        discard(*([] if lab is None else [lab]), free=False)
         lab = new
 
     open_blocks, left = blocks, None
