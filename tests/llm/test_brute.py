@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from test_llm import DOCS, WORD, corpus
 
-from memloom.llm import jaccard_join, lang_id, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+from memloom.llm import ann, jaccard_join, lang_id, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
 
 SF = "/root/testdata/sf0.01"
 MASK = (1 << 64) - 1
@@ -248,3 +248,23 @@ def test_pipeline_brute(spark, docs, labels, tmp_path):
             at += length
         assert at == len(want[i])
     assert hashlib.sha256(b"").hexdigest() and set(whole) == {i for i, _ in state}
+
+
+def test_ann_many_lists(spark):
+    """About a thousand lists of which a query reads at most 64: under a tenth, with a recall of 0.9."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(300, 16))
+    x = centers[rng.integers(0, 300, 6000)] + 0.3 * rng.normal(size=(6000, 16))
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    cfg = ann.AnnConfig(list_size=6, lists=48, lists_root=2.0, floor=200)
+    got = collections.defaultdict(set)
+    for r in ann.op5(spark.createDataFrame(data, "vec_id long, embedding array<double>"), cfg).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+        assert len(got[q]) == 20
+    print("recall", hit / (300 * 20))
+    assert hit / (300 * 20) >= 0.9
