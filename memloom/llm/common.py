@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers serve stage after stage, and what one has freed
+    would else count against the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(taken: list[str], base: str) -> str:
     """base, with as many underscores as keep it apart from the names taken."""
     low = {c.lower() for c in taken}
@@ -175,7 +186,7 @@ class Words:
         return span_hash(prefix_hash(self.buf if buf is None else buf), self.start, self.end)
 
 
-def small_batches(ids: list, texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
+def small_batches(ids: list, texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[list, list[bytes]]]:
     """Runs of whole texts of about `most` bytes together; a longer text makes a run of its own."""
     a, b, size = [], [], 0
     for i, t in zip(ids, texts, strict=True):

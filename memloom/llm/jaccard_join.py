@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import Words, discard, ints, mix64, small_batches, stage, whole_row
+from memloom.llm.common import Words, discard, give_back, ints, mix64, small_batches, stage, whole_row
 
 
 @dataclass(frozen=True)
@@ -133,6 +133,7 @@ def shingle_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
                     rows.append((i, h, len(u), node, fine_counts(u, cfg) if fresh else None, block_keys(u, cfg) if fresh else None))
                 i, h, n, node, fine, keys = zip(*rows, strict=True)
                 yield pd.DataFrame({"doc_id": ints(i), "h": h, "n": n, "node": ints(node), "fine": fine, "keys": keys})
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInPandas(run, "doc_id long, h long, n long, node long, fine binary, keys array<long>")
 
@@ -171,6 +172,7 @@ def node_sets(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
                 us = shingles(texts, cfg.words)
                 rows = [(i, u.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for i, u in zip(want, us, strict=True) if len(u) and _node(u) == i]
                 yield pd.DataFrame(rows, columns=["node", "set"])
+        give_back()
 
     return docs.select("node", "text").mapInPandas(run, "node long, set binary")
 
@@ -368,7 +370,9 @@ def rtree_pairs(blocks: DataFrame, cfg: JaccardConfig, best: int | None = None)
                     if held > 300_000:
                         out = [sifted(out)]
                         held = len(out[0]) // 2
-        return sifted(out)
+        found = sifted(out)
+        give_back()
+        return found
 
     def sifted(parts: list[pd.DataFrame]) -> pd.DataFrame:
         found = pd.concat(parts, ignore_index=True).drop_duplicates(["a", "b"])

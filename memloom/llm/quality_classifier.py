@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from memloom.llm.common import Words, fold, free_name, share, small_batches
+from memloom.llm.common import Words, fold, free_name, give_back, share, small_batches
 
 
 @dataclass(frozen=True)
@@ -164,6 +164,7 @@ def score(docs: DataFrame, model: tuple | None, keep: list[str], cfg: PuConfig =
             res = pdf[keep].copy()
             res[out_name] = out
             yield res
+        give_back()
 
     return docs.select(*keep, F.col("text").alias(text)).mapInPandas(run, schema)
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import discard, ints, prefix_hash, row_key, small_batches, span_hash, stage, whole_row, with_text
+from memloom.llm.common import discard, give_back, ints, prefix_hash, row_key, small_batches, span_hash, stage, whole_row, with_text
 
 
 @dataclass(frozen=True)
@@ -114,6 +114,7 @@ def occurrences(docs: DataFrame, cfg: RepeatConfig) -> DataFrame:
                     yield pd.DataFrame(
                         {"ah": ah, "ch": ch, "id0": np.array([x[0][0] for x in group])[doc], "th": np.array([x[0][1] for x in group])[doc], "pos": pos + off, "lo": lo + off, "hi": hi + off}
                     )
+        give_back()
 
     return docs.where(F.octet_length("text") >= cfg.length).mapInPandas(run, "ah long, ch binary, id0 long, th long, pos long, lo long, hi long")
 
@@ -205,6 +206,7 @@ def repeated_spans(keys: DataFrame, cfg: RepeatConfig) -> DataFrame:
             valid[i, col : col + len(raw) - W + 1] = True
         flags = (column_repeats(mat, W, span + 1) | (pdf["n"].to_numpy() > 1)[:, None]) & valid
         out = [(pdf["ah"][i], pdf["ch"][i], a, b) for i, a, b in runs(flags)]
+        give_back()
         return pd.DataFrame(out, columns=["ah", "ch", "s", "e"])
 
     def windows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
