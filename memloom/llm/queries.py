@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import ann, jaccard_join, lang_id, packing, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+from memloom.llm import ann, jaccard_join, lang_id, packing, periodic_runs, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
 from memloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op10(table(spark, sf_dir, "documents"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lang_id": op1,
     "op2_quality_rules": op2,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8,
     "op9_jaccard_join": op9,
     "op10_token_counts": op10,
+    "op13_periodic_runs": op13,
 }
 
 ORACLE: dict[str, str] = {}
