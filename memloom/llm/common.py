@@ -143,6 +143,11 @@ def _powers(n: int, base: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """The powers by which `span_hash` weighs n positions."""
+    return _powers(n, _BASE)
+
+
 BYTE_KEYS = mix64(np.arange(1, 257, dtype=np.uint64))
 _INV = pow(_BASE, -1, 1 << 64)
 
