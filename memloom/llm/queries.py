@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import ann, collocations, jaccard_join, lang_id, packing, periodic_runs, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+from memloom.llm import ann, collocations, fingerprints, jaccard_join, lang_id, packing, periodic_runs, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
 from memloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op10(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op11(table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.op12(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8,
     "op9_jaccard_join": op9,
     "op10_token_counts": op10,
+    "op11_fingerprints": op11,
     "op12_collocations": op12,
     "op13_periodic_runs": op13,
 }
