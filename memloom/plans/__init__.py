@@ -1,6 +1,6 @@
 """Registered queries of the memory engine and the SQL they are held against."""
 
-from memloom.plans import dataframes, memory_state, scores, services, text_rules  # noqa: F401  (they register their queries)
+from memloom.plans import dataframes, memory_state, retrieval, scores, services, text_rules  # noqa: F401  (they register their queries)
 from memloom.plans.catalog import CATALOG
 from memloom.sources.adapters import DUCK, SPARK, oracle, run
 
@@ -13,5 +13,5 @@ def _query(key: str):
     return query
 
 
-QUERIES: dict = {k: _query(k) for k in CATALOG} | dataframes.QUERIES
-ORACLE: dict = {k: oracle(f(DUCK)) for k, f in CATALOG.items()} | dataframes.ORACLE
+QUERIES: dict = {k: _query(k) for k in CATALOG} | dataframes.QUERIES | retrieval.QUERIES
+ORACLE: dict = {k: oracle(f(DUCK)) for k, f in CATALOG.items()} | dataframes.ORACLE | retrieval.ORACLE

@@ -85,14 +85,6 @@ register("a25_accuracy_sets", "SELECT task_type, category, count(*) AS n, round(
 register("a27_extreme_category", lambda d: ("SELECT {0}(category, acc) AS worst, {1}(category, acc) AS best FROM (SELECT category, avg(CASE WHEN correct THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) + CAST(category AS DOUBLE) / 1000000 AS acc FROM scored_items GROUP BY category) z").format("min_by", "max_by"))
 register("a29_prefix_stats", lambda d: "SELECT split_part(url, '/', 3) AS host, count(*) AS n FROM pages GROUP BY split_part(url, '/', 3)")
 register("a33_active_users", lambda d: f"SELECT DISTINCT user_id FROM affinity_history WHERE created_at > {d.ts()} - INTERVAL '5' DAY")
-register("a35_retrieval_metrics", lambda d: f"""WITH scored AS (SELECT q.vec_id AS qid, m.vec_id AS mid, CASE WHEN q.label = m.label THEN 1 ELSE 0 END AS rel, -round({d.dot('q.embedding', 'm.embedding')} / (q.norm * m.norm), 9) AS far
- FROM vectors q CROSS JOIN vectors m WHERE q.vec_id < 10 AND m.vec_id >= 10),
- top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY far, mid) AS rk FROM scored) y WHERE rk <= 10),
- at_10 AS (SELECT qid, sum(rel) AS hits, sum(rel / log2(CAST(rk + 1 AS DOUBLE))) AS dcg FROM top GROUP BY qid),
- nearest AS (SELECT qid, sum(rel) AS g, min(CASE WHEN rel = 1 THEN far END) AS f FROM scored GROUP BY qid),
- tie AS (SELECT n.qid, min(s.mid) AS m FROM nearest n JOIN scored s ON s.qid = n.qid AND s.far = n.f WHERE s.rel = 1 GROUP BY n.qid),
- ahead AS (SELECT n.qid, max(n.g) AS g, count(CASE WHEN s.far < n.f OR (s.far = n.f AND s.mid < t.m) THEN 1 END) AS before, max(t.m) AS m FROM nearest n LEFT JOIN tie t ON t.qid = n.qid JOIN scored s ON s.qid = n.qid GROUP BY n.qid)
- SELECT a.qid, round(CAST(a.hits AS DOUBLE) / h.g, 6) AS recall_10, round(CASE WHEN h.m IS NULL THEN 0e0 ELSE 1e0 / (h.before + 1) END, 6) AS mrr, round(a.dcg, 6) AS dcg_10 FROM at_10 a JOIN ahead h ON h.qid = a.qid""")
 register("a36_source_counts", "SELECT source, count(*) AS n FROM content_library WHERE is_active GROUP BY source")
 
 # ---- windows, order, sets ------------------------------------------------------------------------
@@ -166,15 +158,5 @@ register("c10_history_lines", lambda d: f"SELECT session_id, {d.joined('line', '
 register("c15_edge_histogram", "SELECT rel_type, count(*) AS n FROM edges GROUP BY rel_type ORDER BY rel_type")
 
 # ---- composites ----------------------------------------------------------------------------------
-# Queries are the vectors whose id is divisible by 20, against every other memory. Each task keeps the best of its own
-# memories for a query (a grouped limit before the shuffle), so what moves is k rows a query and task, never the pairs.
-def near(d: Dialect, k: int) -> str:
-    """query_id, id, sim, valence, days, rn of the k nearest live memories of each query."""
-    pairs = f"SELECT q.vec_id AS query_id, m.id, {d.dot('q.embedding', 'v.embedding')} / (q.norm * v.norm) AS sim, m.valence, {d.days(d.ts(), 'm.created_at')} AS days FROM vectors q CROSS JOIN vectors v JOIN memories m ON m.id = v.vec_id WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND m.status <> 'deleted'"
-    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rn FROM ({pairs}) y) z WHERE rn <= {k}"
-
-
-register("r2_vector_search", lambda d: f"SELECT query_id, id, round(sim, 6) AS sim FROM ({near(d, 50)}) x")
-register("r1_hybrid_retrieve", lambda d: f"WITH near AS ({near(d, 50)}), scored AS (SELECT query_id, id, (0.4 * sim + 0.3 * 0.5 + 0.2 * CASE WHEN valence > 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + 0.1 * exp(-CAST(days AS DOUBLE) / 30)) * CASE WHEN days <= 7 THEN CAST(1.15 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score FROM near) SELECT query_id, id, round(score, 6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rk FROM scored) z WHERE rk <= 10")
 register("r9_recommend_score", lambda d: f"SELECT id, round(greatest(0, least(1, (0.5 * 0.5 + 0.3 * exp(-0.05 * {d.seconds(d.ts(), 'published_at')} / 3600) + 0.2 * quality_score) * CASE WHEN id % 30 = 0 THEN CAST(0.3 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END)), 6) AS score FROM content_library WHERE is_active")
 register("r13_dashboard", lambda d: f"SELECT h.user_id, round(max(l.new_score), 6) AS score, {d.days(d.ts(), 'min(h.created_at)')} AS days_known, count(*) AS events, round(avg(h.emotion_valence), 6) AS mood FROM affinity_history h JOIN latest_affinity l ON l.user_id = h.user_id GROUP BY h.user_id")

@@ -49,11 +49,6 @@ register("j18_varlen_paths", f"""WITH links AS ({_BOTH}), one AS (SELECT b AS no
  two AS (SELECT l.b AS node, o.w * l.w AS w, o.e1, l.eid AS e2 FROM one o JOIN links l ON l.a = o.node WHERE l.eid <> o.e1),
  three AS (SELECT l.b AS node, t.w * l.w AS w FROM two t JOIN links l ON l.a = t.node WHERE l.eid <> t.e1 AND l.eid <> t.e2)
  SELECT node, min(hops) AS hops, round(max(w), 6) AS weight FROM (SELECT node, w, 1 AS hops FROM one UNION ALL SELECT node, w, 2 FROM two UNION ALL SELECT node, w, 3 FROM three) z GROUP BY node""")
-_EXPAND = f"""WITH cand AS ({ranked('SELECT id, valence FROM memories', 'id', '', 'valence DESC, id', 10)}),
- ent AS (SELECT c.id, p.entity_id FROM cand c JOIN ({_PRIMARY}) p ON p.memory_id = c.id),
- nb AS ({ranked("SELECT e.id, x.dst AS via, x.weight FROM ent e JOIN edges x ON x.src = concat('p', e.entity_id)", 'id, via', 'id', 'weight DESC, via', 5)}),
- found AS ({ranked("SELECT DISTINCT n.id, n.via, me.memory_id FROM nb n JOIN edges y ON y.dst = n.via AND y.rel_type = 'RELATED_TO' JOIN memory_entities me ON concat('p', me.entity_id) = y.src", 'id, via, memory_id', 'id, via', 'memory_id DESC', 5)})"""
-register("j19_neighbour_memories", _EXPAND + " SELECT id, via, memory_id FROM found")
 register("j20_entity_backfill", f"SELECT m.id, coalesce(p.entity_id, -1) AS entity_id FROM memories m LEFT JOIN ({_PRIMARY}) p ON p.memory_id = m.id")
 register("j23_lookup", "SELECT s.id, s.category, CASE WHEN b.item_id IS NULL THEN 'missing' ELSE md5(b.text) END AS answer FROM scored_items s LEFT JOIN benchmark b ON b.item_id = s.id")
 register("j27_not_recommended", "SELECT id FROM content_library c WHERE is_active AND NOT EXISTS (SELECT 1 FROM recommendations r WHERE r.content_id = c.id AND CAST(r.recommended_at AS DATE) = CAST('2024-01-15' AS DATE))")
@@ -85,7 +80,6 @@ register("v6_ask_gate", lambda d: f"SELECT user_id, id FROM ({ranked('SELECT use
 register("v7_clarification", "SELECT c.id, s.choice, CASE s.choice WHEN 'first' THEN c.first_id WHEN 'second' THEN c.second_id END AS preferred FROM conflicts c JOIN (SELECT session_id, CASE WHEN contains(lower(content), 'a') THEN 'first' WHEN contains(lower(content), 'b') THEN 'second' END AS choice FROM conversation_turns WHERE turn = 0) s ON s.session_id = c.id")
 register("v8_pending_conflicts", ranked("SELECT c.id, c.user_id, a.valence AS first_valence, b.valence AS second_valence, c.created_at FROM conflicts c JOIN memories a ON a.id = c.first_id JOIN memories b ON b.id = c.second_id WHERE c.status = 'pending'", "id, user_id, first_valence, second_valence", "user_id", "created_at DESC, id", 5))
 
-register("r3_graph_expand", _EXPAND + " SELECT memory_id AS id, max(0.5e0) AS edge_weight, 0e0 AS cosine FROM found WHERE memory_id NOT IN (SELECT id FROM cand) GROUP BY memory_id")
 register("r4_unified_rerank", lambda d: "WITH scored AS (SELECT id, 0.4e0 * (valence + 1) / 2 + 0.3e0 * 0.5e0 + 0.2e0 * CASE WHEN valence > 0 THEN 0.6e0 ELSE 0e0 END + 0.1e0 * exp(-CAST({0} AS DOUBLE) / 30) AS s, {0} AS days, user_id FROM memories WHERE status <> 'deleted') ".format(d.days(d.ts(), "created_at")) + ranked("SELECT user_id, id, round(s * CASE WHEN days <= 7 THEN 1.15e0 ELSE 1e0 END, 6) AS score FROM scored", "user_id, id, score", "user_id", "score DESC, id", 10))
 _FACTS = f"""WITH links AS ({_BOTH}), seed AS (SELECT concat('c', c_custkey) AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
  hop1 AS ({ranked("SELECT s.id AS root, l.b AS node, l.w, 1 AS hop FROM seed s JOIN links l ON l.a = s.id", 'root, node, w, hop', 'root', 'w DESC, node', 15)}),
@@ -93,7 +87,6 @@ _FACTS = f"""WITH links AS ({_BOTH}), seed AS (SELECT concat('c', c_custkey) AS
  facts AS (SELECT root, node, w, hop FROM hop1 UNION ALL SELECT root, node, w, hop FROM hop2)"""
 register("r5_entity_facts", _FACTS + " SELECT root, node, min(hop) AS hop, round(max(w), 6) AS weight FROM facts GROUP BY root, node")
 register("r6_fallback_expand", _FACTS + ", missing AS (SELECT concat('s', s_suppkey) AS id FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.root = concat('s', s_suppkey))) " + ranked("SELECT m.id AS root, e.dst AS node, e.rel_type, e.weight FROM missing m JOIN edges e ON e.src = m.id", "root, node, rel_type", "root", "weight DESC, node", 20))
-register("r7_context_retrieval", lambda d: ranked(f"SELECT q.vec_id AS query_id, m.id, round({d.dot('q.embedding', 'v.embedding')} / (q.norm * v.norm), 6) AS sim, m.created_at FROM vectors q CROSS JOIN vectors v JOIN memories m ON m.id = v.vec_id WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id", "query_id, id, sim, 1 AS access_count", "query_id", "sim DESC, created_at DESC, id", 3))
 register("r8_unified_context", "SELECT source, count(*) AS n FROM (SELECT 'memories' AS source FROM memories WHERE status = 'committed' UNION ALL SELECT 'facts' FROM edges UNION ALL SELECT 'history' FROM conversation_turns UNION ALL SELECT 'profile' FROM latest_affinity UNION ALL SELECT 'content' FROM content_library WHERE is_active UNION ALL SELECT 'memes' FROM memes WHERE status = 'approved') z GROUP BY source")
 register("r10_interests", lambda d: ranked(f"SELECT src, dst AS interest, current_weight AS w FROM decayed_edges WHERE rel_type IN ('RELATED_TO', 'LIVES_IN') AND weight > 0.5 AND updated_at > {d.ts()} - INTERVAL '30' DAY UNION ALL SELECT DISTINCT src, x.interest, x.w FROM edges JOIN (SELECT 'news' AS interest, -1e0 AS w UNION ALL SELECT 'music', -2e0 UNION ALL SELECT 'travel', -3e0) x ON rel_type = 'LIVES_IN'", "src, interest", "src", "w DESC, interest", 10))
 register("r11_likes", "SELECT src, dst, CASE WHEN weight >= 0.6 THEN 'like' ELSE 'dislike' END AS tag FROM edges WHERE rel_type = 'RELATED_TO'")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -39,6 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: what several later steps read is computed once, and a lost
+    executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/memloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and bench.py; on a cluster the caller brings its own."""
     spark = (
