@@ -28,7 +28,6 @@ register("p8_range", "SELECT event_id FROM outbox_events WHERE retry_count < 5 A
 register("p9_relative_window", lambda d: f"SELECT id, user_id FROM affinity_history WHERE created_at > {d.ts()} - INTERVAL '7' DAY")
 register("p10_calendar_day", "SELECT id FROM affinity_history WHERE created_at >= CAST('2024-01-15' AS DATE) AND created_at < CAST('2024-01-16' AS DATE)")
 register("p11_closed_range", lambda d: f"SELECT session_id, turn FROM conversation_turns WHERE created_at BETWEEN {d.ts('2024-01-02 00:00:00')} AND {d.ts('2024-01-05 12:00:00')}")
-register("p13_bidirectional_contains", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND (contains(a.n_name, left(b.n_name, 2)) OR contains(b.n_name, left(a.n_name, 2)))")
 register("p15_relation_alternation", "SELECT rel_type, count(*) AS n FROM edges WHERE rel_type IN ('LIVES_IN', 'RELATED_TO') GROUP BY rel_type")
 register("p16_coalesce_default", "SELECT memory_id, entity_id, seq, round(coalesce(confidence, CAST(0.8 AS DOUBLE)), 6) AS confidence FROM memory_entities")
 register("p17_searched_case", "SELECT src, dst, rel_type, CASE WHEN rel_type = 'FROM' THEN greatest(weight, CAST(0.5 AS DOUBLE)) ELSE weight END AS kept_weight FROM edges WHERE rel_type <> 'RELATED_TO'")
@@ -137,7 +136,6 @@ register("g3_merge_edge_max", "SELECT src, dst, rel_type, max(weight) AS weight
 register("g6_drop_decayed", "SELECT count(CASE WHEN current_weight < 0.05 THEN 1 END) AS dropped, count(CASE WHEN current_weight >= 0.05 THEN 1 END) AS kept FROM decayed_edges")
 register("g7_detach_delete", "SELECT e.src, e.dst FROM edges e WHERE e.src NOT IN (SELECT concat('s', s_suppkey) FROM supplier WHERE s_suppkey % 4 = 0) AND e.dst NOT IN (SELECT concat('s', s_suppkey) FROM supplier WHERE s_suppkey % 4 = 0)")
 register("g8_soft_delete", "SELECT id, CASE WHEN user_id = 2 THEN 'deleted' ELSE status END AS status FROM memories")
-register("g10_neighbours", "WITH links AS (SELECT src AS a, dst AS b, current_weight AS w FROM decayed_edges UNION ALL SELECT dst, src, current_weight FROM decayed_edges), hop1 AS (SELECT b AS node, max(w) AS w FROM links WHERE a = 'n3' GROUP BY b), hop2 AS (SELECT y.b AS node, max(x.w * y.w) AS w FROM links x JOIN links y ON x.b = y.a WHERE x.a = 'n3' AND y.b <> 'n3' GROUP BY y.b) SELECT node, round(max(w), 6) AS path_weight FROM (SELECT node, w FROM hop1 UNION ALL SELECT node, w FROM hop2) z GROUP BY node ORDER BY max(w) DESC, node LIMIT 50")
 register("dm1_on_conflict_nothing", "SELECT idempotency_key, min(event_id) AS event_id FROM outbox_events GROUP BY idempotency_key")
 register("dm4_guarded_update", "SELECT event_id, CASE WHEN status IN ('pending', 'failed') THEN 'processing' ELSE status END AS status, CASE WHEN status IN ('pending', 'failed') THEN 1 ELSE 0 END AS changed FROM outbox_events")
 register("dm5_increment", "SELECT m.id, count(u.id) AS usage_count, max(u.used_at) AS last_used FROM memes m LEFT JOIN meme_usage_history u ON u.meme_id = m.id GROUP BY m.id")

@@ -45,10 +45,6 @@ _TOPICS = lambda d: "SELECT id, source_platform AS owner, status, t.topic AS top
 _SIDES = lambda d: f"SELECT owner, topic, min(CASE WHEN status = 'approved' THEN id END) AS first_id, min(CASE WHEN status = 'rejected' THEN id END) AS second_id, count(CASE WHEN status = 'approved' THEN 1 END) AS n_first, count(CASE WHEN status = 'rejected' THEN 1 END) AS n_second FROM ({_TOPICS(d)}) t GROUP BY owner, topic"
 _OPPOSED = lambda d: f"SELECT * FROM ({_SIDES(d)}) s WHERE n_first > 0 AND n_second > 0"
 register("j14_conflict_pairs", lambda d: f"SELECT owner, topic, first_id, second_id, n_first, n_second, n_first * n_second AS n_pairs FROM ({_OPPOSED(d)}) z")
-register("j18_varlen_paths", f"""WITH links AS ({_BOTH}), one AS (SELECT b AS node, w, eid AS e1 FROM links WHERE a = 'c7'),
- two AS (SELECT l.b AS node, o.w * l.w AS w, o.e1, l.eid AS e2 FROM one o JOIN links l ON l.a = o.node WHERE l.eid <> o.e1),
- three AS (SELECT l.b AS node, t.w * l.w AS w FROM two t JOIN links l ON l.a = t.node WHERE l.eid <> t.e1 AND l.eid <> t.e2)
- SELECT node, min(hops) AS hops, round(max(w), 6) AS weight FROM (SELECT node, w, 1 AS hops FROM one UNION ALL SELECT node, w, 2 FROM two UNION ALL SELECT node, w, 3 FROM three) z GROUP BY node""")
 register("j20_entity_backfill", f"SELECT m.id, coalesce(p.entity_id, -1) AS entity_id FROM memories m LEFT JOIN ({_PRIMARY}) p ON p.memory_id = m.id")
 register("j23_lookup", "SELECT s.id, s.category, CASE WHEN b.item_id IS NULL THEN 'missing' ELSE md5(b.text) END AS answer FROM scored_items s LEFT JOIN benchmark b ON b.item_id = s.id")
 register("j27_not_recommended", "SELECT id FROM content_library c WHERE is_active AND NOT EXISTS (SELECT 1 FROM recommendations r WHERE r.content_id = c.id AND CAST(r.recommended_at AS DATE) = CAST('2024-01-15' AS DATE))")
@@ -80,12 +76,10 @@ register("v6_ask_gate", lambda d: f"SELECT user_id, id FROM ({ranked('SELECT use
 register("v7_clarification", "SELECT c.id, s.choice, CASE s.choice WHEN 'first' THEN c.first_id WHEN 'second' THEN c.second_id END AS preferred FROM conflicts c JOIN (SELECT session_id, CASE WHEN contains(lower(content), 'a') THEN 'first' WHEN contains(lower(content), 'b') THEN 'second' END AS choice FROM conversation_turns WHERE turn = 0) s ON s.session_id = c.id")
 register("v8_pending_conflicts", ranked("SELECT c.id, c.user_id, a.valence AS first_valence, b.valence AS second_valence, c.created_at FROM conflicts c JOIN memories a ON a.id = c.first_id JOIN memories b ON b.id = c.second_id WHERE c.status = 'pending'", "id, user_id, first_valence, second_valence", "user_id", "created_at DESC, id", 5))
 
-register("r4_unified_rerank", lambda d: "WITH scored AS (SELECT id, 0.4e0 * (valence + 1) / 2 + 0.3e0 * 0.5e0 + 0.2e0 * CASE WHEN valence > 0 THEN 0.6e0 ELSE 0e0 END + 0.1e0 * exp(-CAST({0} AS DOUBLE) / 30) AS s, {0} AS days, user_id FROM memories WHERE status <> 'deleted') ".format(d.days(d.ts(), "created_at")) + ranked("SELECT user_id, id, round(s * CASE WHEN days <= 7 THEN 1.15e0 ELSE 1e0 END, 6) AS score FROM scored", "user_id, id, score", "user_id", "score DESC, id", 10))
 _FACTS = f"""WITH links AS ({_BOTH}), seed AS (SELECT concat('c', c_custkey) AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
  hop1 AS ({ranked("SELECT s.id AS root, l.b AS node, l.w, 1 AS hop FROM seed s JOIN links l ON l.a = s.id", 'root, node, w, hop', 'root', 'w DESC, node', 15)}),
  hop2 AS ({ranked("SELECT h.root, l.b AS node, h.w * l.w AS w, 2 AS hop FROM hop1 h JOIN links l ON l.a = h.node WHERE l.rel_type = 'LOCATED_IN' AND l.b <> h.root", 'root, node, w, hop', 'root', 'w DESC, node', 10)}),
  facts AS (SELECT root, node, w, hop FROM hop1 UNION ALL SELECT root, node, w, hop FROM hop2)"""
-register("r5_entity_facts", _FACTS + " SELECT root, node, min(hop) AS hop, round(max(w), 6) AS weight FROM facts GROUP BY root, node")
 register("r6_fallback_expand", _FACTS + ", missing AS (SELECT concat('s', s_suppkey) AS id FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.root = concat('s', s_suppkey))) " + ranked("SELECT m.id AS root, e.dst AS node, e.rel_type, e.weight FROM missing m JOIN edges e ON e.src = m.id", "root, node, rel_type", "root", "weight DESC, node", 20))
 register("r8_unified_context", "SELECT source, count(*) AS n FROM (SELECT 'memories' AS source FROM memories WHERE status = 'committed' UNION ALL SELECT 'facts' FROM edges UNION ALL SELECT 'history' FROM conversation_turns UNION ALL SELECT 'profile' FROM latest_affinity UNION ALL SELECT 'content' FROM content_library WHERE is_active UNION ALL SELECT 'memes' FROM memes WHERE status = 'approved') z GROUP BY source")
 register("r10_interests", lambda d: ranked(f"SELECT src, dst AS interest, current_weight AS w FROM decayed_edges WHERE rel_type IN ('RELATED_TO', 'LIVES_IN') AND weight > 0.5 AND updated_at > {d.ts()} - INTERVAL '30' DAY UNION ALL SELECT DISTINCT src, x.interest, x.w FROM edges JOIN (SELECT 'news' AS interest, -1e0 AS w UNION ALL SELECT 'music', -2e0 UNION ALL SELECT 'travel', -3e0) x ON rel_type = 'LIVES_IN'", "src, interest", "src", "w DESC, interest", 10))
@@ -96,7 +90,6 @@ _WORDS = lambda d: "SELECT b.item_id, t.w FROM benchmark b LATERAL VIEW explode(
 register("c2_keyword_retrieval", lambda d: ranked(f"SELECT k.item_id, p.p_partkey, sum(0.5e0) AS score FROM ({_WORDS(d)}) k JOIN part p ON k.w <> '' AND contains(lower(p.p_name), k.w) GROUP BY k.item_id, p.p_partkey", "item_id, p_partkey, score", "item_id", "score DESC, p_partkey", 5))
 register("c5_ui_state", "SELECT id, CASE WHEN new_score < 20 THEN 'stranger' WHEN new_score < 50 THEN 'acquaintance' WHEN new_score < 80 THEN 'friend' ELSE 'close_friend' END AS state FROM affinity_history")
 register("c6_cutoff_last", lambda d: ranked(f"SELECT user_id, new_score, id, CAST({d.grab('day_label', 'Day ([0-9]+)', 1)} AS INT) AS day_no FROM (SELECT user_id, new_score, id, concat('Day ', CAST(day(created_at) AS VARCHAR(3))) AS day_label FROM affinity_history) x WHERE CAST({d.grab('day_label', 'Day ([0-9]+)', 1)} AS INT) <= 15", "user_id, new_score, day_no", "user_id", "day_no DESC, id DESC", 1))
-register("c7_facts_split", lambda d: _FACTS + f", capped AS ({ranked('SELECT root, node, w, hop FROM facts', 'root, node, hop, rn', 'root', 'hop, w DESC, node', 20)}) SELECT root, CASE WHEN hop = 1 THEN 'direct' ELSE 'indirect' END AS kind, {d.joined('node', 'rn', ', ')} AS nodes FROM capped GROUP BY root, hop")
 register("c8_facts_by_entity", lambda d: f"SELECT src, {d.joined('phrase', 'rn', '、')} AS line FROM (SELECT src, concat(CASE rel_type WHEN 'FROM' THEN 'comes from ' WHEN 'LIVES_IN' THEN 'lives in ' ELSE 'knows ' END, dst) AS phrase, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM edges) z GROUP BY src")
 register("c11_context_text", "SELECT user_id, concat_ws(' / ', concat('memories: ', CAST(count(*) AS VARCHAR(12))), concat('committed: ', CAST(count(CASE WHEN status = 'committed' THEN 1 END) AS VARCHAR(12)))) AS text_block FROM memories GROUP BY user_id")
 register("c12_judge_clamp", lambda d: f"SELECT id, greatest(0e0, least(5e0, coalesce({'try_cast' if d.spark else 'TRY_CAST'}({d.grab('reply', chr(34) + 'score' + chr(34) + ': (-?[0-9.]+)', 1)} AS DOUBLE), 0e0))) AS score FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'not json' ELSE concat('```json {{\"score\": ', CAST(id % 9 - 1 AS VARCHAR(5)), '}}```') END AS reply FROM scored_items) z")

@@ -6,9 +6,10 @@ The SQL they are held against is written apart from the Spark form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.operators.graph import first
 from memloom.operators.topk import top_k_join
 from memloom.sources.adapters import AS_OF, DUCK, SPARK, oracle, run
 from memloom.sources.session import staged
@@ -20,11 +21,6 @@ NEIGHBOUR_WEIGHT, LEAST_EDGE = 0.5, 0.3
 BOOST, BOOST_DAYS = 1.15, 7
 
 
-def first(rows: DataFrame, by: list[str], order: list, most: int, name: str = "rn") -> DataFrame:
-    """The first `most` rows of each group; Spark keeps as many a task before the shuffle."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
-
-
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live memories, their vectors and ages in days."""
     return run(spark, sf_dir, f"SELECT id, user_id, valence, status, created_at, embedding, {SPARK.days(SPARK.ts(), 'created_at')} AS days FROM memories WHERE status <> 'deleted'")

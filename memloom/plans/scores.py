@@ -36,7 +36,6 @@ register("w2_days_since", lambda d: f"SELECT user_id, {d.days(d.ts(), 'created_a
 register("w6_result_rank", "SELECT id, row_number() OVER (ORDER BY popularity_score DESC, id) AS rank_position FROM memes")
 register("w9_recent_of_type", "SELECT user_id, entity_id, rn FROM (SELECT user_id, entity_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, memory_id DESC, seq) AS rn FROM memory_entities WHERE entity_id % 4 = 1) z WHERE rn <= 10")
 _FACTS = "SELECT 1 AS hop, src, dst, current_weight AS weight FROM decayed_edges WHERE src = 'c7' UNION ALL SELECT 2, a.src, b.dst, a.current_weight * b.current_weight FROM decayed_edges a JOIN decayed_edges b ON a.dst = b.src WHERE a.src = 'c7'"
-register("k3_hop_weight_order", f"SELECT hop, src, dst, round(weight, 6) AS weight FROM ({_FACTS}) z ORDER BY hop, weight DESC, dst LIMIT 20")
 register("k4_total_order_limit", "SELECT src, dst, weight FROM edges WHERE rel_type = 'RELATED_TO' ORDER BY weight DESC, src, dst LIMIT 15")
 register("k8_first_trigger", "SELECT user_id, action FROM (SELECT u.user_id, r.action, row_number() OVER (PARTITION BY u.user_id ORDER BY r.priority DESC, r.action) AS rn FROM latest_affinity u JOIN (SELECT 'greet' AS action, 20 AS least_score, 1 AS priority UNION ALL SELECT 'share', 50, 2 UNION ALL SELECT 'care', 80, 3) r ON u.new_score >= r.least_score) z WHERE rn = 1")
 register("k10_active_hours", lambda d: "SELECT user_id, array_join(slice(h, greatest(1, size(h) - 9), 10), ',') AS hours FROM (SELECT user_id, array_sort(collect_set(hour(created_at))) AS h FROM affinity_history GROUP BY user_id) z" if d.spark else "SELECT user_id, array_to_string(list_sort(list(DISTINCT hour(created_at)))[-10:], ',') AS hours FROM affinity_history GROUP BY user_id")

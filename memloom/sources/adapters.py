@@ -103,6 +103,8 @@ def views(d: Dialect) -> dict[str, str]:
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
         "mentions": """SELECT l_orderkey AS memory_id, concat('p', l_partkey) AS node, l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_discount AS DOUBLE) * 10 END AS confidence, l_shipdate AS created_at FROM lineitem
   UNION ALL SELECT l_orderkey, concat('s', l_suppkey), l_linenumber, CAST(0.5 AS DOUBLE), l_shipdate FROM lineitem""",
+        "entity_names": """SELECT concat('c', c_custkey) AS node, c_name AS name FROM customer UNION ALL SELECT concat('s', s_suppkey), s_name FROM supplier UNION ALL SELECT concat('n', n_nationkey), n_name FROM nation
+  UNION ALL SELECT concat('r', r_regionkey), r_name FROM region UNION ALL SELECT concat('p', p_partkey), p_name FROM part""",
         "edges": f"""SELECT src, dst, rel_type, CAST(3 + k % 7 AS DOUBLE) / 10 AS weight, CAST(1 + k % 5 AS DOUBLE) / 100 AS decay_rate,
   {now} - INTERVAL '1' DAY * CAST(k % 90 AS INT) AS updated_at FROM (
   SELECT concat('c', c_custkey) AS src, concat('n', c_nationkey) AS dst, 'LIVES_IN' AS rel_type, CAST(c_custkey AS BIGINT) AS k FROM customer
