@@ -1,4 +1,4 @@
-"""The outbox stream: idempotent consumption, windows over events, and retry state.
+"""The outbox stream: windows over events and retry state. Keyed state in event-time order is in `state.py`.
 
 Event time is the events' own `ts`; streams carry it as TIMESTAMP (watermarks reject TIMESTAMP_NTZ), in a
 UTC session. All queries run with `availableNow` over files or continuously over any other source.
@@ -7,14 +7,10 @@ UTC session. All queries run with `availableNow` over files or continuously over
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from memloom.operators.folds import walk
 from memloom.sources.session import shared_dir
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -27,11 +23,6 @@ def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 100)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def idempotent(events: DataFrame, key: str = "event_id", within: str = "24 hours") -> DataFrame:
-    """Each key once within the time that an idempotency record lives."""
-    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
-
-
 def tumbling(events: DataFrame, size: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", "1 hour").groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"))
 
@@ -57,39 +48,6 @@ def apply_batch(state: DataFrame, batch: DataFrame, retries: int = 5) -> DataFra
     return j.select("event_id", status.alias("status"), F.when(F.col("status") == "pending", tries).otherwise(F.col("retry_count")).alias("retry_count"))
 
 
-def running_state(events: DataFrame, mult: Column, add: Column, low: float, high: float, start: float) -> DataFrame:
-    """user_id, event_id and `state` after each event as a stream: x goes to clip(mult * x + add). One
-    double is kept for each user; events of a micro-batch are taken in (ts, event_id) order."""
-
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(chunks)).sort_values(["ts", "event_id"], ignore_index=True)
-        after = walk(pdf, kept.get[0] if kept.exists else start)
-        kept.update((after[-1],))
-        yield pdf[["user_id", "event_id"]].assign(state=after)
-
-    given = events.select("user_id", "event_id", "ts", mult.cast("double").alias("_m"), add.cast("double").alias("_c"), F.lit(low).alias("_a"), F.lit(high).alias("_b"))
-    return given.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, state double", "x double", "append", GroupStateTimeout.NoTimeout)
-
-
-def live_count(events: DataFrame, seconds: int) -> DataFrame:
-    """user_id, event_id and `n`: the events of a user since the last pause longer than `seconds`. The state of a user, time
-    and count of the last event, thus lives that long."""
-
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(chunks)).sort_values(["us", "event_id"], ignore_index=True)
-        last, n = kept.get if kept.exists else (None, 0)
-        out = []
-        for us in pdf["us"]:
-            n = n + 1 if last is not None and us - last <= seconds * 1_000_000 else 1
-            last = us
-            out.append(n)
-        kept.update((int(last), int(n)))
-        yield pdf[["user_id", "event_id"]].assign(n=out)
-
-    given = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
-    return given.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, n long", "last long, n long", "append", GroupStateTimeout.NoTimeout)
-
-
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What the stream gives for all input there is now (one run with availableNow), as a table."""
     spark = stream.sparkSession
