@@ -40,9 +40,10 @@ class InOrder(StatefulProcessor):
         self.kept = handle.getValueState("kept", self.state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        soonest = None
+        soonest, upto = None, timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            given = [tuple(r) for r in pdf.loc[pdf["id"].notna(), self.names].itertuples(index=False)]
+            pdf = pdf[pdf["id"].notna() & (pdf["us"] // 1000 > upto)]  # not the end, and not too late
+            given = [tuple(r) for r in pdf[self.names].itertuples(index=False)]
             given = [tuple(int(v) if i < 2 else v for i, v in enumerate(r)) for r in given]
             if given:
                 self.pending.appendList(given)

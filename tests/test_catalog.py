@@ -69,20 +69,3 @@ def test_global_rank_ties_and_nulls(spark):
     want = sorted(range(5000), key=lambda i: (-1 if i % 3 == 0 else i % 2, i))
     assert got == {i: p + 1 for p, i in enumerate(want)}
     assert global_rank(rows.where("id < 0"), ["v", "id"], "p").collect() == []
-
-
-def test_running_state_stream_equals_fold(spark, tmp_path):
-    from memloom.operators.folds import clipped_scores
-    from memloom.streaming import outbox
-    from pyspark.sql import functions as F
-
-    for part in range(3):
-        (spark.range(part * 100, part * 100 + 100).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id * 7 as int),0) as ts", "id % 5 as user_id", "cast(id % 7 - 3 as double) / 4 as value")
-            .coalesce(1).write.parquet(str(tmp_path / "e"), mode="append"))
-    events = outbox.read_events(spark, str(tmp_path / "e"), files_per_trigger=3)
-    q = (outbox.running_state(events, F.lit(1.0), F.col("value"), 0.0, 1.0, 0.5).writeStream.format("memory").queryName("scores")
-        .trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start())
-    q.awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "e")).selectExpr("user_id", "event_id AS id", "ts AS created_at", "value AS delta")
-    want = {r.id: round(r.score, 9) for r in clipped_scores(rows, 0.0, 1.0, 0.5).collect()}
-    assert {r.event_id: round(r.state, 9) for r in spark.table("scores").collect()} == want and len(want) == 300
