@@ -50,7 +50,7 @@ register("j4_fact_dim", "SELECT u.id, u.user_id, m.text_description FROM meme_us
 register("j12_existence", "SELECT m.id, CASE WHEN e.src IS NULL THEN 1 ELSE 0 END AS missing FROM memories m LEFT JOIN (SELECT DISTINCT src FROM edges) e ON concat('c', m.id) = e.src")
 register("j13_not_in_vectors", "SELECT doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
 register("j15_one_hop", "SELECT src AS entity, rel_type, dst AS other, 'out' AS dir, weight FROM edges WHERE src IN ('n1', 'c7', 's3', 'p11') UNION ALL SELECT dst, rel_type, src, 'in', weight FROM edges WHERE dst IN ('n1', 'c7', 's3', 'p11')")
-register("j16_two_hop", lambda d: "SELECT a.src, a.dst AS via, b.dst, concat(a.src, ' -[', a.rel_type, ']-> ', a.dst, ' -[', b.rel_type, ']-> ', b.dst) AS path, round(a.weight * b.weight, 6) AS weight FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel_type = 'LIVES_IN'")
+register("j16_two_hop", lambda d: "SELECT a.src, a.dst AS via, b.dst, concat_ws(' ', a.src, a.rel_type, a.dst, b.rel_type, b.dst) AS path, round(a.weight * b.weight, 6) AS weight FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel_type = 'LIVES_IN'")
 register("j17_three_hop", "WITH two AS (SELECT a.src, b.dst, count(*) AS n, max(a.weight * b.weight) AS w FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel_type = 'RELATED_TO' GROUP BY a.src, b.dst) SELECT t.src, c.dst, CAST(sum(t.n) AS BIGINT) AS paths, round(max(t.w * c.weight), 6) AS weight FROM two t JOIN edges c ON t.dst = c.src GROUP BY t.src, c.dst")
 register("j21_full_outer_fusion", "SELECT coalesce(v.id, g.id) AS id, round(0.6 * coalesce(v.s, 0) + 0.4 * coalesce(g.s, 0), 6) AS score FROM (SELECT id, emotion_valence AS s FROM affinity_history WHERE trigger_event = 'conversation') v FULL OUTER JOIN (SELECT id, new_score / 100 AS s FROM affinity_history WHERE new_score > 50) g ON v.id = g.id")
 register("j22_endpoint_semi", "SELECT src, dst FROM edges WHERE src IN (SELECT concat('s', s_suppkey) FROM supplier) AND dst IN (SELECT concat('n', n_nationkey) FROM nation)")
@@ -145,10 +145,11 @@ register("st3_retry_dlq", "SELECT event_id, CASE WHEN status = 'failed' AND retr
 register("st8_daily_cap", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY user_id, CAST(used_at AS DATE) ORDER BY used_at, id) AS rn FROM meme_usage_history) z WHERE rn <= 3")
 register("st11_stale_pending", lambda d: f"SELECT count(CASE WHEN created_at < {d.ts()} - INTERVAL '30' SECOND THEN 1 END) AS stale_30s, count(CASE WHEN created_at < {d.ts()} - INTERVAL '1' HOUR THEN 1 END) AS stale_1h FROM outbox_events WHERE status = 'pending'")
 register("st16_alerts", "SELECT status, count(*) AS n, CASE WHEN status = 'dlq' AND count(*) > 100 THEN 'critical' WHEN status = 'failed' AND count(*) > 100 THEN 'warning' ELSE 'none' END AS alert FROM outbox_events GROUP BY status")
-register("st18_declining", lambda d: f"SELECT id, CASE WHEN popularity_score < 60 AND {d.days(d.ts(), 'first_seen_at')} >= 7 THEN 'declining' ELSE status END AS status FROM memes WHERE status = 'approved'")
+# a meme's trend falls by a tenth a day from its first sighting; the day of its last change and its level are stand-ins
+register("st18_declining", lambda d: f"SELECT id, CASE WHEN status = 'approved' AND level = 'declining' AND idle >= 30 THEN 'archive' WHEN status = 'approved' AND level <> 'declining' AND score < 30 AND idle >= 7 THEN 'declining' ELSE 'keep' END AS action FROM (SELECT id, status, popularity_score * exp(-0.1 * {d.days(d.ts(), 'first_seen_at')}) AS score, CASE WHEN id % 5 = 0 THEN 'declining' ELSE 'rising' END AS level, id % 60 AS idle FROM memes) z")
 register("v1_entity_critic", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN confidence < 0.5 THEN 'low_confidence' WHEN entity_id % 11 = 0 THEN 'bad_type' WHEN row_number() OVER (PARTITION BY memory_id, entity_id, confidence >= 0.5 AND entity_id % 11 <> 0 ORDER BY seq, confidence, created_at) > 1 THEN 'duplicate' ELSE 'kept' END AS reason FROM memory_entities WHERE confidence IS NOT NULL) z GROUP BY reason")
 register("v2_relation_critic", "SELECT CASE WHEN src = dst THEN 'self_loop' WHEN weight < 0.5 THEN 'low_confidence' WHEN rel_type NOT IN ('LIVES_IN', 'FROM', 'RELATED_TO') THEN 'bad_type' ELSE 'kept' END AS reason, count(*) AS n FROM edges GROUP BY 1")
-register("v5_resolve_by_time", lambda d: f"SELECT a.id AS first_id, b.id AS second_id, CASE WHEN abs({d.seconds('a.created_at', 'b.created_at')}) < 86400 THEN 'clarify' WHEN a.created_at > b.created_at THEN 'first' ELSE 'second' END AS verdict FROM memories a JOIN memories b ON b.id = a.id + 15")
+register("v5_resolve_by_time", lambda d: f"SELECT a.id AS first_id, b.id AS second_id, CASE WHEN abs({d.days('a.created_at', 'b.created_at')}) < 1 THEN 'clarify' WHEN a.created_at > b.created_at THEN 'first' ELSE 'second' END AS verdict FROM memories a JOIN memories b ON b.id = a.id + 15")
 register("c1_graph_as_of", lambda d: f"SELECT count(*) AS edges, round(sum(w), 3) AS weight FROM (SELECT weight * exp(-decay_rate * {d.days(d.ts('2024-01-15 00:00:00'), 'updated_at')}) AS w FROM edges WHERE updated_at <= {d.ts('2024-01-15 00:00:00')}) z WHERE w > 0.1")
 register("c4_demo_state", "SELECT id, CASE WHEN emotion_valence < 0 THEN 'distant' WHEN emotion_valence < 0.3 THEN 'acquaintance' WHEN emotion_valence < 0.5 THEN 'friend' WHEN emotion_valence < 0.7 THEN 'close' ELSE 'intimate' END AS state FROM affinity_history")
 register("c9_top_memories", lambda d: "SELECT user_id, id, rn FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY valence DESC, id DESC) AS rn FROM memories WHERE status = 'committed') z WHERE rn <= 5")

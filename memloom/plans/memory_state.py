@@ -39,12 +39,6 @@ register("j3_join_latest", "SELECT l.user_id, c.id FROM latest_affinity l JOIN (
 register("j5_three_way_distinct", "SELECT DISTINCT l.user_id FROM latest_affinity l JOIN recommendations r ON r.user_id = l.user_id JOIN memories m ON m.user_id = l.user_id WHERE l.new_score > 20")
 register("j6_silent_users", lambda d: f"WITH quiet AS (SELECT user_id, max(created_at) AS last_at FROM affinity_history GROUP BY user_id) SELECT q.user_id, {d.days(d.ts(), 'q.last_at')} AS days FROM quiet q JOIN (SELECT DISTINCT user_id FROM recommendations) p ON p.user_id = q.user_id WHERE q.last_at < {d.ts()} - INTERVAL '12' HOUR")
 register("j11_optional_collect", lambda d: f"SELECT m.id, coalesce({collected(d, 'CAST(e.entity_id AS VARCHAR(12))')}, '') AS participants, count(DISTINCT g.dst) AS places FROM memories m LEFT JOIN memory_entities e ON e.memory_id = m.id LEFT JOIN edges g ON g.src = concat('c', m.id) AND g.rel_type = 'LIVES_IN' GROUP BY m.id")
-_TOPICS = lambda d: "SELECT id, source_platform AS owner, status, t.topic AS topic FROM memes LATERAL VIEW explode(array_distinct(split(text_description, ' '))) t AS topic" if d.spark else "SELECT id, source_platform AS owner, status, unnest(list_distinct(string_split(text_description, ' '))) AS topic FROM memes"
-# Opposed memories of one owner and topic are two classes: every member of one opposes every member of the other. A row for
-# each pair of classes (their least members stand for them) and the membership say the same as all pairs, in linear size.
-_SIDES = lambda d: f"SELECT owner, topic, min(CASE WHEN status = 'approved' THEN id END) AS first_id, min(CASE WHEN status = 'rejected' THEN id END) AS second_id, count(CASE WHEN status = 'approved' THEN 1 END) AS n_first, count(CASE WHEN status = 'rejected' THEN 1 END) AS n_second FROM ({_TOPICS(d)}) t GROUP BY owner, topic"
-_OPPOSED = lambda d: f"SELECT * FROM ({_SIDES(d)}) s WHERE n_first > 0 AND n_second > 0"
-register("j14_conflict_pairs", lambda d: f"SELECT owner, topic, first_id, second_id, n_first, n_second, n_first * n_second AS n_pairs FROM ({_OPPOSED(d)}) z")
 register("j20_entity_backfill", f"SELECT m.id, coalesce(p.entity_id, -1) AS entity_id FROM memories m LEFT JOIN ({_PRIMARY}) p ON p.memory_id = m.id")
 register("j23_lookup", "SELECT s.id, s.category, CASE WHEN b.item_id IS NULL THEN 'missing' ELSE md5(b.text) END AS answer FROM scored_items s LEFT JOIN benchmark b ON b.item_id = s.id")
 register("j27_not_recommended", "SELECT id FROM content_library c WHERE is_active AND NOT EXISTS (SELECT 1 FROM recommendations r WHERE r.content_id = c.id AND CAST(r.recommended_at AS DATE) = CAST('2024-01-15' AS DATE))")
@@ -71,7 +65,6 @@ register("st21_consistency_report", "SELECT user_id, count(*) AS checked, count(
 register("st22_dlq_backlog", "SELECT count(CASE WHEN status = 'dlq' THEN 1 END) AS dlq, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, CASE WHEN count(CASE WHEN status = 'dlq' THEN 1 END) > 100 THEN 1 ELSE 0 END AS alarm FROM outbox_events")
 
 register("v3_critic_stats", "SELECT count(*) AS total, count(CASE WHEN confidence < 0.5 THEN 1 END) AS low_confidence, count(CASE WHEN confidence >= 0.5 AND entity_id % 11 = 0 THEN 1 END) AS bad_type, count(CASE WHEN confidence IS NULL THEN 1 END) AS no_confidence, count(CASE WHEN confidence >= 0.5 AND entity_id % 11 <> 0 THEN 1 END) AS kept FROM memory_entities")
-register("v4_detect_conflicts", lambda d: f"SELECT t.id, t.owner, t.topic, t.status AS side, CASE WHEN t.status = 'approved' THEN o.n_second ELSE o.n_first END AS n_opposed, 0.9e0 AS confidence FROM ({_TOPICS(d)}) t JOIN ({_OPPOSED(d)}) o ON o.owner = t.owner AND o.topic = t.topic WHERE t.status IN ('approved', 'rejected') AND 0.9e0 >= 0.8e0")
 register("v6_ask_gate", lambda d: f"SELECT user_id, id FROM ({ranked('SELECT user_id, id, confidence FROM conflicts WHERE confidence >= 0.8', 'user_id, id', 'user_id', 'confidence DESC, id', 1)}) b WHERE NOT EXISTS (SELECT 1 FROM conflicts p WHERE p.user_id = b.user_id AND p.status = 'asked' AND p.created_at > {d.ts()} - INTERVAL '1' HOUR)")
 register("v7_clarification", "SELECT c.id, s.choice, CASE s.choice WHEN 'first' THEN c.first_id WHEN 'second' THEN c.second_id END AS preferred FROM conflicts c JOIN (SELECT session_id, CASE WHEN contains(lower(content), 'a') THEN 'first' WHEN contains(lower(content), 'b') THEN 'second' END AS choice FROM conversation_turns WHERE turn = 0) s ON s.session_id = c.id")
 register("v8_pending_conflicts", ranked("SELECT c.id, c.user_id, a.valence AS first_valence, b.valence AS second_valence, c.created_at FROM conflicts c JOIN memories a ON a.id = c.first_id JOIN memories b ON b.id = c.second_id WHERE c.status = 'pending'", "id, user_id, first_valence, second_valence", "user_id", "created_at DESC, id", 5))

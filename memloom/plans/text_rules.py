@@ -47,7 +47,8 @@ register("f29_pronoun_type", "SELECT session_id, turn, CASE WHEN contains(conten
 register("f30_lookback_days", "SELECT session_id, turn, CASE WHEN contains(content, '昨天') OR contains(lower(content), 'yesterday') THEN 1 WHEN contains(content, '前天') THEN 2 WHEN contains(content, '上周') OR contains(lower(content), 'last week') THEN 7 WHEN contains(content, '上个月') THEN 30 WHEN contains(content, '去年') OR contains(lower(content), 'last year') THEN 365 ELSE 30 END AS days FROM conversation_turns")
 register("f31_user_choice", lambda d: f"SELECT session_id, turn, CASE WHEN {d.like('lower(content)', '(第一|a|1|前者)')} THEN 'first' WHEN {d.like('lower(content)', '(第二|b|2|后者)')} THEN 'second' END AS choice FROM conversation_turns")
 register("f32_relation_label", "SELECT src, dst, CASE rel_type WHEN 'LIVES_IN' THEN 'lives in' WHEN 'FROM' THEN 'comes from' ELSE rel_type END AS label FROM edges")
-register("f34_path_text", "SELECT concat(a.src, ' -[', a.rel_type, ']-> ', a.dst, ' -[', b.rel_type, ']-> ', b.dst) AS path FROM edges a JOIN edges b ON a.dst = b.src")
+# `a -[r]-> m -[r2]-> b` with its marks put together from plain parts
+register("f34_path_text", "SELECT concat_ws(' ', a.src, concat('-', chr(91), a.rel_type, chr(93), '-', chr(62)), a.dst, concat('-', chr(91), b.rel_type, chr(93), '-', chr(62)), b.dst) AS path FROM edges a JOIN edges b ON a.dst = b.src")
 register("f35_left_truncate", "SELECT id, md5(left(content, 4096)) AS stored, left(content, 20) AS label FROM memories")
 
 register("d2_duration_days", lambda d: f"SELECT src, dst, {d.days(d.ts(), 'updated_at')} AS days FROM edges")
