@@ -77,9 +77,7 @@ register("a16_graph_stats", "SELECT rel_type, count(*) AS n, round(avg(weight),
 register("a17_acceptance", "SELECT round(coalesce(avg(CASE WHEN user_reaction = 'liked' THEN 1.0 ELSE 0.0 END), 0), 6) AS rate FROM meme_usage_history WHERE user_reaction IS NOT NULL".replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"))
 register("a18_reaction_stats", "SELECT user_id, count(*) AS total, count(CASE WHEN user_reaction = 'liked' THEN 1 END) AS liked, round(CAST(100 AS DOUBLE) * count(CASE WHEN user_reaction = 'liked' THEN 1 END) / count(*), 2) AS liked_pct FROM meme_usage_history WHERE user_reaction IS NOT NULL GROUP BY user_id")
 register("a19_pool_statistics", "SELECT count(*) AS total, count(CASE WHEN status = 'approved' THEN 1 END) AS approved, count(CASE WHEN status = 'candidate' THEN 1 END) AS candidates, count(CASE WHEN popularity_score >= 85 THEN 1 END) AS peak, round(avg(popularity_score), 6) AS mean_score FROM memes")
-register("a20_lag_median", lambda d: f"SELECT round({d.median('lag_ms')}, 6) AS p50, round(avg(lag_ms), 6) AS mean FROM lags")
 register("a21_lag_p95", "SELECT lag_ms AS p95 FROM (SELECT lag_ms, row_number() OVER (ORDER BY lag_ms, event_id) AS rn, count(*) OVER () AS n FROM lags) z WHERE rn = least(CAST(floor(CAST(0.95 AS DOUBLE) * n) AS BIGINT) + 1, n)")
-register("a24_slo_verdict", lambda d: f"SELECT CASE WHEN {d.median('lag_ms')} < 2000 THEN 'ok' ELSE 'late' END AS p50_verdict, count(*) AS n FROM lags")
 register("a25_accuracy_sets", "SELECT task_type, category, count(*) AS n, round(avg(CASE WHEN correct THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy, round(avg(CASE WHEN exact_match THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS exact FROM scored_items GROUP BY GROUPING SETS ((task_type), (category), ())")
 register("a27_extreme_category", lambda d: ("SELECT {0}(category, acc) AS worst, {1}(category, acc) AS best FROM (SELECT category, avg(CASE WHEN correct THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) + CAST(category AS DOUBLE) / 1000000 AS acc FROM scored_items GROUP BY category) z").format("min_by", "max_by"))
 register("a29_prefix_stats", lambda d: "SELECT split_part(url, '/', 3) AS host, count(*) AS n FROM pages GROUP BY split_part(url, '/', 3)")
@@ -112,7 +110,6 @@ register("f6_summary", "SELECT id, CASE WHEN length(content) <= 200 THEN content
 register("f7_url_normalise", "SELECT page_id, lower(trim(split_part(split_part(url, '?', 1), '#', 1))) AS url FROM pages")
 register("f8_hashes", lambda d: f"SELECT id, left(md5(title), 16) AS short, {d.sha256('title')} AS long FROM content_library")
 register("f16_normalise", lambda d: f"SELECT item_id, trim({d.sub(d.sub('lower(text)', '[^a-z0-9]', ' '), ' +', ' ')}) AS norm FROM benchmark")
-register("f17_iso_date", lambda d: f"SELECT id, {d.grab('CAST(created_at AS VARCHAR(30))' if not d.spark else 'CAST(created_at AS STRING)', '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1)} AS iso FROM affinity_history")
 register("f25_question", lambda d: f"SELECT session_id, turn, CASE WHEN {d.like('content', '[?]')} THEN 1 ELSE 0 END AS asks FROM conversation_turns")
 register("f28_slug", "SELECT p_partkey, concat(p_name, '_', left(md5(p_name), 8)) AS slug FROM part")
 register("f33_reason", "SELECT id, CASE WHEN correct THEN 'ok' WHEN task_type = 'adversarial' THEN 'adversarial' WHEN category IN (1, 2) THEN 'recall' ELSE 'other' END AS reason FROM scored_items")
@@ -144,7 +141,6 @@ register("dm11_default_rows", "SELECT u.user_id, coalesce(p.enabled, 0) AS enabl
 register("st3_retry_dlq", "SELECT event_id, CASE WHEN status = 'failed' AND retry_count + 1 >= 5 THEN 'dlq' WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' THEN CAST(power(2, retry_count) AS BIGINT) ELSE 0 END AS backoff_s FROM outbox_events")
 register("st8_daily_cap", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY user_id, CAST(used_at AS DATE) ORDER BY used_at, id) AS rn FROM meme_usage_history) z WHERE rn <= 3")
 register("st11_stale_pending", lambda d: f"SELECT count(CASE WHEN created_at < {d.ts()} - INTERVAL '30' SECOND THEN 1 END) AS stale_30s, count(CASE WHEN created_at < {d.ts()} - INTERVAL '1' HOUR THEN 1 END) AS stale_1h FROM outbox_events WHERE status = 'pending'")
-register("st16_alerts", "SELECT status, count(*) AS n, CASE WHEN status = 'dlq' AND count(*) > 100 THEN 'critical' WHEN status = 'failed' AND count(*) > 100 THEN 'warning' ELSE 'none' END AS alert FROM outbox_events GROUP BY status")
 # a meme's trend falls by a tenth a day from its first sighting; the day of its last change and its level are stand-ins
 register("st18_declining", lambda d: f"SELECT id, CASE WHEN status = 'approved' AND level = 'declining' AND idle >= 30 THEN 'archive' WHEN status = 'approved' AND level <> 'declining' AND score < 30 AND idle >= 7 THEN 'declining' ELSE 'keep' END AS action FROM (SELECT id, status, popularity_score * exp(-0.1 * {d.days(d.ts(), 'first_seen_at')}) AS score, CASE WHEN id % 5 = 0 THEN 'declining' ELSE 'rising' END AS level, id % 60 AS idle FROM memes) z")
 register("v1_entity_critic", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN confidence < 0.5 THEN 'low_confidence' WHEN entity_id % 11 = 0 THEN 'bad_type' WHEN row_number() OVER (PARTITION BY memory_id, entity_id, confidence >= 0.5 AND entity_id % 11 <> 0 ORDER BY seq, confidence, created_at) > 1 THEN 'duplicate' ELSE 'kept' END AS reason FROM memory_entities WHERE confidence IS NOT NULL) z GROUP BY reason")
@@ -158,4 +154,3 @@ register("c15_edge_histogram", "SELECT rel_type, count(*) AS n FROM edges GROUP
 
 # ---- composites ----------------------------------------------------------------------------------
 register("r9_recommend_score", lambda d: f"SELECT id, round(greatest(0, least(1, (0.5 * 0.5 + 0.3 * exp(-0.05 * {d.seconds(d.ts(), 'published_at')} / 3600) + 0.2 * quality_score) * CASE WHEN id % 30 = 0 THEN CAST(0.3 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END)), 6) AS score FROM content_library WHERE is_active")
-register("r13_dashboard", lambda d: f"SELECT h.user_id, round(max(l.new_score), 6) AS score, {d.days(d.ts(), 'min(h.created_at)')} AS days_known, count(*) AS events, round(avg(h.emotion_valence), 6) AS mood FROM affinity_history h JOIN latest_affinity l ON l.user_id = h.user_id GROUP BY h.user_id")

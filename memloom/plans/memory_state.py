@@ -79,8 +79,6 @@ register("r10_interests", lambda d: ranked(f"SELECT src, dst AS interest, curren
 register("r11_likes", "SELECT src, dst, CASE WHEN weight >= 0.6 THEN 'like' ELSE 'dislike' END AS tag FROM edges WHERE rel_type = 'RELATED_TO'")
 register("r12_resolve_reference", ranked("SELECT user_id, entity_id, max(created_at) AS last_at FROM memory_entities GROUP BY user_id, entity_id", "user_id, entity_id, CASE WHEN rn = 1 THEN 'best' ELSE 'alternative' END AS kind", "user_id", "last_at DESC, entity_id", 5))
 
-_WORDS = lambda d: "SELECT b.item_id, t.w FROM benchmark b LATERAL VIEW explode(array_distinct(split(lower(b.text), '[^a-z]+'))) t AS w" if d.spark else "SELECT item_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS w FROM benchmark"
-register("c2_keyword_retrieval", lambda d: ranked(f"SELECT k.item_id, p.p_partkey, sum(0.5e0) AS score FROM ({_WORDS(d)}) k JOIN part p ON k.w <> '' AND contains(lower(p.p_name), k.w) GROUP BY k.item_id, p.p_partkey", "item_id, p_partkey, score", "item_id", "score DESC, p_partkey", 5))
 register("c5_ui_state", "SELECT id, CASE WHEN new_score < 20 THEN 'stranger' WHEN new_score < 50 THEN 'acquaintance' WHEN new_score < 80 THEN 'friend' ELSE 'close_friend' END AS state FROM affinity_history")
 register("c6_cutoff_last", lambda d: ranked(f"SELECT user_id, new_score, id, CAST({d.grab('day_label', 'Day ([0-9]+)', 1)} AS INT) AS day_no FROM (SELECT user_id, new_score, id, concat('Day ', CAST(day(created_at) AS VARCHAR(3))) AS day_label FROM affinity_history) x WHERE CAST({d.grab('day_label', 'Day ([0-9]+)', 1)} AS INT) <= 15", "user_id, new_score, day_no", "user_id", "day_no DESC, id DESC", 1))
 register("c8_facts_by_entity", lambda d: f"SELECT src, {d.joined('phrase', 'rn', '、')} AS line FROM (SELECT src, concat(CASE rel_type WHEN 'FROM' THEN 'comes from ' WHEN 'LIVES_IN' THEN 'lives in ' ELSE 'knows ' END, dst) AS phrase, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM edges) z GROUP BY src")

@@ -105,7 +105,6 @@ def triples(d, source: str, key: str, col: str) -> str:
 
 #: The turns, and one made sentence for each nation, as the test tables hold no Chinese.
 _SAID = "(SELECT session_id * 10 + turn AS id, content FROM conversation_turns UNION ALL SELECT -n_nationkey - 1, concat(n_name, CASE n_regionkey WHEN 0 THEN '住在' WHEN 1 THEN '不喜欢' WHEN 2 THEN '的妈妈叫' WHEN 3 THEN '是我的朋友' ELSE '来自中国的' END, 'x') FROM nation)"
-register("f27_triples", lambda d: triples(d, _SAID + " s", "id", "content"))
 
 # ---- joins, graph, deletion, state ----------------------------------------------------------------
 _USERS = "(SELECT user_id AS id, min(created_at) AS created_at FROM affinity_history GROUP BY user_id)"

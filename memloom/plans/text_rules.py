@@ -35,7 +35,6 @@ register("f15_tier_route", lambda d: f"""SELECT session_id, turn, CASE WHEN kind
  WHEN state IN ('stranger', 'acquaintance') AND valence > 0.6 THEN 1 WHEN state IN ('stranger', 'acquaintance') AND len < 30 THEN 3 WHEN state IN ('stranger', 'acquaintance') THEN 2
  WHEN valence > 0.6 THEN 1 WHEN state = 'close_friend' AND len > 50 THEN 1 WHEN state = 'friend' OR len > 30 THEN 2 ELSE 3 END AS tier
  FROM (SELECT session_id, turn, length(trim(content)) AS len, {_KIND(d)} AS kind, CAST(turn AS DOUBLE) / 8 AS valence, {_STATE} AS state FROM conversation_turns) z""")
-register("f18_exact_match", lambda d: f"SELECT b.item_id, s.id, CASE WHEN trim({d.sub('lower(b.text)', '[^a-z0-9 ]', '')}) = trim({d.sub('lower(d.text)', '[^a-z0-9 ]', '')}) THEN 1 ELSE 0 END AS exact FROM benchmark b JOIN scored_items s ON s.id = b.item_id JOIN documents d ON d.doc_id = s.id")
 _MONTH = "(January|February|March|April|May|June|July|August|September|October|November|December)"
 register("f19_date_phrase", lambda d: f"SELECT id, {d.grab('phrase', '([0-9]{1,2} ' + _MONTH + ' [0-9]{4})', 1)} AS day FROM (SELECT id, concat('On ', CAST(1 + id % 28 AS VARCHAR(2)), ' ', CASE id % 3 WHEN 0 THEN 'May' WHEN 1 THEN 'June' ELSE 'Nomonth' END, ' 2023, what happened?') AS phrase FROM memories) z")
 register("f20_relative_date", "SELECT session_id, turn, CASE WHEN turn % 4 = 0 THEN CAST(CAST(created_at - INTERVAL '1' DAY AS DATE) AS VARCHAR(10)) WHEN turn % 4 = 1 THEN CAST(CAST(created_at + INTERVAL '1' DAY AS DATE) AS VARCHAR(10)) WHEN turn % 4 = 2 THEN CAST(year(created_at) - 1 AS VARCHAR(10)) ELSE content END AS answer FROM conversation_turns")
@@ -54,7 +53,6 @@ register("f35_left_truncate", "SELECT id, md5(left(content, 4096)) AS stored, le
 register("d2_duration_days", lambda d: f"SELECT src, dst, {d.days(d.ts(), 'updated_at')} AS days FROM edges")
 register("d5_date", "SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM affinity_history GROUP BY CAST(created_at AS DATE)")
 register("d7_epoch", lambda d: f"SELECT event_id, CAST(floor({d.seconds('created_at', d.ts('1970-01-01 00:00:00'))}) AS BIGINT) AS epoch_s FROM outbox_events")
-register("d8_hhmm", "SELECT r.name, CAST(split_part(r.at, ':', 1) AS INT) * 60 + CAST(split_part(r.at, ':', 2) AS INT) AS minute FROM (SELECT 'morning' AS name, '08:00' AS at UNION ALL SELECT 'noon', '12:30' UNION ALL SELECT 'night', '22:15') r")
 register("d9_intervals", lambda d: f"SELECT event_id, CASE WHEN created_at + INTERVAL '72' HOUR < {d.ts()} THEN 1 ELSE 0 END AS past_sla, CASE WHEN created_at > {d.ts()} - INTERVAL '24' HOUR THEN 1 ELSE 0 END AS last_day FROM outbox_events")
 register("d10_stale", lambda d: f"SELECT src, dst FROM edges WHERE {d.days(d.ts(), 'updated_at')} > 30")
 
