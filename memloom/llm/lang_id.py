@@ -1,7 +1,7 @@
 """Language identification by a byte convolutional network (operator 1).
 
 Windows of `window` bytes go through byte embeddings, filters of several widths, max pooling over the
-window and a softmax. The network is trained in numpy on windows of a bounded sample of each
+window and a softmax. The network is trained in numpy on all windows of the whole texts of a bounded sample of each
 language, the lowest share of a hash; every text is then read whole, window by window, and its windows' probabilities are averaged
 by length. As input bytes are discrete, embedding times filter is one table row per byte.
 
@@ -11,16 +11,15 @@ doc_id is not held out and not learned; without any labelled row all texts are `
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import fold, share, small_batches
+from memloom.llm.common import fold, small_batches
 
 
 @dataclass(frozen=True)
@@ -29,10 +28,9 @@ class ByteConvConfig:
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 8  # of each width
     dim: int = 8
-    per_language: int = 400  # expected bound of the sample: documents of each language
-    excerpt: int = 1000  # characters of each, at a hashed place
-    windows: int = 3  # training windows of each excerpt
-    epochs: int = 12
+    per_language: int = 150  # expected bound of the sample: documents of each language; twice as many are the most
+    most_languages: int = 500  # the commonest are learned
+    epochs: int = 10
     rate: float = 0.01
     seed: int = 1
 
@@ -114,29 +112,32 @@ class ByteConv:
 
 def train(docs: DataFrame, cfg: ByteConvConfig = ByteConvConfig()) -> ByteConv | None:
     """Fitted on text and non-null lang of documents that are not held out (crc32 mod 4 is not 2)."""
-    h = F.xxhash64("doc_id", F.lit(cfg.seed))
-    place = F.pmod(h, F.greatest(F.length("text") - cfg.excerpt, F.lit(1))).cast("int") + 1
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    if not counts:
-        return None
-    wanted = functools.reduce(lambda c, x: c.when((F.col("lang") == x[0]) & share(h, cfg.per_language, x[1]), True), counts.items(), F.when(F.lit(False), True))
-    sample = rows.where(wanted).select("lang", h.alias("h"), F.substring("text", place, F.lit(cfg.excerpt)).alias("part")).collect()
-    sample.sort(key=lambda r: (r.lang, r.h, r.part))
-    langs = sorted({r.lang for r in sample})
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2)).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(cfg.seed)).alias("h"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(cfg.most_languages)
+    least = F.pmod("h", F.lit(1 << 40)) < F.ceil(F.least(F.lit(1.0), cfg.per_language / F.col("count")) * (1 << 40))
+    chosen = rows.join(F.broadcast(counts), "lang").where(least)  # counts: most_languages rows at most
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # of the sample alone; Spark keeps the first of each task
+    sample = chosen.withColumn("nth", order).where(F.col("nth") <= 2 * cfg.per_language).select("lang", "h", "text")
+    size = cfg.window
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for lang, h, text in zip(pdf["lang"], pdf["h"], pdf["text"], strict=True):
+                w = to_windows(text.encode("utf-8", "surrogatepass"), size)
+                yield pd.DataFrame({"lang": lang, "h": h, "k": np.arange(len(w)), "w": [r.tobytes() for r in w]})
+
+    got = sample.mapInPandas(cut, "lang string, h long, k int, w binary").collect()
+    got.sort(key=lambda r: (r.lang, r.h, r.k, r.w))
+    langs = sorted({r.lang for r in got})
     if not langs:
         return None
     rng, x, y = np.random.default_rng(cfg.seed), [], []
-    for r in sample:
-        w = to_windows(r.part.encode("utf-8", "surrogatepass"), cfg.window)[: cfg.windows]
-        for k, row in enumerate(w):
-            row = row.copy()
-            if k % 2:  # short texts occur too
-                row[int(rng.integers(8, cfg.window)) :] = PAD
-            x.append(row)
-            y.append(langs.index(r.lang))
-    if not x:
-        return None
+    for r in got:
+        row = np.frombuffer(r.w, np.int16).copy()
+        if r.k % 2:  # short texts occur too
+            row[int(rng.integers(8, cfg.window)) :] = PAD
+        x.append(row)
+        y.append(langs.index(r.lang))
     return ByteConv(cfg, langs).train(np.array(x), np.array(y))
 
 

@@ -27,8 +27,8 @@ from memloom.llm.common import Words, fold, free_name, give_back, share, small_b
 @dataclass(frozen=True)
 class PuConfig:
     bins: int = 512  # hashed byte trigrams
-    positives: int = 3000  # expected bound of the trusted sample
-    unlabelled: int = 6000  # expected bound of the unlabelled sample
+    positives: int = 3000  # expected bound of the trusted sample; twice as many rows are the most
+    unlabelled: int = 6000  # expected bound of the unlabelled sample; twice as many rows are the most
     epochs: int = 30
     rate: float = 0.02
     decay: float = 1e-4
@@ -114,16 +114,16 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, cfg: PuConfig) -> t
     return w, float(b), mean, scale
 
 
-def _feature_rows(docs: DataFrame, cfg: PuConfig) -> np.ndarray:
-    """Features of a bounded frame of texts, computed by the executors."""
+def _feature_rows(docs: DataFrame, seed: int, bound: int, cfg: PuConfig) -> np.ndarray:
+    """Features of a frame of texts, computed where the texts are; of more than `bound` rows those of least hash."""
     bins = cfg.bins
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for _, texts in small_batches(list(pdf.index), list(pdf["text"])):
-                yield pd.DataFrame({"x": [r.tobytes() for r in features(texts, bins)]})
+            for h, texts in small_batches(list(pdf["h"]), list(pdf["text"])):
+                yield pd.DataFrame({"h": h, "x": [r.tobytes() for r in features(texts, bins)]})
 
-    rows = docs.select("text").mapInPandas(run, "x binary").collect()
+    rows = docs.select(F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), "text").mapInPandas(run, "h long, x binary").orderBy("h").limit(bound).collect()
     return np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float32).reshape(len(rows), bins + N_SHAPE)
 
 
@@ -135,9 +135,12 @@ def train(docs: DataFrame, labels: DataFrame, cfg: PuConfig = PuConfig()) -> tup
     if not positive:
         return None
     good = known.where("good = 1")
-    chosen = good.where(share(F.xxhash64("doc_id", F.lit(cfg.seed)), cfg.positives, positive)).select("doc_id")
-    pos = _feature_rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), cfg)  # about cfg.positives ids
-    unl = _feature_rows(docs.where(share(F.xxhash64("doc_id", F.octet_length("text"), F.lit(cfg.seed + 1)), cfg.unlabelled, docs.count())), cfg)
+    key = F.xxhash64("doc_id", F.lit(cfg.seed))
+    chosen = good.where(share(key, cfg.positives, positive)).orderBy(key).limit(2 * cfg.positives).select("doc_id")
+    trusted = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+    # ids may repeat, so their rows and their shares have no bound of their own
+    pos = _feature_rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), cfg.seed, 2 * cfg.positives, cfg)
+    unl = _feature_rows(docs.where(share(F.xxhash64("doc_id", "text", F.lit(cfg.seed + 1)), cfg.unlabelled, docs.count())), cfg.seed, 2 * cfg.unlabelled, cfg)
     if not len(pos) or not len(unl):
         return None
     return fit_nnpu(pos.astype(np.float64), unl.astype(np.float64), min(positive / rows, 0.99), cfg)
