@@ -9,7 +9,7 @@ by the merges. That choice is unique, and following it back gives the library's
 
 Decoding maps pieces to text, byte pieces to bytes, and drops the mark put before the text.
 
-Defined cases: null or empty text: no pieces; any Unicode text round-trips by byte pieces; rows that
+Defined cases: null or empty text: no pieces; any text round-trips by byte pieces but for a literal U+2581, which reads back as a blank; a null doc_id passes through; rows that
 repeat a doc_id are encoded one by one; empty table: empty result.
 """
 

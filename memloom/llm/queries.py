@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import ann, collocations, fingerprints, jaccard_join, lang_id, packing, periodic_runs, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+from memloom.llm import ann, collocations, fingerprints, jaccard_join, lang_id, oracles, packing, periodic_runs, piece_codec, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
 from memloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,4 +80,4 @@ QUERIES: dict[str, Query] = {
     "op13_periodic_runs": op13,
 }
 
-ORACLE: dict[str, str] = {"op12_collocations": collocations.SQL}
+ORACLE: dict[str, str] = {"op4_suffix_dedup": oracles.SUFFIX_DEDUP, "op9_jaccard_join": oracles.JACCARD_JOIN, "op12_collocations": collocations.SQL}

@@ -73,7 +73,7 @@ def test_long_texts(spark, labels):
     tail = long[-1500:]
     docs = spark.createDataFrame([(1, long, "aa", "s"), (2, "start " + tail, "aa", "s"), (3, long + " end", "bb", "t")], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in suffix_dedup.op4(docs).collect()}
-    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (len(long), 1501, len(long)) or got[1].n_removed == len(long)
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (len(long), 1500, len(long))
     assert {r.doc_id: r.component_id for r in jaccard_join.op9(docs).collect()} == {1: 1, 2: 2, 3: 1}
     assert sum(r.length for r in packing.op3(docs).collect()) == sum(r.doc_tokens for r in token_counts.op10(docs).select("doc_id", "doc_tokens").distinct().collect()) + 3
     assert quality_classifier.op8(docs, labels).count() == lang_id.op1(docs).count() == secret_scan.op6(docs).count() == 3
