@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.common import row_key, stage, whole_row, with_text
@@ -38,68 +38,68 @@ KEY = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "key")
 
 
-def _found(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Array of (s, e, value): leftmost non-overlapping matches, s and e in code points. Matches and the
-    text between them alternate, so a running sum of lengths gives the places."""
+def _hits(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
+    """Array of (k, i, g, n, h): the i-th leftmost non-overlapping match, g code points after the one before it, n long, and the hash
+    of its value, null where the match fails. Matches and the text between them alternate, so sums of g and n give the places."""
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hit
-    gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(
-        F.transform(F.slice(gaps, 1, F.size(hit)), lambda g: F.length(g)),
-        F.zip_with(hit, value, lambda h, v: F.struct(F.length(h).alias("n"), v.alias("v"))),
-        lambda g, h: F.struct(g.alias("g"), h["n"].alias("n"), h["v"].alias("v")),
-    )
-    none = F.lit([]).cast("array<struct<s:int,e:int,v:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("got"))
-    walked = F.aggregate(
-        parts, start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["n"]).alias("at"),
-            F.when(
-                F.length(x["v"]) >= least,
-                F.concat(acc["got"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["n"]).alias("e"), x["v"].alias("v")))),
-            ).otherwise(acc["got"]).alias("got"),
-        ),
-        lambda acc: acc["got"],
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(none)
+
+    def good(v: Column) -> Column:
+        mixed = F.regexp_like(v, F.lit("[0-9]")) & F.regexp_like(v, F.lit("[A-Za-z]")) if kind == KINDS.index("key") else F.lit(True)
+        return (F.length(v) >= least) & mixed
+
+    pair = F.zip_with(hit, value, lambda h, v: F.struct(F.length(h).alias("n"), F.when(good(v), F.sha2(v, 256)).alias("h")))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(hit)), lambda g: F.length(g))
+    row = F.transform(F.arrays_zip(gaps.alias("g"), pair.alias("x")), lambda z, i: F.struct(F.lit(kind).alias("k"), i.alias("i"), z["g"].alias("g"), z["x"]["n"].alias("n"), z["x"]["h"].alias("h")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), row).otherwise(F.lit([]).cast("array<struct<k:int,i:int,g:int,n:int,h:string>>"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, its join key (id0, th), repo, owner, and found: array of (s, k, e, h): start, kind number, end, hash of
-    the value. repo is the document; one without an id is known by its text."""
+def matches(docs: DataFrame) -> DataFrame:
+    """doc_id, its join key (id0, th), repo, owner, and hits: the matches of all four patterns. One row for each row of docs. repo is
+    the document; one without an id is known by its text."""
     text = F.coalesce("text", F.lit(""))
     i = F.col("doc_id").cast("long")
     owner = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    base = docs.select(i.alias("doc_id"), *row_key(), F.xxhash64(i, F.when(i.isNull(), text)).alias("repo"), owner.alias("owner"), text.alias("t"))
-    base = base.withColumns(
-        {"f0": _found(F.col("t"), ASSIGN, 2, 12), "f1": _found(F.col("t"), ACCESS, 0, 18), "f2": _found(F.col("t"), HEX, 0, 16), "f3": _found(F.col("t"), KEY, 0, 20)}
-    )
-    def tagged(c: str, k: int) -> Column:
-        return F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("h"), F.regexp_like(x["v"], F.lit("[0-9]")).alias("d"), F.regexp_like(x["v"], F.lit("[A-Za-z]")).alias("w")))
-    sure = F.concat(tagged("f0", 0), tagged("f1", 1), tagged("f2", 2))
-    extra = F.filter(tagged("f3", 3), lambda x: x["d"] & x["w"])
-    base = base.select("doc_id", "id0", "th", "repo", "owner", sure.alias("sure"), extra.alias("extra"))
-    free = F.filter("extra", lambda x: ~F.exists("sure", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    return base.select("doc_id", "id0", "th", "repo", "owner", F.concat("sure", free).alias("found"))
-
-
-def ownership(cands: DataFrame) -> DataFrame:
+    hits = F.concat(_hits(text, 0, ASSIGN, 2, 12), _hits(text, 1, ACCESS, 0, 18), _hits(text, 2, HEX, 0, 16), _hits(text, 3, KEY, 0, 20))
+    return docs.select(i.alias("doc_id"), *row_key(), F.xxhash64(i, F.when(i.isNull(), text)).alias("repo"), owner.alias("owner"), hits.alias("hits"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """id0, th, repo, owner, s, k, e, h of the candidates: running sums give the places of matches, running extremes of base spans
+    tell which `key` matches touch one. A text's matches are sorted once and walked, so the work grows with their number."""
+    row = ["id0", "th", "owner"]
+    each = found.where(F.size("hits") > 0).dropDuplicates(row).select(*row, "repo", F.inline("hits"))
+    end = F.sum(F.col("g") + F.col("n")).over(Window.partitionBy(*row, "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    spans = each.withColumn("e", end.cast("int")).withColumn("s", F.col("e") - F.col("n")).where("h is not null")
+    base = F.col("k") < 3
+    up, down = (Window.partitionBy(*row).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (("s", "k"), (F.desc("s"), F.desc("k"))))
+    spans = spans.withColumn("reach", F.max(F.when(base, F.col("e"))).over(up)).withColumn("next", F.min(F.when(base, F.col("s"))).over(down))
+    touch = F.coalesce(F.col("reach") > F.col("s"), F.lit(False)) | F.coalesce(F.col("next") < F.col("e"), F.lit(False))
+    return spans.where(base | ~touch).select("id0", "th", "repo", "owner", "s", "k", "e", "h")
+
+
+def ownership(spans: DataFrame) -> DataFrame:
     """h, owners, repos: how many distinct owners and documents hold each candidate value."""
-    each = cands.select("repo", "owner", F.explode("found").alias("x")).select("repo", "owner", "x.h").distinct()
+    each = spans.select("repo", "owner", "h").distinct()
     return each.groupBy("h", "owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
+def judged(docs: DataFrame, cfg: SecretConfig) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (doc_id, id0, th), and their spans (id0, th, s, k, e, live)."""
+    found = stage(matches(docs), "matches")
+    spans = stage(placed(found), "spans")
+    flat = spans.select("id0", "th", "s", "k", "e", "h").distinct()
+    live = (F.col("owners") <= cfg.most_owners) & (F.col("repos") <= cfg.most_repos)
+    return found.select("doc_id", "id0", "th"), flat.join(ownership(spans), "h").withColumn("live", live).where("k < 3 or live").select("id0", "th", "s", "k", "e", "live")
+
+
 def scan(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
     """doc_id, id0, th and all: the document's spans as array of (s, k, e, live), by start, then kind. One row
     for each row of docs."""
-    cands = stage(candidates(docs), "candidates")
-    own = ownership(cands)
-    flat = cands.where(F.size("found") > 0).select("id0", "th", F.explode("found").alias("x")).select("id0", "th", "x.s", "x.k", "x.e", "x.h").distinct()
-    judged = flat.join(own, "h").withColumn("live", (F.col("owners") <= cfg.most_owners) & (F.col("repos") <= cfg.most_repos)).where("k < 3 or live")
-    spans = judged.groupBy("id0", "th").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e", "live"))).alias("all"))
-    none = F.lit([]).cast(spans.schema["all"].dataType)
-    return cands.select("doc_id", "id0", "th").join(spans, ["id0", "th"], "left").select("doc_id", "id0", "th", F.coalesce("all", none).alias("all"))
+    rows, spans = judged(docs, cfg)
+    per = spans.groupBy("id0", "th").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e", "live"))).alias("all"))
+    none = F.lit([]).cast(per.schema["all"].dataType)
+    return rows.join(per, ["id0", "th"], "left").select("doc_id", "id0", "th", F.coalesce("all", none).alias("all"))
 
 
 def _joined(spans: Column) -> Column:
@@ -108,27 +108,26 @@ def _joined(spans: Column) -> Column:
 
 
 def op6(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_live, n_copied (spans by ownership)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and by ownership, base spans included, n_live, n_copied and the spans
+    of copied examples, copied_spans."""
     def count(k: int) -> Column:
         return F.size(F.filter("all", lambda x: x["k"] == k)).cast("long")
     return scan(docs, cfg).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_joined(F.filter("all", lambda x: x["k"] < 3)), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"),
         F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"), F.size(F.filter("all", lambda x: ~x["live"])).cast("long").alias("n_copied"),
+        _joined(F.filter("all", lambda x: ~x["live"])).alias("copied_spans"),
     )
 
 
 def redact(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
     """docs with every span, base or added, replaced by the placeholder (overlapping spans by one)."""
-    hits = scan(docs, cfg).where(F.size("all") > 0).dropDuplicates(["id0", "th"])
-    merged = F.aggregate(
-        "all", F.lit([]).cast("array<struct<s:int,e:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["s"] < F.try_element_at(acc, F.lit(-1))["e"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
-    )
-    hits = hits.select("id0", "th", merged.alias("cut"))
+    by = Window.partitionBy("id0", "th").orderBy("s", "e")
+    far = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = judged(docs, cfg)[1].withColumn("opens", F.coalesce(F.col("s") >= far, F.lit(True)).cast("int"))
+    spans = spans.withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy("id0", "th", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    hits = runs.groupBy("id0", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cut"))
     rows = docs.select(whole_row(docs).alias("row"), *row_key()).join(hits, ["id0", "th"], "left").withColumn("t", F.col("row.text"))
     before = F.transform("cut", lambda x, i: F.substring(F.col("t"), F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["e"]) + 1, x["s"] - F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["e"])))
     last = F.substring(F.col("t"), F.try_element_at("cut", F.lit(-1))["e"] + 1, F.length("t"))

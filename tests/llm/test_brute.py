@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 from pathlib import Path
@@ -117,6 +118,55 @@ def test_ownership_brute(spark):
     assert got[50].spans == "key:0:24,key:27:51" and got[51].spans == "key:4:28" and got[53].spans == ""
 
 
+def _all_spans(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, kind, end, value) of base spans, then of `key` candidates that touch none of them, by hand."""
+    rx = [(secret_scan.ASSIGN, 2, 12), (secret_scan.ACCESS, 0, 18), (secret_scan.HEX, 0, 16), (secret_scan.KEY, 0, 20)]
+    found = [(m.start(), k, m.end(), m[g]) for k, (r, g, least) in enumerate(rx) for m in re.finditer(r, text) if len(m[g]) >= least]
+    base = [x for x in found if x[1] < 3]
+    mixed = [x for x in found if x[1] == 3 and re.search("[0-9]", x[3]) and re.search("[A-Za-z]", x[3])]
+    return sorted(base + [x for x in mixed if not any(x[0] < y[2] and y[0] < x[2] for y in base)])
+
+
+def test_spans_and_redaction_brute(spark):
+    """Random texts of touching, overlapping and failing matches, rows that repeat, one text of thousands of matches, and a base value that is widely copied."""
+    rng = random.Random(6)
+    parts = ["token=", "Secret: ", "password='", "AKIA", "é", " ", "\n", "-", "0123456789abcdef", "QWERTY012345678901", "zz9" * 8, "a1b2c3d4e5", "key", "short", "'"]
+    data = [(i, "".join(rng.choices(parts, k=rng.randint(0, 40))), f"s{i % 5}") for i in range(120)]
+    data += [(200, " ".join(f"tok{j} x{j:06d}Zq9{'k' * 14} é token={j:012d}" for j in range(5000)), "s1"), (3, data[3][1], "s3"), (3, data[3][1], "other"), (201, None, None), (None, "secret=aaaabbbbcccc1", "s1")]
+    data += [(300 + i, f"token: wide1234wide{'' if i else ' own0' + 'q' * 20}", f"o{i}") for i in range(4)]
+    spans = [(i, _all_spans(t or ""), s) for i, t, s in data]
+    owners, repos = collections.defaultdict(set), collections.defaultdict(set)
+    for i, found, s in spans:
+        for *_, v in found:
+            owners[v].add(s)
+            repos[v].add(i)
+    live = lambda v: len(owners[v]) <= 2 and len(repos[v]) <= 25
+    name = lambda found: ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e, _ in found)
+    want = collections.Counter((i, name([x for x in f if x[1] < 3 or live(x[3])]), name([x for x in f if x[1] < 3 and not live(x[3])])) for i, f, _ in spans)
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = secret_scan.op6(docs).select("doc_id", "spans", "copied_spans").collect()
+    assert collections.Counter(tuple(r) for r in got) == want
+    assert {r.copied_spans for r in got if r.doc_id and r.doc_id > 300} == {"assign:0:19"}
+
+    def cut(t, found):
+        if t is None:
+            return None
+        out, last = [], None
+        for s, k, e, v in found:
+            if k < 3 or live(v):
+                if last is not None and s < last[1]:
+                    last[1] = max(last[1], e)
+                else:
+                    last = [s, e]
+                    out.append(last)
+        for s, e in reversed(out):
+            t = t[:s] + "[SECRET]" + t[e:]
+        return t
+
+    clean = collections.Counter(tuple(r) for r in secret_scan.redact(docs).collect())
+    assert clean == collections.Counter((i, cut(t, f), s) for (i, t, s), (_, f, _) in zip(data, spans, strict=True))
+
+
 def test_sections_brute(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
