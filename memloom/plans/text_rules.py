@@ -26,8 +26,6 @@ register("f5_strip_truncate", lambda d: f"SELECT page_id, md5(left({d.sub('html'
 register("f9_audit_hmac", lambda d: f"SELECT event_id, {hmac(d, 'concat(CAST(event_id AS VARCHAR(20)), chr(58), status)')} AS audit_hash FROM outbox_events")
 register("f10_keyword_matches", lambda d: "SELECT id, array_join(array_sort(array_distinct(regexp_extract_all(lower(content), r'(license|copyright|password|secret)', 1))), ',') AS found FROM memories" if d.spark else "SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(content), '(license|copyright|password|secret)', 1))), ',') AS found FROM memories")
 register("f12_meme_type", lambda d: f"SELECT id, CASE WHEN {d.like('lower(text_description)', '(red|pink)')} THEN 'humor' WHEN {d.like('lower(text_description)', '(blue|green)')} THEN 'emotion' ELSE 'phrase' END AS kind FROM memes")
-_TAGS = ("red", "blue", "green", "steel", "small", "large")
-register("f13_extra_tags", lambda d: "SELECT id, array_join(filter(array({}), x -> contains(lower(text_description), x)), ',') AS tags FROM memes".format(", ".join(f"'{t}'" for t in _TAGS)) if d.spark else "SELECT id, array_to_string([x for x in [{}] if contains(lower(text_description), x)], ',') AS tags FROM memes".format(", ".join(f"'{t}'" for t in _TAGS)))
 _KIND = lambda d: f"CASE WHEN length(trim(content)) > 20 THEN 'none' WHEN {d.like('lower(trim(content))', '^(hi|hello|你好[啊呀吗]?|早上好|晚上好)[!！]?$')} THEN 'greeting' WHEN {d.like('lower(trim(content))', '^(ok|thanks|好的|谢谢你?|明白了)[!！]?$')} THEN 'acknowledgment' WHEN {d.like('lower(trim(content))', '^(bye|再见|拜拜|回头见)[!！]?$')} THEN 'farewell' ELSE 'none' END"
 register("f14_greeting_type", lambda d: f"SELECT session_id, turn, {_KIND(d)} AS kind FROM conversation_turns")
 _STATE = "CASE WHEN session_id % 100 <= 20 THEN 'stranger' WHEN session_id % 100 <= 50 THEN 'acquaintance' WHEN session_id % 100 <= 80 THEN 'friend' ELSE 'close_friend' END"
@@ -39,8 +37,6 @@ _MONTH = "(January|February|March|April|May|June|July|August|September|October|N
 register("f19_date_phrase", lambda d: f"SELECT id, {d.grab('phrase', '([0-9]{1,2} ' + _MONTH + ' [0-9]{4})', 1)} AS day FROM (SELECT id, concat('On ', CAST(1 + id % 28 AS VARCHAR(2)), ' ', CASE id % 3 WHEN 0 THEN 'May' WHEN 1 THEN 'June' ELSE 'Nomonth' END, ' 2023, what happened?') AS phrase FROM memories) z")
 register("f20_relative_date", "SELECT session_id, turn, CASE WHEN turn % 4 = 0 THEN CAST(CAST(created_at - INTERVAL '1' DAY AS DATE) AS VARCHAR(10)) WHEN turn % 4 = 1 THEN CAST(CAST(created_at + INTERVAL '1' DAY AS DATE) AS VARCHAR(10)) WHEN turn % 4 = 2 THEN CAST(year(created_at) - 1 AS VARCHAR(10)) ELSE content END AS answer FROM conversation_turns")
 register("f21_question_split", lambda d: f"SELECT session_id, turn, trim({d.grab('message', '^.*Question: (.*)$', 1)}) AS question FROM (SELECT session_id, turn, concat('Evidence: Question: no. Question: ', {d.sub('content', '[^a-zA-Z0-9 ]', ' ')}) AS message FROM conversation_turns) z")
-register("f23_policy", lambda d: f"SELECT session_id, turn, CASE WHEN {d.like('lower(content)', 'what do you (think|feel|make of)')} THEN 'reasoning' WHEN {d.like('lower(content)', '^(what|which) ')} OR {d.like('lower(content)', '(when|where|who|how (long|many|much))')} THEN 'strict_factual' ELSE 'open' END AS policy FROM conversation_turns")
-register("f24_extract_answer", lambda d: f"SELECT session_id, turn, coalesce(nullif({d.grab('content', '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1)}, ''), nullif({d.grab('content', '([0-9]+)', 1)}, ''), nullif({d.grab('content', '([A-Z][a-z]+)', 1)}, ''), 'Unknown') AS answer FROM conversation_turns")
 register("f26_complex", lambda d: f"SELECT session_id, turn, CASE WHEN length(content) > 50 OR {d.count('content', '[，。,.]')} > 2 OR {d.like('content', '(而且|但是|不过|然而|虽然|尽管|不是|并且)')} THEN 1 ELSE 0 END AS complex FROM conversation_turns")
 register("f29_pronoun_type", "SELECT session_id, turn, CASE WHEN contains(content, '那个人') OR contains(content, '他') OR contains(lower(content), ' he ') THEN 'person' WHEN contains(content, '那个地方') OR contains(lower(content), ' there ') THEN 'place' WHEN contains(content, '那件事') OR contains(lower(content), ' that ') THEN 'event' WHEN contains(content, '它') OR contains(lower(content), ' it ') THEN 'thing' END AS expected FROM conversation_turns")
 register("f30_lookback_days", "SELECT session_id, turn, CASE WHEN contains(content, '昨天') OR contains(lower(content), 'yesterday') THEN 1 WHEN contains(content, '前天') THEN 2 WHEN contains(content, '上周') OR contains(lower(content), 'last week') THEN 7 WHEN contains(content, '上个月') THEN 30 WHEN contains(content, '去年') OR contains(lower(content), 'last year') THEN 365 ELSE 30 END AS days FROM conversation_turns")
