@@ -54,7 +54,9 @@ register("j16_two_hop", lambda d: "SELECT a.src, a.dst AS via, b.dst, concat_ws(
 register("j17_three_hop", "WITH two AS (SELECT a.src, b.dst, count(*) AS n, max(a.weight * b.weight) AS w FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel_type = 'RELATED_TO' GROUP BY a.src, b.dst) SELECT t.src, c.dst, CAST(sum(t.n) AS BIGINT) AS paths, round(max(t.w * c.weight), 6) AS weight FROM two t JOIN edges c ON t.dst = c.src GROUP BY t.src, c.dst")
 register("j21_full_outer_fusion", "SELECT coalesce(v.id, g.id) AS id, round(0.6 * coalesce(v.s, 0) + 0.4 * coalesce(g.s, 0), 6) AS score FROM (SELECT id, emotion_valence AS s FROM affinity_history WHERE trigger_event = 'conversation') v FULL OUTER JOIN (SELECT id, new_score / 100 AS s FROM affinity_history WHERE new_score > 50) g ON v.id = g.id")
 register("j22_endpoint_semi", "SELECT src, dst FROM edges WHERE src IN (SELECT concat('s', s_suppkey) FROM supplier) AND dst IN (SELECT concat('n', n_nationkey) FROM nation)")
-register("j24_band", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id BETWEEN b.item_id * 10 - 2 AND b.item_id * 10 + 2")
+# in Spark the band is cut into cells of its width, so the join is on equal cells
+register("j24_band", lambda d: "SELECT b.item_id, d.doc_id FROM (SELECT item_id, lo, hi, explode(sequence(floor(lo / 5), floor(hi / 5))) AS cell FROM (SELECT item_id, item_id * 10 - 2 AS lo, item_id * 10 + 2 AS hi FROM benchmark) w) b JOIN documents d ON floor(d.doc_id / 5) = b.cell AND d.doc_id BETWEEN b.lo AND b.hi" if d.spark
+         else "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id BETWEEN b.item_id * 10 - 2 AND b.item_id * 10 + 2")
 register("j25_date_prefix", "SELECT id FROM affinity_history WHERE CAST(created_at AS DATE) = CAST('2024-01-09' AS DATE)")
 register("j26_window_context", "SELECT DISTINCT c.session_id, c.turn FROM conversation_turns e JOIN conversation_turns c ON c.session_id = e.session_id AND c.turn BETWEEN e.turn - 1 AND e.turn + 1 WHERE length(e.content) > 60")
 register("j28_rule_user", "SELECT u.user_id, r.action FROM latest_affinity u CROSS JOIN (SELECT 'greet' AS action, 20 AS least_score UNION ALL SELECT 'share', 50 UNION ALL SELECT 'care', 80) r WHERE u.new_score >= r.least_score")

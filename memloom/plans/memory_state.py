@@ -81,13 +81,25 @@ register("r12_resolve_reference", ranked("SELECT user_id, entity_id, max(created
 
 register("c5_ui_state", "SELECT id, CASE WHEN new_score < 20 THEN 'stranger' WHEN new_score < 50 THEN 'acquaintance' WHEN new_score < 80 THEN 'friend' ELSE 'close_friend' END AS state FROM affinity_history")
 register("c6_cutoff_last", lambda d: ranked(f"SELECT user_id, new_score, id, CAST({d.grab('day_label', 'Day ([0-9]+)', 1)} AS INT) AS day_no FROM (SELECT user_id, new_score, id, concat('Day ', CAST(day(created_at) AS VARCHAR(3))) AS day_label FROM affinity_history) x WHERE CAST({d.grab('day_label', 'Day ([0-9]+)', 1)} AS INT) <= 15", "user_id, new_score, day_no", "user_id", "day_no DESC, id DESC", 1))
-register("c8_facts_by_entity", lambda d: f"SELECT src, {d.joined('phrase', 'rn', '、')} AS line FROM (SELECT src, concat(CASE rel_type WHEN 'FROM' THEN 'comes from ' WHEN 'LIVES_IN' THEN 'lives in ' ELSE 'knows ' END, dst) AS phrase, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM edges) z GROUP BY src")
+# lines of 20 facts, so that no row holds all edges of a node
+register("c8_facts_by_entity", lambda d: f"SELECT src, part, {d.joined('phrase', 'rn', '、')} AS line FROM (SELECT src, phrase, rn, CAST(floor((rn - 1) / 20) AS BIGINT) AS part FROM (SELECT src, concat(CASE rel_type WHEN 'FROM' THEN 'comes from ' WHEN 'LIVES_IN' THEN 'lives in ' ELSE 'knows ' END, dst) AS phrase, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM edges) y) z GROUP BY src, part")
 register("c11_context_text", "SELECT user_id, concat_ws(' / ', concat('memories: ', CAST(count(*) AS VARCHAR(12))), concat('committed: ', CAST(count(CASE WHEN status = 'committed' THEN 1 END) AS VARCHAR(12)))) AS text_block FROM memories GROUP BY user_id")
 register("c12_judge_clamp", lambda d: f"SELECT id, greatest(0e0, least(5e0, coalesce({'try_cast' if d.spark else 'TRY_CAST'}({d.grab('reply', chr(34) + 'score' + chr(34) + ': (-?[0-9.]+)', 1)} AS DOUBLE), 0e0))) AS score FROM (SELECT id, CASE WHEN id % 4 = 0 THEN 'not json' ELSE concat('```json {{\"score\": ', CAST(id % 9 - 1 AS VARCHAR(5)), '}}```') END AS reply FROM scored_items) z")
 register("c13_run_delta", "SELECT a.category, round(b.acc - a.acc, 6) AS delta FROM (SELECT category, avg(CASE WHEN exact_match THEN 1e0 ELSE 0e0 END) AS acc FROM scored_items GROUP BY category) a JOIN (SELECT category, avg(CASE WHEN correct THEN 1e0 ELSE 0e0 END) AS acc FROM scored_items GROUP BY category) b ON a.category = b.category")
 register("c14_latest_run", ranked("SELECT user_id, id, created_at FROM affinity_history", "user_id, id", "user_id", "created_at DESC, id DESC", 2))
 register("c16_name_lookup", ranked("SELECT lower(p_name) AS name, p_partkey FROM part", "name, p_partkey", "name", "p_partkey DESC", 1))
 register("c17_session_stats", "SELECT session_id, count(*) AS turns, CASE WHEN count(CASE WHEN role = 'user' THEN 1 END) > 0 THEN 1 ELSE 0 END AS has_user FROM conversation_turns GROUP BY session_id")
-register("c19_percentiles", lambda d: f"SELECT user_id, round({'percentile(lag_ms, 0.95)' if d.spark else 'quantile_cont(lag_ms, 0.95)'}, 4) AS p95, round({'percentile(lag_ms, 0.99)' if d.spark else 'quantile_cont(lag_ms, 0.99)'}, 4) AS p99 FROM lags JOIN outbox_events USING (event_id) GROUP BY user_id")
+
+
+def quantiles(source: str, key: str, col: str, shares: dict[str, float]) -> str:
+    """Interpolated quantiles of each key from counts of equal values: the values next to the place (n - 1) * share, by running counts. No task holds a key's values in memory."""
+    place = lambda q, side: f"min(CASE WHEN upto > {side}((total - 1) * {q}e0) THEN {col} END)"
+    each = ", ".join(f"round({place(q, 'floor')} + ({place(q, 'ceil')} - {place(q, 'floor')}) * (max((total - 1) * {q}e0) - floor(max((total - 1) * {q}e0))), 4) AS {name}" for name, q in shares.items())
+    per = f"SELECT {key}, {col}, count(*) AS n FROM {source} GROUP BY {key}, {col}"
+    return f"SELECT {key}, {each} FROM (SELECT {key}, {col}, sum(n) OVER (PARTITION BY {key} ORDER BY {col}) AS upto, sum(n) OVER (PARTITION BY {key}) AS total FROM ({per}) x) y GROUP BY {key}"
+
+
+_USER_LAGS = "(SELECT user_id, lag_ms FROM lags JOIN outbox_events USING (event_id) WHERE lag_ms IS NOT NULL)"
+register("c19_percentiles", lambda d: quantiles(f"{_USER_LAGS} u", "user_id", "lag_ms", {"p95": 0.95, "p99": 0.99}) if d.spark else f"SELECT user_id, round(quantile_cont(lag_ms, 0.95), 4) AS p95, round(quantile_cont(lag_ms, 0.99), 4) AS p99 FROM {_USER_LAGS} u GROUP BY user_id")
 register("c21_trigger_text", f"SELECT user_id, message FROM (SELECT user_id, concat(CASE WHEN {STATES} >= 2 THEN 'Good to see you' ELSE 'Hello' END, CASE WHEN user_id % 2 = 0 THEN ', how was your day?' ELSE ', you must answer' END) AS message FROM latest_affinity) z WHERE NOT contains(message, 'must')")
 register("c22_merge_outputs", "SELECT id, task_type, 'factual' AS origin FROM scored_items WHERE task_type = 'factual' UNION ALL SELECT id, task_type, 'adversarial' FROM scored_items WHERE task_type = 'adversarial'")
