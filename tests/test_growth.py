@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from memloom.operators import graph
 from memloom.operators.substrings import contains_either_way
 
 
@@ -21,3 +22,15 @@ def test_grams_are_never_broadcast(spark, tmp_path):
     got = contains_either_way(queries, names)
     assert "BroadcastExchange" not in _plan(got)
     assert sorted(map(tuple, got.collect())) == [("large ring 1", "large ring"), ("large ring 1", "ring"), ("ring", "large ring"), ("ring", "ring")]
+
+
+def test_walks_are_never_broadcast(spark, tmp_path):
+    edges = _read(spark, tmp_path / "e", [("c1", "n1", "A", 0.5), ("n1", "r1", "B", 0.4), ("s1", "n1", "A", 0.9)], "src string, dst string, rel string, weight double")
+    names = _read(spark, tmp_path / "k", [("c1", "one"), ("n1", "land"), ("r1", "part of the world"), ("s1", "seller")], "node string, name string")
+    roots = spark.createDataFrame([("one", "c1", 1)], "query string, node string, at int")
+    got = graph.facts_at(roots, graph.entity_facts(edges, names, asked=roots))
+    assert "BroadcastExchange" not in _plan(got)
+    want = [("one", 1, "one", "A", "land", 0.5), ("one", 2, "one", "A -> land -> B", "part of the world", 0.2)]
+    assert sorted(map(tuple, got.collect())) == want
+    every = graph.entity_facts(edges, names)
+    assert sorted(map(tuple, graph.facts_at(roots, every).collect())) == want
