@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+
 from memloom.operators import graph
 from memloom.operators.substrings import contains_either_way
+from memloom.streaming import state
 
 
 def _plan(df) -> str:
@@ -34,3 +37,60 @@ def test_walks_are_never_broadcast(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want
     every = graph.entity_facts(edges, names)
     assert sorted(map(tuple, graph.facts_at(roots, every).collect())) == want
+
+
+class _List:
+    def __init__(self, calls):
+        self.rows, self.calls = [], calls
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+
+    def getListState(self, name, schema):
+        return _List(self.calls)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Until:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_state_store_is_asked_by_shard_and_not_by_key():
+    handle, rule = _Handle(), state.Once(10)
+    made = state.InOrder(rule, "us long, id long", "since long", ["key__", "id"], ["us", "id"])
+    made.init(handle)
+    rows = pd.DataFrame([(i * 1000 + 5_000_000, i, f"k{i % 500}") for i in range(1000)], columns=["us", "id", "key__"])
+    made.handleInputRows((0,), iter([rows]), _Until(0))
+    got = pd.concat(made.handleExpiredTimer((0,), _Until(10_000), None))
+    assert sorted(got["id"]) == list(range(500)) and len(handle.calls) <= 5
+    assert not list(made.handleExpiredTimer((0,), _Until(60_000), None)) and not made.kept.rows and not made.pending.rows
+
+
+def test_shards_go_with_the_table(spark):
+    assert state.shards(spark.range(10)) == 64 and state.shards(spark.range(1_000_001)) == 101
