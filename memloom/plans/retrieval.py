@@ -89,8 +89,11 @@ def r1_hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 nearest memories of the query's user, their similarity and recency."""
-    rows = near(spark, sf_dir).join(memories(spark, sf_dir).select("id", "days"), "id")
+    """The 50 nearest of all live memories to each query, whoever they belong to, their similarity and recency."""
+    stored = memories(spark, sf_dir).where("embedding IS NOT NULL").select("id", F.col("embedding").alias("vector"), "days")
+    asked = run(spark, sf_dir, "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+    found = top_k_join(asked, stored.select("id", "vector"), CANDIDATES)
+    rows = found.withColumnRenamed("score", "sim").join(stored.select("id", "days"), "id")
     return rows.select("query_id", "id", F.round("sim", 6).alias("sim"), F.round(F.exp(-F.col("days") / 30), 6).alias("recency"), "rn")
 
 
@@ -183,6 +186,7 @@ _AGE = DUCK.days(f"TIMESTAMP '{AS_OF}'", "m.created_at")
 _NEAR = """near AS (SELECT * FROM (SELECT q.vec_id AS query_id, m.user_id, m.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])), 9) AS sim,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])), 9) DESC, m.id) AS rn
   FROM embeddings q JOIN memories m ON m.user_id = q.vec_id // 20 % 15 AND m.id <> q.vec_id WHERE q.vec_id % 20 = 0 AND q.embedding IS NOT NULL AND m.embedding IS NOT NULL AND m.status <> 'deleted') x WHERE rn <= 50)"""
+_NEAR_ALL = _NEAR.replace("m.user_id = q.vec_id // 20 % 15 AND m.id <> q.vec_id", "m.id <> q.vec_id")
 _EXPAND = f"""{_NEAR},
  best_entity AS (SELECT memory_id, node FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY coalesce(confidence, 0.8) DESC, created_at DESC, node, seq) AS k FROM mentions) x WHERE k = 1),
  sides AS (SELECT src AS node, dst AS via, current_weight AS w FROM decayed_edges WHERE rel_type = 'RELATED_TO' UNION ALL SELECT dst, src, current_weight FROM decayed_edges WHERE rel_type = 'RELATED_TO'),
@@ -208,7 +212,7 @@ _RANKED = """ranked AS (SELECT * FROM (SELECT q.vec_id AS qid, v.vec_id, q.label
 
 ORACLE = {
     "r1_hybrid_retrieve": oracle(f"WITH {_FACTORS}, summed AS (SELECT query_id, id, round(cosine_part + edge_part + affinity_part + recency_part, 9) AS total FROM parts) SELECT query_id, id, round(total, 6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id) AS rk FROM summed) y WHERE rk <= 10"),
-    "r2_vector_search": oracle(f"WITH {_NEAR} SELECT n.query_id, n.id, round(n.sim, 6) AS sim, round(exp(-CAST({_AGE} AS DOUBLE) / 30), 6) AS recency, n.rn FROM near n JOIN memories m ON m.id = n.id"),
+    "r2_vector_search": oracle(f"WITH {_NEAR_ALL} SELECT n.query_id, n.id, round(n.sim, 6) AS sim, round(exp(-CAST({_AGE} AS DOUBLE) / 30), 6) AS recency, n.rn FROM near n JOIN memories m ON m.id = n.id"),
     "r3_graph_expand": oracle(f"WITH {_EXPAND} SELECT DISTINCT query_id, id, 0.5::DOUBLE AS edge_weight, 0.0::DOUBLE AS cosine FROM reached"),
     "j19_neighbour_memories": oracle(f"WITH {_EXPAND} SELECT query_id, via, id AS memory_id FROM reached"),
     "m4_factor_breakdown": oracle(f"WITH {_FACTORS} SELECT query_id, id, round(cosine_part, 6) AS cosine_part, round(edge_part, 6) AS edge_part, round(affinity_part, 6) AS affinity_part, round(recency_part, 6) AS recency_part FROM parts"),

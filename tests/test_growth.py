@@ -94,3 +94,12 @@ def test_state_store_is_asked_by_shard_and_not_by_key():
 
 def test_shards_go_with_the_table(spark):
     assert state.shards(spark.range(10)) == 64 and state.shards(spark.range(1_000_001)) == 101
+
+
+def test_vector_search_asks_all_users(spark):
+    """r2 had been narrowed to the query's own user: a 15th of the memories."""
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["r2_vector_search"](spark, "/root/testdata/sf0.001").select("query_id", "id").collect()
+    assert any(r.query_id // 20 % 15 != r.id % 15 for r in got)
+    assert "m.user_id = q.vec_id" not in __spark_entry__.oracle_sql()["r2_vector_search"]
