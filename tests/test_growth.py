@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import pandas as pd
+import pytest
 
 from memloom.operators import graph
 from memloom.operators.substrings import contains_either_way
@@ -103,3 +106,30 @@ def test_vector_search_asks_all_users(spark):
     got = __spark_entry__.queries()["r2_vector_search"](spark, "/root/testdata/sf0.001").select("query_id", "id").collect()
     assert any(r.query_id // 20 % 15 != r.id % 15 for r in got)
     assert "m.user_id = q.vec_id" not in __spark_entry__.oracle_sql()["r2_vector_search"]
+
+
+def test_only_candidates_before_the_bar_are_shuffled(spark):
+    rows = spark.createDataFrame([("a", 0.5, 0.4, "m"), ("b", 0.4, 0.4, "m"), ("z", 0.4, 0.4, "m"), ("c", 0.3, 0.4, "m"), ("d", 0.3, None, None)], "target string, w double, _bar double, _last string")
+    assert sorted(r.target for r in graph.within(rows).collect()) == ["a", "b", "d"]
+
+
+@pytest.mark.parametrize("weights", [[0.9], [0.5, 0.7, 0.9, 1.0], [i / 97 for i in range(20, 97)]])
+def test_neighbours_in_two_passes(spark, weights):
+    """Lists longer than their head, ties and short lists: as with every path made."""
+    rng = random.Random(7)
+    edges = {(f"n{rng.randrange(8)}", f"m{rng.randrange(60)}"): rng.choice(weights) for _ in range(250)}
+    side: dict = {}
+    for (a, b), w in edges.items():
+        side.setdefault(a, {})[b] = side.setdefault(b, {})[a] = w
+    reach = {v: {t: (w, -1) for t, w in far.items()} for v, far in side.items()}
+    level = {v: {t: w for t, w in far.items()} for v, far in side.items()}
+    for d in (2, 3):
+        level = {v: {t: max(w * level[u][t] for u, w in far.items() if t in level[u]) for t in {t for u in far for t in level[u]} if t != v} for v, far in side.items()}
+        for v, far in level.items():
+            for t, w in far.items():
+                if w > 0.1:
+                    reach[v][t] = max(reach[v].get(t, (0, 0)), (w, -d))
+    want = [(v, t, round(w, 9), rn) for v, far in reach.items() for rn, (t, (w, _)) in enumerate(sorted(far.items(), key=lambda x: (-round(x[1][0], 9), x[0]))[:10], 1)]
+    rows = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, w double")
+    got = [(r.node, r.target, round(r.w, 9), r.rn) for r in graph.best_neighbours(rows, 3, 0.1, 10, 3).collect()]
+    assert sorted(got) == sorted(want)
