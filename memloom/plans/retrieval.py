@@ -112,10 +112,16 @@ def m4_factor_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors(spark, sf_dir).select("query_id", "id", *[F.round(c, 6).alias(c) for c in ("cosine_part", "edge_part", "affinity_part", "recency_part")])
 
 
+def mentioned(mentions: DataFrame, found: DataFrame) -> DataFrame:
+    """memory_id, node: the distinct entities of the memories that found names; mentions of others are left before anything is shuffled for the distinct rows."""
+    wanted = found.select(F.col("query_id").alias("memory_id")).union(found.select("id")).distinct()
+    return mentions.join(wanted, "memory_id", "left_semi").select("memory_id", "node").distinct()
+
+
 def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near with the age, and the number of entities that the query's memory and the candidate both mention."""
     found = staged(near(spark, sf_dir), "near")
-    names = run(spark, sf_dir, "SELECT DISTINCT memory_id, node FROM mentions")
+    names = mentioned(run(spark, sf_dir, "SELECT memory_id, node FROM mentions"), found)
     mine = found.select("query_id", "id").join(names.withColumnRenamed("memory_id", "query_id"), "query_id")
     common = mine.join(names.withColumnRenamed("memory_id", "id"), ["id", "node"]).groupBy("query_id", "id").agg(F.count("*").alias("common"))
     rows = found.join(common, ["query_id", "id"], "left").join(memories(spark, sf_dir).select("id", "days", "valence"), "id")

@@ -9,6 +9,7 @@ import pytest
 
 from memloom.operators import graph
 from memloom.operators.substrings import contains_either_way
+from memloom.plans import retrieval
 from memloom.streaming import state
 
 
@@ -133,3 +134,9 @@ def test_neighbours_in_two_passes(spark, weights):
     rows = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, w double")
     got = [(r.node, r.target, round(r.w, 9), r.rn) for r in graph.best_neighbours(rows, 3, 0.1, 10, 3).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_only_wanted_mentions_are_made_distinct(spark):
+    found = spark.createDataFrame([(20, 3), (20, 4)], "query_id long, id long")
+    mentions = spark.createDataFrame([(20, "a"), (20, "a"), (3, "a"), (4, "b"), (5, "a")], "memory_id long, node string")
+    assert sorted(map(tuple, retrieval.mentioned(mentions, found).collect())) == [(3, "a"), (4, "b"), (20, "a")]
