@@ -51,7 +51,8 @@ def neighbours(edges: DataFrame, wanted: DataFrame, least: float = LEAST_EDGE, m
 def latest_memories(mentions: DataFrame, stored: DataFrame, wanted: DataFrame, most: int = MEMORIES) -> DataFrame:
     """user_id, via, memory_id: a user's latest committed memories that mention an entity, for the wanted (user_id, via)."""
     own = stored.where("status = 'committed'").select(F.col("id").alias("memory_id"), "user_id", F.col("created_at").alias("told_at"))
-    rows = mentions.withColumnRenamed("node", "via").join(own, "memory_id").join(wanted.select("user_id", "via").distinct(), ["user_id", "via"], "left_semi")
+    some = mentions.withColumnRenamed("node", "via").join(wanted.select("via").distinct(), "via", "left_semi")  # others are left before the shuffle
+    rows = some.join(own, "memory_id").join(wanted.select("user_id", "via").distinct(), ["user_id", "via"], "left_semi")
     order = [F.desc("created_at"), F.desc(F.coalesce("confidence", F.lit(0.8))), F.desc("told_at"), "memory_id", "seq"]
     return first(rows, ["user_id", "via"], order, most).select("user_id", "via", "memory_id")
 
@@ -61,7 +62,7 @@ def expanded(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     mentions = run(spark, sf_dir, "SELECT memory_id, node, seq, confidence, created_at FROM mentions")
     edges = run(spark, sf_dir, "SELECT src, dst, current_weight FROM decayed_edges WHERE rel_type = 'RELATED_TO'")
     seeds = found.where(F.col("rn") <= EXPANDED).select("query_id", "user_id", "id")
-    at = seeds.join(primary_entities(mentions, seeds), "id")
+    at = staged(seeds.join(primary_entities(mentions, seeds), "id"), "seed_entities")
     steps = staged(at.join(neighbours(edges, at), "node").select("query_id", "user_id", "via").distinct(), "neighbours")
     more = steps.join(latest_memories(mentions, memories(spark, sf_dir), steps), ["user_id", "via"]).select("query_id", "user_id", F.col("memory_id").alias("id"), "via").distinct()
     return more.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")

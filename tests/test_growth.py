@@ -140,3 +140,37 @@ def test_only_wanted_mentions_are_made_distinct(spark):
     found = spark.createDataFrame([(20, 3), (20, 4)], "query_id long, id long")
     mentions = spark.createDataFrame([(20, "a"), (20, "a"), (3, "a"), (4, "b"), (5, "a")], "memory_id long, node string")
     assert sorted(map(tuple, retrieval.mentioned(mentions, found).collect())) == [(3, "a"), (4, "b"), (20, "a")]
+
+
+def test_only_edges_near_the_asked_are_walked(spark, monkeypatch):
+    """Facts about a few nodes: every edge of the graph had been named, sorted and shuffled for each hop."""
+    sizes, real = {}, graph.staged
+
+    def keep(df, name):
+        sizes[name] = real(df, name)
+        return sizes[name]
+
+    monkeypatch.setattr(graph, "staged", keep)
+    chain = [("a0", "a1", "R", 0.9), ("a1", "a2", "R", 0.8), ("a2", "a3", "R", 0.7), ("a3", "a4", "R", 0.6), ("b0", "a0", "R", 0.5), ("b1", "b0", "R", 0.9), ("u1", "a0", "R", 0.9)]
+    edges = spark.createDataFrame(chain + [(f"x{i}", f"y{i % 7}", "R", 0.5) for i in range(300)], "src string, dst string, rel string, weight double")
+    names = spark.createDataFrame([(n, n.upper()) for n in {x for e in edges.collect() for x in (e.src, e.dst)}], "node string, name string")
+    asked = spark.createDataFrame([("q", "a0", 1)], "query string, node string, at int")
+    got = graph.facts_at(asked, graph.entity_facts(edges, names, hidden="u", asked=asked))
+    want = sorted((r.hop, r.entity, r.relation, r.target) for r in got.collect())
+    assert sizes["named_edges"].count() < 10
+    sizes.clear()
+    monkeypatch.setattr(graph, "FEW", 0)  # the way for many asked nodes
+    every = graph.facts_at(asked, graph.entity_facts(edges, names, hidden="u", asked=asked))
+    assert sorted((r.hop, r.entity, r.relation, r.target) for r in every.collect()) == want and sizes["named_edges"].count() == 307
+    assert want == [(1, "A0", "R", "A1"), (1, "B0", "R", "A0"), (2, "A0", "R -> A1 -> R", "A2"), (2, "B1", "R -> B0 -> R", "A0"), (3, "A0", "R -> A1 -> R -> A2 -> R", "A3")]
+
+
+def test_mentions_of_other_entities_are_not_shuffled(spark, tmp_path):
+    """latest_memories joined every mention with the memories before it looked at the entities asked for."""
+    mentions = _read(spark, tmp_path / "m", [(1, "a", 1, 0.5, None), (2, "b", 1, 0.5, None)], "memory_id long, node string, seq int, confidence double, created_at timestamp_ntz")
+    stored = _read(spark, tmp_path / "s", [(1, 7, "committed", None), (2, 7, "committed", None)], "id long, user_id long, status string, created_at timestamp_ntz")
+    wanted = _read(spark, tmp_path / "w", [(7, "a")], "user_id long, via string")
+    got = retrieval.latest_memories(mentions, stored.hint("merge"), wanted)
+    lines = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert sum("LeftSemi" in x for x in lines) == 2
+    assert [tuple(r) for r in got.collect()] == [(7, "a", 1)]
