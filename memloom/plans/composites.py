@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from memloom.operators.folds import diversify
 from memloom.operators.graph import first
 from memloom.sources.adapters import AS_OF, oracle, run
+from memloom.sources.session import staged
 
 # ---- recommendations ---------------------------------------------------------------------------------
 # Fixed values.
@@ -137,9 +138,13 @@ def timeline(edges: DataFrame, first_day: datetime.date, last_day: datetime.date
     gone = F.when(w * F.exp(-r * (guess - 1)) <= alive, guess - 1).when(w * F.exp(-r * guess) > alive, guess + 1).otherwise(guess)
     rows = edges.where(w > alive).select(r.alias("rate"), w.alias("w"), day.alias("enter"), F.when(r > 0, gone).alias("life"))
     rows = rows.withColumn("lift", F.col("w") * F.exp(F.col("rate") * F.col("enter")))  # its weight as if told on day 0
-    into = rows.select("rate", F.greatest(F.col("enter"), F.lit(0)).alias("at"), F.lit(1).alias("n"), F.col("lift").alias("x")).where(rows.life.isNull() | (rows.enter + rows.life > 0))
-    out = rows.where("life IS NOT NULL AND enter + life > 0").select("rate", (F.col("enter") + F.col("life")).alias("at"), F.lit(-1).alias("n"), (-F.col("lift")).alias("x"))
-    change = into.unionByName(out).where(F.col("at") <= span).groupBy("rate", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    told = F.col("life").isNull() | (F.col("enter") + F.col("life") > 0)
+    into = F.when(told, F.struct(F.greatest(F.col("enter"), F.lit(0)).alias("at"), F.lit(1).alias("n"), F.col("lift").alias("x")))
+    out = F.when(told & F.col("life").isNotNull(), F.struct((F.col("enter") + F.col("life")).alias("at"), F.lit(-1).alias("n"), (-F.col("lift")).alias("x")))
+    # both changes of an edge come from one row: a union would read the edges twice, and filters would be worked out below what makes the edges distinct
+    each = rows.select("rate", F.explode(F.array(into, out)).alias("c"))
+    change = each.where(F.col("c.at") <= span).groupBy("rate", F.col("c.at").alias("at")).agg(F.sum("c.n").alias("n"), F.sum("c.x").alias("x"))
+    change = staged(change, "changes")  # one row a rate and day, read twice
     days = edges.sparkSession.range(span + 1).select(F.col("id").alias("at"))
     grid = change.select("rate").distinct().select("rate", F.explode(F.sequence(F.lit(0), F.lit(span))).alias("at")).join(change, ["rate", "at"], "left")
     up = Window.partitionBy("rate").orderBy("at")

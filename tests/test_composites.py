@@ -80,3 +80,18 @@ def test_time_difference_is_rounded_down(spark):
     row = "SELECT {} AS id, TIMESTAMP_NTZ '2024-01-10 {}:00:00' AS created_at"
     sql = " UNION ALL ".join(row.format(*x) for x in [(0, 20), (15, 10), (1, 10), (16, 20), (2, 10), (17, 10)])
     assert {r.first_id: r.verdict for r in over(spark, "v5_resolve_by_time", "memories", sql)} == {0: "clarify", 1: "second", 2: "clarify"}
+
+
+def test_timeline_reads_the_edges_once(spark, monkeypatch, tmp_path):
+    """A union of the edges that come and those that go, read again for the rates, made the distinct edges four times."""
+    scans, real = [], composites.staged
+
+    def keep(df, name):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("parquet"))
+        return real(df, name)
+
+    monkeypatch.setattr(composites, "staged", keep, raising=False)
+    spark.createDataFrame([(0.9, 0.01, datetime.datetime(2024, 1, 2)), (0.3, 0.5, datetime.datetime(2024, 1, 1, 7))], "weight double, decay_rate double, updated_at timestamp_ntz").write.parquet(str(tmp_path / "e"))
+    day = datetime.date(2024, 1, 1)
+    got = composites.timeline(spark.read.parquet(str(tmp_path / "e")), day, day + datetime.timedelta(days=2))
+    assert [r.edges for r in got.orderBy("day").collect()] == [0, 2, 2] and scans == [1]
