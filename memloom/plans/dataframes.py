@@ -81,9 +81,34 @@ def st7_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooled_down(rows, ["user_id", "trigger_event"], 24 * 3600).select("user_id", "trigger_event", "id")
 
 
+PER_PART = 250_000  # mentions of a part of the table that one task sees
+
+
+def reasons(mentions: DataFrame, orders: DataFrame, parts: int) -> DataFrame:
+    """reason, n: the mentions (memory_id, entity_id, confidence) that a critic drops for low confidence or a bad type, or as one more of an entity that
+    its memory keeps, and those it keeps; each counts as often as orders (memory_id) has its memory.
+
+    Which of equal mentions is kept does not change how many are, so they are counted and not put in order. Both tables are dealt by memory over `parts` tasks."""
+    reason = F.when(F.col("confidence") < 0.5, "low").when(F.col("entity_id") % 11 == 0, "bad").otherwise("good")
+    lines = mentions.where("confidence IS NOT NULL AND memory_id IS NOT NULL").select("memory_id", "entity_id", reason.alias("r"))
+    own = orders.repartition(parts, "memory_id").groupBy("memory_id").agg(F.count("*").alias("times"))
+    n = lambda r: F.count(F.when(F.col("r") == r, 1)).alias(r)
+    per = lines.repartition(parts, "memory_id").groupBy("memory_id", "entity_id").agg(n("low"), n("bad"), n("good"))
+    kept = F.when(F.col("good") > 0, 1).otherwise(0)
+    per = per.groupBy("memory_id").agg(F.sum("low").alias("low"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum(kept).alias("kept")).join(own.hint("merge"), "memory_id")
+    total = per.agg(*[F.sum(c).alias(k) for k, c in (("low_confidence", F.col("low") * F.col("times")), ("bad_type", F.col("bad") * F.col("times")), ("duplicate", F.col("good") * F.col("times") - F.col("kept")), ("kept", F.col("kept")))])
+    return total.unpivot([], ["low_confidence", "bad_type", "duplicate", "kept"], "reason", "n").where("n > 0")
+
+
+def v1_entity_critic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = run(spark, sf_dir, "SELECT l_orderkey AS memory_id, l_partkey AS entity_id, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_discount AS DOUBLE) * 10 END AS confidence FROM lineitem")
+    parts = 4 + mentions.count() // PER_PART
+    return reasons(mentions, run(spark, sf_dir, "SELECT o_orderkey AS memory_id FROM orders"), parts)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (io3_named_parameters, c3_replay_day, w5_clipped_scores, k9_diversify, st9_sessions, w6_result_rank, k12_stable_order, a21_lag_p95, a22_p50_index, m20_message_average, st7_cooldown)
+    for f in (v1_entity_critic, io3_named_parameters, c3_replay_day, w5_clipped_scores, k9_diversify, st9_sessions, w6_result_rank, k12_stable_order, a21_lag_p95, a22_p50_index, m20_message_average, st7_cooldown)
 }
 
 ORACLE = {

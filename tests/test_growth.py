@@ -174,3 +174,26 @@ def test_mentions_of_other_entities_are_not_shuffled(spark, tmp_path):
     lines = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert sum("LeftSemi" in x for x in lines) == 2
     assert [tuple(r) for r in got.collect()] == [(7, "a", 1)]
+
+
+def test_edges_are_merged_as_numbers_and_read_once(spark):
+    """g3 made the names of every line item's edge, read the edges twice and put both in one more shuffle."""
+    import __spark_entry__
+    from memloom.plans.graph import merged
+
+    got = __spark_entry__.queries()["g3_merge_edge_max"](spark, "/root/testdata/sf0.001")
+    assert _plan(got).count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in _plan(got)
+    rows = spark.createDataFrame([("FROM", 1, 2, 0.3), ("FROM", 1, 2, 0.6), ("RELATED_TO", 1, None, 0.5), ("RELATED_TO", 1, None, None), ("LIVES_IN", 1, 2, None)], "rel_type string, a long, b long, weight double")
+    assert sorted(map(str, map(tuple, merged(rows).collect()))) == ["('c1', 'n2', 'LIVES_IN', None)", "('p1', None, 'RELATED_TO', 0.5)", "('s1', 'n2', 'FROM', 0.6)"]
+
+
+def test_critic_counts_without_an_order(spark):
+    """v1 put all mentions in order twice to number those that it only counts. Orders that are there twice or not at all, unknown entities."""
+    from memloom.plans import dataframes
+
+    mentions = spark.createDataFrame([(1, 5, 0.9), (1, 5, 0.7), (1, 11, 0.9), (1, 5, 0.1), (1, None, 0.9), (1, None, 0.8), (1, 7, None), (2, 5, 0.9), (2, 22, 0.3), (3, 5, 0.9), (None, 5, 0.9)], "memory_id long, entity_id long, confidence double")
+    orders = spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "memory_id long")
+    got = dataframes.reasons(mentions, orders, 3)
+    assert "Window" not in _plan(got)
+    assert {r.reason: r.n for r in got.collect()} == {"low_confidence": 3, "bad_type": 1, "duplicate": 3, "kept": 3}
+    assert dataframes.reasons(mentions.limit(0), orders, 3).collect() == []
