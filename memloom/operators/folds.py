@@ -108,8 +108,13 @@ def diversify(rows: DataFrame, k: int, per_source: int, per_tag: int, pool: int
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), "id")
     best = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool)
     lists = best.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("r", "id", "source", "tag"))).alias("c"))
+    return picked(lists, k, per_source, per_tag)
+
+
+def picked(lists: DataFrame, k: int, per_source: int, per_tag: int) -> DataFrame:
+    """user_id, rank, id: the same choice from lists (user_id, c) in falling order of items with id, source and tag."""
     none = F.lit([]).cast("array<struct<id:bigint,source:string,tag:string>>")
-    picked = F.aggregate(
+    chosen = F.aggregate(
         "c", none,
         lambda acc, x: F.when(
             (F.size(acc) < k)
@@ -118,4 +123,4 @@ def diversify(rows: DataFrame, k: int, per_source: int, per_tag: int, pool: int
             F.concat(acc, F.array(F.struct(x["id"].alias("id"), x["source"].alias("source"), x["tag"].alias("tag")))),
         ).otherwise(acc),
     )
-    return lists.select("user_id", F.posexplode(picked).alias("pos", "x")).select("user_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("id"))
+    return lists.select("user_id", F.posexplode(chosen).alias("pos", "x")).select("user_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("id"))

@@ -10,7 +10,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.operators.folds import diversify
+from memloom.operators.folds import picked
 from memloom.operators.graph import first
 from memloom.sources.adapters import AS_OF, oracle, run
 from memloom.sources.session import staged
@@ -21,6 +21,8 @@ SIMILARITY, RECENCY, QUALITY, REPEATED, DECAY = 0.5, 0.3, 0.2, 0.3, 0.05
 KEYWORD, FULL_OVERLAP = 0.3, 3
 POOL, LEAST_INTEREST, MOST_INTERESTS, LEAST_INTERESTS = 100, 0.5, 10, 3
 DEFAULT_INTERESTS = ["科技", "生活", "新闻"]
+FEW_CHOICES = 1000  # lists of candidates that may be broadcast; they are counted first
+PER_TASK = 2_000  # users whose lists one task scores
 FRIEND = 50  # scores above are friend or close friend
 
 
@@ -37,26 +39,40 @@ def recommend(users: DataFrame, wanted: DataFrame, content: DataFrame, history:
 
     users: user_id, sources (the preferred ones, null for any); wanted: user_id, tag; content: id, source, main_tag, tags, hours, quality_score; history:
     user_id, id. The candidates of a user are the 100 of best quality, then latest, among the preferred sources, so only the first 100 of each source
-    and the first 100 of all can matter: users meet those by source. Tags meet inverted lists of these contents."""
+    and the first 100 of all can matter. Users who prefer the same sources have the same candidates: these are listed once for each such choice, and a
+    user stays one row, with tags and what of the lists was seen."""
     order = [F.desc("quality_score"), "hours", "id"]
-    slim = content.select("id", "source", "main_tag", "hours", "quality_score")
+    slim = content.select("id", "source", "main_tag", "hours", "quality_score", "tags")
     every = slim.orderBy(*order).limit(POOL).withColumn("pool", F.lit("*"))
-    pools = every.unionByName(first(slim.where("source IS NOT NULL"), ["source"], order, POOL).drop("rn").withColumn("pool", F.concat(F.lit("="), "source")))
-    asks = users.select("user_id", F.explode(F.coalesce(F.transform(F.array_distinct("sources"), lambda s: F.concat(F.lit("="), s)), F.array(F.lit("*")))).alias("pool"))
-    mine = first(asks.join(pools, "pool"), ["user_id"], order, POOL).drop("rn", "pool")
-    inverted = content.join(pools.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.array_distinct("tags")).alias("tag"))
-    overlap = wanted.distinct().join(inverted, "tag").groupBy("user_id", "id").agg(F.count("*").alias("common"))
-    rows = mine.join(overlap, ["user_id", "id"], "left").join(history.select("user_id", "id").distinct().withColumn("seen", F.lit(True)), ["user_id", "id"], "left")
-    similarity = KEYWORD * F.least(F.coalesce("common", F.lit(0)) / FULL_OVERLAP, F.lit(1.0))
+    pools = staged(every.unionByName(first(slim.where("source IS NOT NULL"), ["source"], order, POOL).drop("rn").withColumn("pool", F.concat(F.lit("="), "source"))), "pools")
+    named = F.array_sort(F.array_distinct(F.transform("sources", lambda s: F.concat(F.lit("="), s))))
+    asks = staged(users.select("user_id", F.coalesce(named, F.array(F.lit("*"))).alias("asks")), "asks")
     recency = F.coalesce(F.exp(-DECAY * F.col("hours")), F.lit(0.5))
-    score = (SIMILARITY * similarity + RECENCY * recency + QUALITY * F.col("quality_score")) * F.when(F.col("seen"), REPEATED).otherwise(1.0)
-    scored = rows.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9)).withColumnRenamed("main_tag", "tag")
-    return diversify(scored, k, 1, 2, POOL)
+    item = F.struct("id", "source", F.col("main_tag").alias("tag"), F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), (RECENCY * recency).alias("recency"), (QUALITY * F.col("quality_score")).alias("quality"))
+    mine = first(asks.select("asks").distinct().select("asks", F.explode("asks").alias("pool")).join(pools, "pool"), ["asks"], order, POOL)
+    lists = staged(mine.groupBy("asks").agg(F.collect_list(item).alias("items")), "lists")
+    lists = F.broadcast(lists) if lists.count() <= FEW_CHOICES else lists
+    likes = wanted.groupBy("user_id").agg(F.collect_set("tag").alias("likes"))
+    seen = history.select("user_id", "id").join(pools.select("id").distinct(), "id", "left_semi").groupBy("user_id").agg(F.collect_set("id").alias("seen"))
+    # a user is a small row and much work, so tasks go with their number and not with their bytes
+    dealt = asks.join(likes, "user_id", "left").join(seen, "user_id", "left").repartition(4 + asks.count() // PER_TASK, "user_id")
+    rows = dealt.join(lists, "asks")
+
+    def scored(x: Column) -> Column:
+        common = F.size(F.filter(x["tags"], lambda t: F.array_contains(F.coalesce("likes", F.array().cast("array<string>")), t)))
+        similarity = KEYWORD * F.least(common / FULL_OVERLAP, F.lit(1.0))
+        again = F.when(F.array_contains("seen", x["id"]), REPEATED).otherwise(1.0)
+        score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (SIMILARITY * similarity + x["recency"] + x["quality"]) * again)), 9)
+        return F.struct((-score).alias("r"), x["id"].alias("id"), x["source"].alias("source"), x["tag"].alias("tag"))
+
+    best = rows.select("user_id", F.array_sort(F.transform("items", scored)).alias("c"))
+    return picked(best, k, 1, 2)
 
 
 def r9_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three recommendations for every user who has them enabled, is a friend and has not had the day's share."""
-    likes = run(spark, sf_dir, """SELECT r.user_id, c.main_tag, c.source, r.feedback, r.content_id, r.recommended_at FROM recommendations r JOIN content_library c ON c.id = r.content_id""")
+    library = staged(run(spark, sf_dir, "SELECT id AS content_id, main_tag, source FROM content_library"), "library")  # of a known size, without the texts
+    likes = run(spark, sf_dir, "SELECT user_id, feedback, content_id, recommended_at FROM recommendations").join(library, "content_id")
     weigh = F.round(0.5 + 0.5 * F.avg(F.when(F.col("feedback").isin("like", "click"), 1.0).when(F.col("feedback") == "dislike", -1.0).otherwise(0.0)), 9)
     tags = likes.select("user_id", "feedback", F.explode(F.array_compact(F.array("main_tag", "source"))).alias("tag"))
     wanted = interests(tags.groupBy("user_id", "tag").agg(weigh.alias("weight")))

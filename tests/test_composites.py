@@ -95,3 +95,24 @@ def test_timeline_reads_the_edges_once(spark, monkeypatch, tmp_path):
     day = datetime.date(2024, 1, 1)
     got = composites.timeline(spark.read.parquet(str(tmp_path / "e")), day, day + datetime.timedelta(days=2))
     assert [r.edges for r in got.orderBy("day").collect()] == [0, 2, 2] and scans == [1]
+
+
+def test_candidates_are_listed_by_choice_and_not_by_user(spark, monkeypatch):
+    """Each user's hundred candidates were rows of their own and sorted three times: one task took most of them, as few pools are asked for."""
+    sizes, real = {}, composites.staged
+
+    def keep(df, name):
+        sizes[name] = real(df, name)
+        return sizes[name]
+
+    monkeypatch.setattr(composites, "staged", keep)
+    users = spark.range(500).selectExpr("id AS user_id", "CASE id % 3 WHEN 0 THEN array('b', 'a') WHEN 1 THEN array('a', 'b', 'a') END AS sources")
+    content = spark.range(150).selectExpr("id", "concat('s', id % 5) AS source", "'t' AS main_tag", "array('t') AS tags", "CAST(id AS DOUBLE) AS hours", "0.5D AS quality_score").unionByName(
+        spark.createDataFrame([(900, "a", "x", None, 1.0, 0.9), (901, "b", "y", ["y"], None, 0.1)], "id long, source string, main_tag string, tags array<string>, hours double, quality_score double")
+    )
+    wanted, history = spark.createDataFrame([(2, "t")], "user_id long, tag string"), spark.createDataFrame([(0, 900), (0, 900), (5, 7)], "user_id long, id long")
+    got = {}
+    for r in composites.recommend(users, wanted, content, history).orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.id)
+    assert sizes["lists"].count() == 2 and len(got) == 500
+    assert got[0] == [901, 900] and got[1] == [900, 901] == got[3] and got[2] == got[5] == got[8] == [900, 0, 1]
