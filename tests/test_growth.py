@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ import pytest
 from memloom.operators import graph
 from memloom.operators.substrings import contains_either_way
 from memloom.plans import retrieval
+from memloom.sources import session
 from memloom.streaming import state
 
 
@@ -136,6 +138,24 @@ def test_neighbours_in_two_passes(spark, weights):
     assert sorted(got) == sorted(want)
 
 
+def test_neighbours_leave_one_table_and_shuffle_nothing_more(spark):
+    """Every round's tables stayed on disk, and the last lists, ranked already, were shuffled and ranked again."""
+    folder = Path(session.shared_dir(spark).removeprefix("file://")) / "memloom"
+    before = set(folder.glob("*"))
+    rows = spark.createDataFrame([(f"n{i % 3}", f"m{i}", 0.9) for i in range(90)], "src string, dst string, w double")
+    got = graph.best_neighbours(rows, 3, 0.1, 10, 3)
+    assert [p.name.split("-")[0] for p in set(folder.glob("*")) - before] == ["hop3"]
+    assert "Exchange" not in _plan(got) and "Window" not in _plan(got)
+    assert {(r.node, r.rn) for r in got.collect()} == {(v, rn) for v in {f"n{i}" for i in range(3)} | {f"m{i}" for i in range(90)} for rn in range(1, 11)}
+
+
+def test_an_edge_is_shuffled_once_for_both_its_ends(spark):
+    rows = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.7), ("a", "a", 0.9), ("c", "a", 0.1), ("c", None, 0.9), ("b", "c", 0.4)], "src string, dst string, w double")
+    links = graph.undirected(rows, 0.1)
+    assert sorted(map(tuple, links.collect())) == [("a", "b", 0.7), ("b", "a", 0.7), ("b", "c", 0.4), ("c", "b", 0.4)]
+    assert "Union" not in _plan(links)
+
+
 def test_only_wanted_mentions_are_made_distinct(spark):
     found = spark.createDataFrame([(20, 3), (20, 4)], "query_id long, id long")
     mentions = spark.createDataFrame([(20, "a"), (20, "a"), (3, "a"), (4, "b"), (5, "a")], "memory_id long, node string")
